@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import secret_scan
 from .near_dedup import near_duplicates
+from .quality_rules import quality_rules
 from .substring_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +55,100 @@ WITH d AS (
 )
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(kept) AS kept_sha256 FROM k
 """
+
+
+@_query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op9_quality_rules"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM d
+), g AS (
+  SELECT rid, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS p FROM w WHERE len(w) >= 3)
+), r AS (
+  SELECT rid, count(DISTINCT q) AS n_repeat
+  FROM (SELECT rid, unnest([p, p + 1, p + 2]) AS q FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, g) AS n FROM g) WHERE n >= 2)
+  GROUP BY rid
+), x AS (
+  SELECT rid, host, unnest(list_transform(l, lambda y: trim(regexp_replace(lower(y), '[\x20\x09-\x0D]+', ' ', 'g')))) AS line FROM w
+), f AS (
+  SELECT host, line FROM (SELECT host, line, count(DISTINCT rid) AS n FROM x GROUP BY host, line)
+  JOIN (SELECT host, count(*) AS docs FROM d GROUP BY host) USING (host)
+  WHERE n > 10 AND n * 100 > docs * 10
+), y AS (
+  SELECT rid, sum(len(string_split(line, ' '))) AS words_lost, count(*) AS lines_lost FROM x JOIN f USING (host, line) GROUP BY rid
+), m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda z: length(z))), 0) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(words_lost, 0) AS BIGINT) AS n_lost_words, CAST(coalesce(lines_lost, 0) AS BIGINT) AS n_lost_lines
+  FROM w LEFT JOIN r USING (rid) LEFT JOIN y USING (rid)
+), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND 100 * (n_words - n_lost_words) >= 50 * n_words AS kept FROM b
+"""
+
+
+@_query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secret_spans(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secret_scan.spelled(base), 256).alias("base_sha256"),
+        secret_scan.spelled(F.col("spans")).alias("spans"),
+    )
+
+
+def _matches(kind: str, order: int, pattern: str, more: str = "true") -> str:
+    return f"""
+  SELECT rid, {order} AS o, '{kind}' AS kind, m[i] AS s, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a
+  FROM (SELECT rid, m, v, g, unnest(range(1, len(m) + 1)) AS i
+        FROM (SELECT rid, regexp_extract_all(t, '{pattern}') AS m, {"regexp_extract_all(t, '" + pattern + "', 2)" if order == 0 else "NULL"} AS v, regexp_split_to_array(t, '{pattern}') AS g FROM d))
+  WHERE {more}"""
+
+
+def _secret_oracle() -> str:
+    q = lambda p: p.replace("'", "''")
+    weights = ", ".join(str(secret_scan._weight(i)) for i in range(secret_scan.WINDOW + 1))
+    allowed = " OR ".join(f"regexp_matches(s, '{q(p)}')" for p in secret_scan.ALLOWED)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), b AS ({_matches("assign", 0, q(secret_scan.ASSIGN), "length(v[i]) >= 12")}
+  UNION ALL {_matches("access", 1, q(secret_scan.ACCESS))}
+  UNION ALL {_matches("hex", 2, q(secret_scan.HEX))}
+), base AS (SELECT rid, o, kind, CAST(a AS BIGINT) AS a, CAST(a + length(s) AS BIGINT) AS z FROM b
+), c AS (SELECT * FROM ({_matches("entropy", 3, secret_scan.CANDIDATE)}) WHERE NOT ({allowed})
+), win AS (
+  SELECT rid, a, s, p, string_split(substr(s, p, 20), '') AS ch,
+         CASE WHEN regexp_full_match(s, '[0-9a-fA-F]+') THEN {secret_scan.most_weight(secret_scan.HEX_BITS)} ELSE {secret_scan.most_weight(secret_scan.MIXED_BITS)} END AS most
+  FROM (SELECT *, unnest(range(1, length(s) - 18)) AS p FROM c)
+), e AS (
+  SELECT rid, 3 AS o, 'entropy' AS kind, CAST(a + min(p) - 1 AS BIGINT) AS a, CAST(a + max(p) + 19 AS BIGINT) AS z FROM win
+  WHERE list_sum(list_transform(list_distinct(ch), lambda k: [{weights}][1 + len(list_filter(ch, lambda x: x = k))])) <= most
+  GROUP BY rid, c_id(a), a
+), more AS (SELECT e.* FROM e WHERE NOT EXISTS (SELECT 1 FROM base k WHERE k.rid = e.rid AND k.a <= e.a AND k.z >= e.z)
+), al AS (SELECT * FROM base UNION ALL SELECT * FROM more
+), r AS (
+  SELECT rid, count(*) FILTER (o = 0) AS n0, count(*) FILTER (o = 1) AS n1, count(*) FILTER (o = 2) AS n2,
+         string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, o, z) FILTER (o < 3) AS bs,
+         string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, o, z) AS sp
+  FROM al GROUP BY rid
+)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex,
+       sha256(coalesce(bs, '')) AS base_sha256, coalesce(sp, '') AS spans
+FROM d LEFT JOIN r USING (rid)
+""".replace("c_id(a), ", "")
+
+
+ORACLES["op4_secret_scan"] = _secret_oracle()
