@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from . import secret_scan
 from .near_dedup import near_duplicates
+from .packing import packed_batches
 from .quality_rules import quality_rules
+from .source_mix import mix_sources
 from .substring_dedup import remove_repeats
+from .topk_search import quantised, top_k_inner_products
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -152,3 +155,32 @@ FROM d LEFT JOIN r USING (rid)
 
 
 ORACLES["op4_secret_scan"] = _secret_oracle()
+
+
+@_query
+def op10_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", quantised(F.col("embedding")).alias("v"))
+    return top_k_inner_products(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+ORACLES["op10_exact_topk_search"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, p.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * p.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v p ON q.vec_id <> p.vec_id WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@_query
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix_sources(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), limit=3)
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query
+def op1_length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_batches(_table(spark, sf_dir, "documents"), max_tokens=4096, budget=32768, buckets=16)
