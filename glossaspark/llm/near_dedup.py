@@ -15,6 +15,8 @@ from .components import connected_components
 
 #: Members of a bucket that are compared in one piece of work.
 BLOCK = 256
+#: Minima of the finer sketches that such members are compared by.
+SKETCH = 1024
 
 
 def shingle_set(text: str | None, size: int, cache: WordHashes) -> np.ndarray:
@@ -109,9 +111,21 @@ def _sets(size: int):
     return run
 
 
-def _cross_pairs(bands: int, rows: int, least: int):
+def _sketches(seed: int):
+    """The lowest byte of ``SKETCH`` further minima of a set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign = _Signer(SKETCH, seed + 1, width=128)
+        for batch in batches:
+            out = [sign(x.values.to_numpy(zero_copy_only=False).view(np.uint64)).astype(np.uint8).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "sketch"])
+
+    return run
+
+
+def _cross_pairs(bands: int, least: int):
     """Pairs of a block, or of two blocks, of a bucket: of different components, not
-    yet seen in an earlier band, with at least ``least`` equal minima."""
+    yet seen in an earlier band, with at least ``least`` equal bytes of their sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,17 +134,14 @@ def _cross_pairs(bands: int, rows: int, least: int):
             for i, members in enumerate(batch.column(3)):
                 m = members.values
                 doc, comp, block = (m.field(k).to_numpy(zero_copy_only=False) for k in ("doc", "comp", "block"))
-                sig = m.field("sig").flatten().to_numpy(zero_copy_only=False).reshape(len(doc), bands * rows)
+                keys = m.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(len(doc), bands)
+                sketch = np.frombuffer(b"".join(m.field("sketch").to_pylist()), dtype=np.uint8).reshape(len(doc), SKETCH)
                 first, second = np.flatnonzero(block == lo[i]), np.flatnonzero(block == hi[i])
                 for x in first:
                     ys = second[(comp[second] != comp[x]) & ((doc[second] > doc[x]) | (lo[i] != hi[i]))]
-                    if not len(ys):
-                        continue
-                    same = sig[ys] == sig[x]
-                    ys, same = ys[k := same.sum(axis=1) >= least], same[k]
+                    ys = ys[(keys[ys] == keys[x]).argmax(axis=1) == band[i]]
+                    ys = ys[np.count_nonzero(sketch[ys] == sketch[x], axis=1) >= least]
                     if len(ys):
-                        seen = same.reshape(len(ys), bands, rows).all(axis=2).argmax(axis=1)
-                        ys = ys[seen == band[i]]
                         left.append(np.minimum(doc[x], doc[ys]))
                         right.append(np.maximum(doc[x], doc[ys]))
             if left:
@@ -150,6 +161,7 @@ def near_duplicates(
     percent: int = 80,
     bands: int = 32,
     rows: int = 4,
+    rounds: int = 2,
     seed: int = 11,
 ) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of at
@@ -161,9 +173,10 @@ def near_duplicates(
     probability of ``(1 - 0.8**4)**32``, about 5e-8.
 
     Documents with the same set are one node. A bucket first links each member with
-    its smallest member only. Members of one bucket that are then still in different
-    components are compared block by block; only pairs that pass the signature test
-    leave the task. So a group of copies makes no square number of rows, and no link
+    its smallest member only, then, for ``rounds`` rounds, members of other components
+    with a drawn member. Members of one bucket that are then still in different
+    components are compared block by block by finer sketches; only pairs that may be
+    similar by these leave the task. So a group of copies makes no square number of rows, and no link
     between different components is lost.
 
     Returns one row per row of ``docs``: doc_id, n_shingles, component_id (smallest
@@ -188,20 +201,21 @@ def near_duplicates(
     shared = banded.groupBy("bh").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("z")).where("c < z")
     members = materialize(banded.join(shared.select("bh", "c"), "bh").select("bh", "band", "doc_id", "c"), "members")
     wanted = members.select("doc_id").distinct()
-    sigs = materialize(signed.select("doc_id", "sig").where("sig IS NOT NULL").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sigs")
+    sigs = materialize(signed.select("doc_id", "sig", "bands").where("sig IS NOT NULL").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sigs")
     sets = materialize(
         slim.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, shingles array<long>"), "sets"
     )
 
     least = _least_equal(bands * rows, percent)
     same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    stars = members.where("doc_id <> c").select(F.col("c").alias("a"), F.col("doc_id").alias("b")).distinct()
-    checked = (
-        stars.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a")
-        .join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
-        .where(same >= least)
-        .select("a", "b")
-    )
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        return (
+            pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a")
+            .join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
+            .where(same >= least)
+            .select("a", "b")
+        )
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("xa", "xb"))
@@ -213,46 +227,68 @@ def near_duplicates(
             .select(F.col("a").alias("u"), F.col("b").alias("v"))
         )
 
-    links = materialize(confirmed(checked), "links")
-    first = materialize(connected_components(links), "components")
+    def labelled(found: DataFrame) -> DataFrame:
+        return members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+            "bh", "band", "doc_id", F.coalesce("component", "doc_id").alias("comp")
+        )
 
-    labelled = members.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "bh", "band", "doc_id", F.coalesce("component", "doc_id").alias("comp")
-    )
+    def grown(found: DataFrame, links: DataFrame) -> DataFrame:
+        """Components after more links; the stars of the earlier ones stand for theirs."""
+        stars = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        return materialize(connected_components(links.unionByName(stars)), "components")
+
+    stars = members.where("doc_id <> c").select(F.col("c").alias("a"), F.col("doc_id").alias("b")).distinct()
+    found = materialize(connected_components(materialize(confirmed(similar(stars)), "links")), "components")
+    for salt in range(rounds):
+        # other centres: a member drawn anew for each bucket that is still divided
+        now = materialize(labelled(found), "labelled")
+        drawn = (
+            now.groupBy("bh")
+            .agg(
+                F.min("comp").alias("lo"),
+                F.max("comp").alias("hi"),
+                F.min_by(F.struct("doc_id", "comp"), F.xxhash64(F.lit(salt), "bh", "doc_id")).alias("centre"),
+            )
+            .where("lo < hi")
+            .select("bh", "centre")
+        )
+        pairs = (
+            now.join(drawn, "bh")
+            .where(F.col("comp") != F.col("centre.comp"))
+            .select(F.least("doc_id", "centre.doc_id").alias("a"), F.greatest("doc_id", "centre.doc_id").alias("b"))
+            .distinct()
+        )
+        links = materialize(confirmed(similar(pairs)), "links")
+        drop_scratch(now)
+        if links.isEmpty():
+            break
+        found = grown(found, links)
+
+    now = materialize(labelled(found), "labelled")
     mixed = (
-        labelled.groupBy("bh")
+        now.groupBy("bh")
         .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
         .where("lo < hi")
         .select("bh", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
+    apart = now.join(mixed, "bh")
+    sketches = sets.join(apart.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(
+        _sketches(seed), "doc_id long, sketch binary"
+    )
+    details = materialize(sketches.join(sigs.select("doc_id", "bands"), "doc_id"), "sketches")
+    member = F.struct(F.col("doc_id").alias("doc"), "comp", "block", "bands", "sketch")
     blocked = (
-        labelled.join(mixed, "bh")
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        .join(sigs, "doc_id")
+        apart.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        .join(details, "doc_id")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .groupBy("bh", "band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-        .agg(F.collect_list(F.struct(F.col("doc_id").alias("doc"), "comp", "block", "sig")).alias("members"))
-    )
-    more = materialize(
-        confirmed(
-            materialize(
-                blocked.select("band", "x", "y", "members")
-                .mapInArrow(_cross_pairs(bands, rows, least), "a long, b long")
-                .distinct(),
-                "pairs",
-            )
-        ),
-        "links",
+        .agg(F.collect_list(member).alias("members"))
+        .select("band", "x", "y", "members")
     )
-    if more.isEmpty():
-        final = first
-    else:
-        # stars of the first components stand for their links
-        final = materialize(
-            connected_components(more.unionByName(first.select(F.col("node").alias("u"), F.col("component").alias("v")))),
-            "components",
-        )
-    drop_scratch(sets, sigs, members)
+    pairs = blocked.mapInArrow(_cross_pairs(bands, _least_equal(SKETCH, percent)), "a long, b long").distinct()
+    more = materialize(confirmed(materialize(pairs, "pairs")), "links")
+    final = found if more.isEmpty() else grown(found, more)
+    drop_scratch(sets, sigs, members, now, details)
 
     labels = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component")
