@@ -219,7 +219,7 @@ def remove_repeats(
 
     shared = reduce(DataFrame.unionByName, hits).groupBy("doc_id").agg(F.collect_set("h").alias("shared"))
     n = partitions(spark)
-    texts = slim.repartition(n, "doc_id")
+    texts = known.repartition(n, "doc_id")  # one exchange for both joins
     first = Window.partitionBy("digest").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     again = (
         texts.join(shared, "doc_id")
@@ -230,8 +230,10 @@ def remove_repeats(
         .groupBy("doc_id")
         .agg(F.collect_list("digest").alias("digests"))
     )
+    nameless = slim.where("doc_id IS NULL").withColumn("digests", F.lit(None).cast("array<long>"))
     return (
         texts.join(again, "doc_id", "left")
         .select("doc_id", "text", "digests")
+        .unionByName(nameless)
         .mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept_text string")
     )
