@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, drop_scratch, gram_hashes, materialize, mix
@@ -306,6 +306,21 @@ def near_duplicates(
     )
 
 
+def distinct_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """One document of each group of near duplicates, with all its columns: the one with
+    the smallest id. Of rows alike in id and text one stays; rows without id all stay."""
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings).where("kept AND doc_id IS NOT NULL")
+    alike = Window.partitionBy(id_col, "__hash").orderBy("__hash")
+    return (
+        docs.join(kept.select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
+        .withColumn("__hash", F.xxhash64(text_col))
+        .withColumn("__n", F.row_number().over(alike))
+        .where("__n = 1")
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        .unionByName(docs.where(F.col(id_col).isNull()))
+    )
+
+
 def _least_equal(count: int, percent: int) -> int:
     """Equal minima below which a pair cannot be similar, but for 4.5 standard deviations."""
     j = percent / 100

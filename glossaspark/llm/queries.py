@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import secret_scan
+from .common import scratch_path
 from .near_dedup import near_duplicates
 from .packing import packed_batches
 from .quality_rules import quality_rules
+from .quotations import link_quotations
+from .separator_scan import separator_scan, write_token_files
 from .source_mix import mix_sources
 from .substring_dedup import remove_repeats
+from .surrogates import with_surrogates
 from .topk_search import quantised, top_k_inner_products
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +190,34 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op1_length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_batches(_table(spark, sf_dir, "documents"), max_tokens=4096, budget=32768, buckets=16)
+
+
+#: Where the vocabulary of the token counts lies; any file of ranks will do.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@_query
+def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = scratch_path(spark, "tokens")
+    write_token_files(_table(spark, sf_dir, "documents"), files, vocabulary=VOCABULARY)
+    found = separator_scan(spark, files)
+    return found.select(F.regexp_extract("file", r"^part-(\d+)", 1).cast("int").alias("part"), F.regexp_extract("file", r"-c(\d+)", 1).cast("int").alias("piece"), "doc_no", "start", "n_tokens", "closed")
+
+
+#: Key of the surrogates; a deployment passes its own secret.
+SURROGATE_KEY = b"glossaspark surrogates"
+
+
+@_query
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_surrogates(_table(spark, sf_dir, "documents"), key=SURROGATE_KEY)
+
+
+@_query
+def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotations(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

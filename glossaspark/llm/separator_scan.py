@@ -106,7 +106,7 @@ def separator_scan(spark: SparkSession, path: str, *, separator: int = 50256, bl
         "n",
         "places",
         F.coalesce(F.sum(F.size("places")).over(prior), F.lit(0)).alias("docs_before"),
-        (F.coalesce(F.max(start + F.element_at("places", -1)).over(prior), F.lit(-1)) + 1).alias("open_at"),
+        (F.coalesce(F.max(start + F.try_element_at("places", F.lit(-1))).over(prior), F.lit(-1)) + 1).alias("open_at"),
         F.lead("block").over(later).isNull().alias("final"),
     )
     ends = F.transform(
@@ -118,7 +118,7 @@ def separator_scan(spark: SparkSession, path: str, *, separator: int = 50256, bl
             F.lit(True).alias("closed"),
         ),
     )
-    open_at = F.when(F.size("places") > 0, F.col("at") + F.element_at("places", -1) + 1).otherwise(F.col("open_at"))
+    open_at = F.when(F.size("places") > 0, F.col("at") + F.try_element_at("places", F.lit(-1)) + 1).otherwise(F.col("open_at"))
     rest = F.when(
         F.col("final") & (open_at < F.col("at") + F.col("n")),
         F.array(

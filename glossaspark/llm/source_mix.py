@@ -157,3 +157,26 @@ def mix_sources(
         .join(targets, "key")
         .select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
     )
+
+
+def mixed_documents(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings
+) -> DataFrame:
+    """The mix of :func:`mix_sources` as rows: each document as often as the mix takes
+    it, with all its columns. Rows alike in id, source and size share their takes."""
+    times = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **settings)
+    hashed = lambda a, b, c: F.xxhash64(a, F.coalesce(F.concat(F.lit("="), b), F.lit("")), c)
+    takes = times.groupBy(hashed(F.col("doc_id"), F.col("source"), F.col("size")).alias("__key")).agg(
+        F.sum("times").alias("__times"), F.count("*").alias("__rows")
+    )
+    size = n_words(F.col(text_col))
+    alike = Window.partitionBy("__key").orderBy(F.xxhash64(text_col))
+    extra = F.when(F.row_number().over(alike) <= F.col("__times") % F.col("__rows"), 1).otherwise(0)
+    return (
+        docs.withColumn("__key", hashed(F.col(id_col), F.col(source_col).cast("string"), size))
+        .join(takes.where("__times > 0"), "__key")
+        .withColumn("__take", (F.floor(F.col("__times") / F.col("__rows")) + extra).cast("int"))
+        .where("__take > 0")
+        .withColumn("__take", F.explode(F.sequence(F.lit(1), F.col("__take"))))
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    )
