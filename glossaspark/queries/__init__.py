@@ -1,10 +1,6 @@
 """Registered queries, each beside its oracle SQL."""
 
-from __future__ import annotations
+from . import identities, predicates
+from .registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "identities", "predicates"]
