@@ -22,7 +22,8 @@ def assessed(pairs: DataFrame, source: str = "source_text", target: str = "targe
 def summary(results: DataFrame, group: str, order: str, key: str) -> DataFrame:
     """Outcome of a task and its segments of low confidence in order."""
     low = F.col("outcome") == "low_confidence"
-    ids = F.transform(F.array_sort(F.collect_list(F.when(low, F.struct(order, key)))), lambda r: r[key])
+    pair = F.struct(F.col(order).alias("at"), F.col(key).alias("key"))
+    ids = F.transform(F.array_sort(F.collect_list(F.when(low, pair))), lambda r: r["key"])
     return results.groupBy(group).agg(
         F.when(F.bool_or(low), "low_confidence").otherwise("clear").alias("outcome"), F.count("*").alias("n"), ids.alias("low_confidence_ids")
     )

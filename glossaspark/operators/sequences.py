@@ -48,7 +48,7 @@ def overlaps(df: DataFrame, group: str, start: str, size: str) -> DataFrame:
 def change_points(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
     """Rows whose value differs from the row before; the first row is one."""
     last = Window.partitionBy(group).orderBy(*order)
-    return df.where(True).withColumn("__row", F.row_number().over(last)).withColumn("__last", F.lag(value).over(last)).where(
+    return df.withColumn("__row", F.row_number().over(last)).withColumn("__last", F.lag(value).over(last)).where(
         (F.col("__row") == 1) | ~F.col(value).eqNullSafe(F.col("__last"))
     ).drop("__row", "__last")
 
@@ -59,6 +59,10 @@ def carried(df: DataFrame, group: str, order: str, value: Column, alias: str) ->
     return df.withColumn(alias, F.last(value, ignorenulls=True).over(so_far))
 
 
+def _micros(name: str) -> Column:
+    return F.unix_micros(F.col(name).cast("timestamp"))
+
+
 def stable_runs(df: DataFrame, group: str, order: list[str], time: str, good: Column, least_seconds: float) -> DataFrame:
     """Runs of consecutive rows that satisfy ``good`` and last ``least_seconds`` or more:
     (group, run_start, run_end, n). A row that fails ends a run."""
@@ -67,7 +71,7 @@ def stable_runs(df: DataFrame, group: str, order: list[str], time: str, good: Co
     runs = df.withColumn("__run", broken).where(good).groupBy(group, "__run").agg(
         F.min(time).alias("run_start"), F.max(time).alias("run_end"), F.count("*").alias("n")
     )
-    long_enough = F.unix_micros("run_end") - F.unix_micros("run_start") >= int(least_seconds * 1_000_000)
+    long_enough = _micros("run_end") - _micros("run_start") >= int(least_seconds * 1_000_000)
     return runs.where(long_enough).drop("__run")
 
 
