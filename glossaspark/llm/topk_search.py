@@ -188,14 +188,14 @@ def top_k_inner_products(
         .agg(F.collect_list(F.struct("id", "v")).alias("q"))
         .select("qblock", F.transform("q", lambda x: x["id"]).alias("qids"), F.flatten(F.transform("q", lambda x: _padded(x["v"], width))).alias("qflat"))
     )
-    # one block of a bounded number of vectors
-    first_block = F.broadcast(blocks.where(F.col("block") == F.lit(top)).withColumn("one", F.lit(1)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(max(0, count - 1)))).alias("qblock")
+    first_block = blocks.where(F.col("block") == F.lit(top)).select("ids", "flat", every)
     best = _best(k, width, rotation, head)
     schema = "query_id long, vec_id long, score long"
     columns = ["qids", "qflat", "least", "ids", "flat"]
     lowest = F.transform("qids", lambda _: F.lit(-(2**63)).cast("long"))
     seeds = materialize(
-        asked_blocks.withColumn("one", F.lit(1)).withColumn("least", lowest).join(first_block, "one").select(columns).mapInArrow(best, schema),
+        asked_blocks.withColumn("least", lowest).join(first_block, "qblock").select(columns).mapInArrow(best, schema),
         "seeds",
     )
     floors = seeds.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("have"))
@@ -219,7 +219,7 @@ def top_k_inner_products(
     )
     pairs = (
         blocks.where(F.col("block") != F.lit(top))
-        .select("block", "longest", F.explode(F.sequence(F.lit(0), F.lit(max(0, count - 1)))).alias("qblock"))
+        .select("block", "longest", every)
         .join(queries_now.select("qblock", "needs"), "qblock")
         .where(F.col("longest") * (1 + 1e-9) >= F.col("needs"))
         .select("block", "qblock")
