@@ -1,6 +1,6 @@
 """Registered queries, each beside its oracle SQL."""
 
-from . import identities, joins, predicates, states
+from . import identities, joins, predicates, processes, states
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "identities", "joins", "predicates", "states"]
+__all__ = ["ORACLES", "QUERIES", "identities", "joins", "predicates", "processes", "states"]
