@@ -17,7 +17,7 @@ def files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
         reader = reader.option("pathGlobFilter", glob)
     rows = reader.load(root)
     base = F.regexp_replace(F.regexp_replace(F.lit(root), "^file:/*", "/"), "/+$", "")
-    whole = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
+    whole = F.regexp_replace("path", "^file:/*", "/")
     return rows.select(F.substring(whole, F.length(base) + 2, F.length(whole)).alias("path"), "content")
 
 
