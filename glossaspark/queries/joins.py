@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..functions.unicode import path_key
 from ..operators import matching, quality, render, sequences, store, tasks
+from ..sources.projects import by_parts
 from .registry import query, table
 
 LINES = """
@@ -484,3 +485,26 @@ def batch_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("batch"), F.lit(True).alias("member")).distinct()
     asked = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_custkey") % 100).alias("batch"))
     return asked.join(members, ["o_orderkey", "batch"], "left").select("o_orderkey", "o_custkey", F.coalesce("member", F.lit(False)).alias("member"))
+
+
+SORTED = "concat(CASE doc_id % 3 WHEN 0 THEN 'a/x' WHEN 1 THEN 'a-b/x' ELSE 'A/y' END, '/', doc_id, '.rpy')"
+
+
+@query(f"""
+SELECT source, path, row_number() OVER (PARTITION BY source ORDER BY string_split(path, '/')) AS position FROM (SELECT source, {SORTED} AS path FROM documents)
+""")
+def path_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths by their parts, in each project."""
+    rows = table(spark, sf_dir, "documents").select("source", F.expr(SORTED).alias("path"))
+    order = Window.partitionBy("source").orderBy(by_parts(F.col("path")))
+    return rows.select("source", "path", F.row_number().over(order).cast("long").alias("position"))
+
+
+@query(f"""
+SELECT source, path, row_number() OVER (PARTITION BY source ORDER BY lower(path), path) AS position FROM (SELECT source, {SORTED} AS path FROM documents)
+""")
+def casefold_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths without regard to case, ties by the exact path."""
+    rows = table(spark, sf_dir, "documents").select("source", F.expr(SORTED).alias("path"))
+    order = Window.partitionBy("source").orderBy(F.lower("path"), "path")
+    return rows.select("source", "path", F.row_number().over(order).cast("long").alias("position"))
