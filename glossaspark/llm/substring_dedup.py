@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -58,11 +57,13 @@ def _fingerprints(window: int, gram: int):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (window hash, document), bucketed by hash.
+    """Sorted immutable runs of window hashes, bucketed by hash: (h, lo, hi, n) with the
+    smallest and largest document and the number of documents of a hash.
 
-    ``add`` writes a batch as a new run and merge-joins it with the earlier runs;
-    both sides are bucketed alike, so history is never shuffled again. ``compact``
-    merges the runs into one.
+    ``add`` writes a batch as a new run and merge-joins it with the earlier ones; both
+    sides are bucketed alike, so history is never shuffled again. A run has one row for
+    each hash, summed up before the shuffle, so a hash that very many documents share
+    makes no large bucket. ``compact`` merges the runs into one.
     """
 
     def __init__(self, spark: SparkSession, *, window: int = 13, gram: int = 5, buckets: int | None = None, fanout: int = 3):
@@ -70,10 +71,14 @@ class FingerprintIndex:
         self.buckets = buckets or partitions(spark)
         self.runs: list[tuple[str, str]] = []
 
-    def _write(self, rows: DataFrame, name: str) -> tuple[str, str]:
-        table, path = f"{name}_{uuid.uuid4().hex}", scratch_path(self.spark, name)
+    def fingerprints(self, docs: DataFrame) -> DataFrame:
+        """(h, doc_id), each pair once for a row of (doc_id, text)."""
+        return docs.mapInArrow(_fingerprints(self.window, self.gram), "h long, doc_id long")
+
+    def _write(self, rows: DataFrame) -> tuple[str, str]:
+        table, path = f"run_{uuid.uuid4().hex}", scratch_path(self.spark, "run")
         (
-            rows.sortWithinPartitions("h", "doc_id")
+            rows.sortWithinPartitions("h")
             .write.bucketBy(self.buckets, "h")
             .sortBy("h")
             .option("compression", "zstd")
@@ -85,24 +90,18 @@ class FingerprintIndex:
         return table, path
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """Append (doc_id, text) rows. Returns (doc_id, h): every fingerprint of the
-        batch that another document has as well, and the same ones of earlier
-        documents. A pair may come twice."""
-        rows = docs.mapInArrow(_fingerprints(self.window, self.gram), "h long, doc_id long")
-        run = self._write(rows.repartition(self.buckets, "h"), "run")
+        """Append (doc_id, text) rows, whose ids are new. Returns (h, n): the hashes of
+        the batch that two documents have by now, and in how many documents they are."""
+        rows = self.fingerprints(docs)
+        run = self._write(rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")))
         new = self.spark.table(run[0])
-        span = Window.partitionBy("h")
-        inside = (
-            new.select("doc_id", "h", F.min("doc_id").over(span).alias("lo"), F.max("doc_id").over(span).alias("hi"))
-            .where("lo < hi")
-            .select("doc_id", "h")
-        )
-        found = [inside]
-        for table, _ in self.runs:
-            old = self.spark.table(table)
-            found.append(new.join(old.select("h").hint("merge"), "h", "left_semi").select("doc_id", "h"))
-            found.append(old.join(new.select("h").hint("merge"), "h", "left_semi").select("doc_id", "h"))
-        out = materialize(reduce(DataFrame.unionByName, found), "shared")
+        for i, (table, _) in enumerate(self.runs):
+            old = self.spark.table(table).select("h", F.col("lo").alias(f"lo{i}"), F.col("n").alias(f"n{i}"))
+            new = new.join(old.hint("merge"), "h", "left")
+        counts = [F.coalesce(f"n{i}", F.lit(0)) for i in range(len(self.runs))]
+        known = F.coalesce(*[F.col(f"lo{i}") for i in range(len(self.runs))], F.col("hi"))
+        shared = new.where((F.col("lo") < F.col("hi")) | (known != F.col("hi"))).select("h", sum(counts, F.col("n")).alias("n"))
+        out = materialize(shared, "shared")
         self.runs.append(run)
         if len(self.runs) >= self.fanout:
             self.compact()
@@ -110,8 +109,9 @@ class FingerprintIndex:
 
     def compact(self) -> None:
         """Merge all runs into one and delete them."""
-        rows = reduce(DataFrame.unionByName, [self.spark.table(t) for t, _ in self.runs])
-        merged = self._write(rows.repartition(self.buckets, "h"), "run")
+        # by path: Spark 4.1 takes a union of bucketed tables for partitioned, which it isn't
+        rows = self.spark.read.parquet(*[path for _, path in self.runs])
+        merged = self._write(rows.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")))
         self.drop()
         self.runs = [merged]
 
@@ -123,7 +123,8 @@ class FingerprintIndex:
 
 
 def _windows(window: int, gram: int):
-    """Digests of the windows whose fingerprint is shared, one row each."""
+    """Digests of the windows whose fingerprint is among the given ones, each once for a
+    document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -184,6 +185,7 @@ def remove_repeats(
     gram: int = 5,
     batches: int = 4,
     fanout: int = 3,
+    many: int = 10_000,
 ) -> DataFrame:
     """Remove each word covered by a ``window``-word passage that also starts in a
     document with a smaller doc_id.
@@ -191,7 +193,9 @@ def remove_repeats(
     The documents enter a :class:`FingerprintIndex` in batches by ascending doc_id.
     Its hits are verified on 64-bit digests of the whole windows (an unequal pair
     passes with a probability of 2**-64); documents with a hit give the digests of
-    the windows there, and the smallest doc_id of each digest keeps it.
+    the windows there, and the smallest doc_id of each digest keeps it. Passages of
+    ``many`` documents or more go through a join that can be split; the result is the
+    same for any value.
 
     Returns (doc_id, n_words, n_removed, kept_text), one row per row of ``docs``;
     kept words are joined by one space. Null and empty texts have no words. Texts
@@ -207,29 +211,39 @@ def remove_repeats(
     ).first()[0] or []
     edges = [None, *sorted({*cuts} if batches > 1 else {}), None]
     index = FingerprintIndex(spark, window=window, gram=gram, fanout=fanout)
-    hits = []
+    found = []
     for low, high in zip(edges, edges[1:], strict=False):
         part = known
         if low is not None:
             part = part.where(F.col("doc_id") > low)
         if high is not None:
             part = part.where(F.col("doc_id") <= high)
-        hits.append(index.add(part))
+        found.append(index.add(part))
     index.drop()
 
-    shared = reduce(DataFrame.unionByName, hits).groupBy("doc_id").agg(F.collect_set("h").alias("shared"))
-    n = partitions(spark)
-    texts = known.repartition(n, "doc_id")  # one exchange for both joins
-    first = Window.partitionBy("digest").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    again = (
-        texts.join(shared, "doc_id")
-        .select("doc_id", "text", "shared")
-        .mapInArrow(_windows(window, gram), "digest long, doc_id long")
-        .select("doc_id", "digest", F.first("doc_id").over(first).alias("owner"))
-        .where("doc_id > owner")
+    hashes = reduce(DataFrame.unionByName, found).groupBy("h").agg((F.max("n") >= many).alias("hot"))
+    chosen = lambda hot: F.transform(F.filter("found", lambda x: x["hot"] == hot), lambda x: x["h"])
+    shared = (
+        index.fingerprints(known)
+        .join(hashes, "h")
         .groupBy("doc_id")
-        .agg(F.collect_list("digest").alias("digests"))
+        .agg(F.collect_set(F.struct("h", "hot")).alias("found"))
+        .select("doc_id", chosen(False).alias("few"), chosen(True).alias("many"))
     )
+    n = partitions(spark)
+    texts = known.repartition(n, "doc_id")  # one exchange for all joins
+    marked = texts.join(shared, "doc_id")
+
+    def windows(column: str) -> DataFrame:
+        return marked.where(F.size(column) > 0).select("doc_id", "text", column).mapInArrow(_windows(window, gram), "digest long, doc_id long")
+
+    # digests of fewer than ``many`` documents: one sorted group holds them
+    first = Window.partitionBy("digest").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cold = windows("few").select("doc_id", "digest", F.first("doc_id").over(first).alias("owner"))
+    # others: owners by pre-aggregation, and a join that can be split
+    owners = windows("many").groupBy("digest").agg(F.min("doc_id").alias("owner"))
+    hot = windows("many").join(owners, "digest").select("doc_id", "digest", "owner")
+    again = cold.unionByName(hot).where("doc_id > owner").groupBy("doc_id").agg(F.collect_list("digest").alias("digests"))
     nameless = slim.where("doc_id IS NULL").withColumn("digests", F.lit(None).cast("array<long>"))
     return (
         texts.join(again, "doc_id", "left")

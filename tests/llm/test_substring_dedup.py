@@ -44,10 +44,10 @@ def found(df):
 
 
 def test_equal_to_brute_force(spark):
-    for seed, batches in ((1, 4), (2, 1), (3, 7)):
+    for seed, batches, many in ((1, 4, 10_000), (2, 1, 2), (3, 7, 5)):
         texts = corpus(seed)
         docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-        assert found(remove_repeats(docs, batches=batches)) == brute(texts)
+        assert found(remove_repeats(docs, batches=batches, many=many)) == brute(texts)
 
 
 def test_other_window(spark):
@@ -60,9 +60,13 @@ def test_runs_are_compacted(spark):
     index = FingerprintIndex(spark, fanout=2)
     docs = spark.createDataFrame(list(corpus(4).items()), "doc_id long, text string")
     for low in (0, 40, 80):
-        index.add(docs.where(f"doc_id >= {low} AND doc_id < {low + 40}"))
+        shared = index.add(docs.where(f"doc_id >= {low} AND doc_id < {low + 40}"))
+        so_far = index.fingerprints(docs.where(f"doc_id < {low + 40}")).groupBy("h").count().where("count > 1")
+        batch = index.fingerprints(docs.where(f"doc_id >= {low} AND doc_id < {low + 40}")).select("h").distinct()
+        assert sorted(map(tuple, shared.collect())) == sorted(map(tuple, so_far.join(batch, "h").collect()))
     assert len(index.runs) == 1
-    assert spark.table(index.runs[0][0]).select("doc_id").distinct().count() > 80
+    run = spark.table(index.runs[0][0])
+    assert run.select("h").distinct().count() == run.count() and run.agg({"hi": "max"}).first()[0] > 80
     index.drop()
     assert not index.runs
 
