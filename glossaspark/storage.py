@@ -21,8 +21,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, for a table that later steps read."""
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables of :func:`scratch_path`, when no result that reads them is
+    needed any more."""
+    while _made:
+        delete_path(spark, _made.pop())
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
