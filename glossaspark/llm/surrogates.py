@@ -23,6 +23,7 @@ PHONE = (
 )
 ADDRESS = r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\w|\.[0-9]))"
 CARD = r"(?P<card>(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))"
+NATIONAL = r"(?P<national>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
 CREDENTIAL = (
     r"(?P<access>(?<![A-Za-z0-9])AKIA[A-Z0-9]{12,}(?![A-Za-z0-9]))"
     r"""|(?P<secret>(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?(?P<value>[A-Za-z0-9+/_.=-]{8,}))"""
@@ -48,7 +49,7 @@ NAME = (
     rf"|(?P<full>\b(?:{_given})[ ](?:{_family})\b)"
 )
 MARKED = re.compile("[0-9@]|(?i:password|passwd|secret|token|api_?key)|AKIA")
-ENTITY = re.compile("|".join((EMAIL, CREDENTIAL, ADDRESS, PHONE, CARD)))
+ENTITY = re.compile("|".join((EMAIL, CREDENTIAL, ADDRESS, PHONE, NATIONAL, CARD)))
 NAMED = re.compile(NAME)
 
 
@@ -112,6 +113,8 @@ class Surrogates:
         if kind == "phone":
             kept = 2 if value[0] == "+" else 0  # the first digit of the country code
             return self.spelled(value, [digits if i >= kept else None for i in range(len(value))], f"{tweak}|{value[:kept]}")
+        if kind == "national":
+            return self.spelled(value, [digits] * len(value), tweak)
         if kind == "card":
             head = self.spelled(value[:-1], [None] + [digits] * (len(value) - 2), f"{tweak}|{value[0]}")
             return next(head + d for d in digits if _valid(head + d))
@@ -167,10 +170,10 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     found = []
     if MARKED.search(text):
         for m in ENTITY.finditer(text):
-            kind, start, end = m.lastgroup, m.start(), m.end()
+            start, end = m.start(), m.end()
             if m["secret"]:
-                kind, start, end = "secret", m.start("value"), m.end("value")
-                found.append((start, end, kind, text[start:end]))
+                start, end = m.start("value"), m.end("value")
+                found.append((start, end, "secret", text[start:end]))
                 continue
             value = m[0]
             digits = re.sub("[^0-9]", "", value)
@@ -181,6 +184,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                     found.append((start, end, "phone", ("+" if value[0] == "+" else "") + digits))
             elif m["ip"]:
                 found.append((start, end, "ip", ".".join(str(int(x)) for x in value.split("."))))
+            elif m["national"]:
+                found.append((start, end, "national", digits))
             elif m["card"]:
                 if _valid(digits):
                     found.append((start, end, "card", digits))
@@ -204,7 +209,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
 
 def _written(kind: str, original: str, surrogate: str) -> str:
     """The surrogate in the format of the occurrence."""
-    if kind in ("phone", "card"):
+    if kind in ("phone", "card", "national"):
         digits = iter(surrogate.lstrip("+"))
         return "".join(next(digits) if "0" <= c <= "9" else c for c in original)
     if kind in ("email", "word"):
@@ -308,8 +313,8 @@ def with_surrogates(
 ) -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced.
 
-    Entities: e-mail addresses, phone numbers, IPv4 addresses, card numbers with a
-    right check digit, names (after a title, or a listed given and family name), access
+    Entities: e-mail addresses, phone numbers, IPv4 addresses, social security
+    numbers, card numbers with a right check digit, names (after a title, or a listed given and family name), access
     keys and values assigned to passwords or tokens. Surrogates are keyed and keep kind
     and format: digits stay digits, letters keep script and case, cards keep issuer and
     check digit, names keep gender (list, ending) and script. The same
