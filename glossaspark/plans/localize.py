@@ -30,11 +30,18 @@ def mapped(segments: DataFrame, entries: DataFrame) -> DataFrame:
 
 def crosschecked(segments: DataFrame, entries: DataFrame, found: DataFrame) -> DataFrame:
     """One row: counts by kind on both sides, what has no partner, and whether all match."""
-    ours = segments.agg(F.count("*").alias("segments"), F.count_if(F.col("kind") == "menu_choice").alias("choices"))
-    theirs = entries.agg(F.count("*").alias("entries"), F.count_if(F.col("kind") == "menu_choice").alias("official_choices"))
-    pairs = found.agg(F.count("*").alias("mapped"))
-    # three single rows side by side
-    one = ours.withColumn("k", F.lit(1)).join(theirs.withColumn("k", F.lit(1)), "k").join(pairs.withColumn("k", F.lit(1)), "k").drop("k")
+    choice = (F.col("kind") == "menu_choice").cast("int")
+    side = lambda df, name, extra: df.select(F.lit(name).alias("side"), extra.alias("choice"))
+    rows = side(segments, "ours", choice).unionByName(side(entries, "theirs", choice)).unionByName(side(found, "pairs", F.lit(0)))
+    count = lambda name: F.count_if(F.col("side") == name)
+    choices = lambda name: F.count_if((F.col("side") == name) & (F.col("choice") == 1))
+    one = rows.agg(
+        count("ours").alias("segments"),
+        choices("ours").alias("choices"),
+        count("theirs").alias("entries"),
+        choices("theirs").alias("official_choices"),
+        count("pairs").alias("mapped"),
+    )
     return one.withColumn("matches", F.expr("segments = entries AND choices = official_choices AND mapped = segments"))
 
 

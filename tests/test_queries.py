@@ -29,3 +29,10 @@ def test_entry_runs(spark):
 def test_rest_imports_nothing_of_the_training_operators():
     code = "import sys, glossaspark.queries, glossaspark.plans.localize, glossaspark.sources.archives, glossaspark.streaming.sink; assert not [m for m in sys.modules if m.startswith('glossaspark.llm')]"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_query_pairs_all_rows(spark, name):
+    if name != "state_stream":  # it runs as a stream
+        plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
