@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..domains import TASK_MOVES
-from ..functions import text
 from ..operators import state, store
+from ..sources.compatibility import classify, status
+from ..sources.events import valid_progress
 from .registry import query, table
 
 STATUS = "CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'signup' THEN 'paused' WHEN 'error' THEN 'failed' ELSE 'completed' END"
@@ -212,21 +213,12 @@ def event_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", valid_progress(F.col("stage"), F.col("message"), F.col("done"), F.col("total")).alias("valid"), "terminal")
 
 
-def valid_progress(stage, message, done, total):
-    from ..domains import STAGE_PERCENT
-
-    counts = (done.isNull() == total.isNull()) & F.coalesce((total != 0) & (done <= total), F.lit(True))
-    return stage.isin(*STAGE_PERCENT) & text.checked_string(message, 2000) & counts
-
-
 @query("""
 SELECT page_id AS project, CASE WHEN n_source > 0 THEN 'source_ready' WHEN packaged AND strong THEN 'packaged_requires_import' WHEN packaged THEN 'uncertain' WHEN n_tl > 0 THEN 'uncertain' WHEN runtime AND launcher THEN 'uncertain' ELSE 'not_renpy' END AS status
 FROM (SELECT page_id, n_source, n_tl, runtime, launcher, n_archive + n_compiled > 0 AS packaged, n_compiled > 0 OR (n_archive > 0 AND (launcher OR runtime)) AS strong
   FROM (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 2 ELSE 0 END AS n_source, CASE WHEN page_id % 5 = 0 THEN 1 ELSE 0 END AS n_archive, CASE WHEN page_id % 11 = 0 THEN 1 ELSE 0 END AS n_compiled, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS n_tl, page_id % 2 = 0 AS launcher, page_id % 4 = 0 AS runtime FROM pages))
 """)
 def compat_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.compatibility import status
-
     counts = table(spark, sf_dir, "pages").selectExpr(
         "page_id AS project", "true AS has_game", "false AS incomplete", "CASE WHEN page_id % 7 = 0 THEN 2 ELSE 0 END AS sources", "CASE WHEN page_id % 5 = 0 THEN 1 ELSE 0 END AS archives",
         "CASE WHEN page_id % 11 = 0 THEN 1 ELSE 0 END AS compiled", "CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS translations", "page_id % 2 = 0 AS launcher", "page_id % 4 = 0 AS runtime",
@@ -241,8 +233,6 @@ CLASSES = "concat(CASE WHEN doc_id % 3 = 0 THEN 'tl/schinese/' ELSE 'scripts/' E
 SELECT doc_id, CASE WHEN starts_with(path, 'tl/') AND regexp_matches(lower(path), '\\.rpym?c?$') THEN 'translation' WHEN regexp_matches(lower(path), '\\.rpym?$') THEN 'source' WHEN regexp_matches(lower(path), '\\.rpym?c$') THEN 'compiled' WHEN lower(path) LIKE '%.rpa' THEN 'archive' END AS class FROM (SELECT doc_id, {CLASSES} AS path FROM documents)
 """)
 def compat_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.compatibility import classify
-
     return table(spark, sf_dir, "documents").select("doc_id", classify(F.expr(CLASSES)).alias("class"))
 
 
@@ -250,7 +240,5 @@ def compat_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source AS project, count(*) FILTER (c = 'source') AS sources, count(*) FILTER (c = 'archive') AS archives FROM (SELECT source, CASE WHEN starts_with(path, 'tl/') AND regexp_matches(lower(path), '\\.rpym?c?$') THEN 'translation' WHEN regexp_matches(lower(path), '\\.rpym?$') THEN 'source' WHEN lower(path) LIKE '%.rpa' THEN 'archive' END AS c FROM (SELECT source, {CLASSES} AS path FROM documents)) GROUP BY source
 """)
 def compat_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.compatibility import classify
-
     kinds = table(spark, sf_dir, "documents").select(F.col("source").alias("project"), classify(F.expr(CLASSES)).alias("c"))
     return kinds.groupBy("project").agg(F.count_if(F.col("c") == "source").alias("sources"), F.count_if(F.col("c") == "archive").alias("archives"))

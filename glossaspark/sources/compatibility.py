@@ -69,13 +69,15 @@ def listing(spark: SparkSession, root: str, max_depth: int = 12, max_entries: in
 
 
 def report(entries: DataFrame) -> DataFrame:
-    """One row for a project from its listing (paths below the project)."""
+    """One row for a project from its listing (paths below the project). Exactly one
+    folder of the project is named ``game``, in any case; two of them are none."""
     game = F.lower(F.split("path", "/")[0]) == "game"
+    folders = F.count_if(F.col("is_dir") & (F.lower("path") == "game"))
     inner = F.regexp_replace("path", "^[^/]*/", "")
     kind = F.when(game & ~F.col("is_dir") & ~F.col("is_link"), classify(inner))
     count = lambda k: F.count_if(F.coalesce(kind == k, F.lit(False)))
     counts = entries.agg(
-        F.coalesce(F.bool_or(game & F.col("is_dir")), F.lit(False)).alias("has_game"),
+        (folders == 1).alias("has_game"),
         F.coalesce(F.bool_or(game & F.col("is_link")), F.lit(False)).alias("incomplete"),
         count("source").alias("sources"),
         count("archive").alias("archives"),

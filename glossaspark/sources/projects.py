@@ -50,3 +50,17 @@ def scripts(spark: SparkSession, root: str) -> DataFrame:
     """Decoded scripts (path, text, encoding, has_bom, size_bytes, sha256) of a project."""
     found = files(spark, root, "*.[rR][pP][yY]*")
     return decoded_files(found.where(~paths.ignored(F.col("path")) & paths.suffix(F.col("path")).isin(".rpy", ".rpym")))
+
+
+def translatable(path: Column) -> Column:
+    """A script below ``game`` that is no translation."""
+    parts = F.transform(F.split(path, "/"), F.lower)
+    return (F.get(parts, F.lit(0)) == "game") & ~F.array_contains(parts, "tl") & paths.suffix(path).isin(".rpy", ".rpym")
+
+
+def exported(found: DataFrame, language: str) -> DataFrame:
+    """Files (path, ...) of a translation export, which holds only ``.rpy`` files below
+    ``game/tl/<language>``; anything else stops the query."""
+    inside = F.startswith("path", F.lit(f"game/tl/{language}/")) & F.endswith("path", F.lit(".rpy"))
+    stray = F.raise_error(F.concat(F.lit("not part of an export: "), "path"))
+    return found.withColumn("path", F.when(inside, F.col("path")).otherwise(stray))

@@ -7,7 +7,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from glossaspark.sources import archives, compatibility, encoding, projects, publish, scripts, templates
+from glossaspark.__main__ import main
+from glossaspark.sources import archives, compatibility, encoding, events, projects, publish, scripts, templates
 
 SCRIPT = '''define aoi = Character("Aoi")
 label start:
@@ -261,3 +262,45 @@ def test_publish(spark, tmp_path):
     with pytest.raises(ValueError):
         publish.publish(files.select(F.lit("game/tl/fr/../x.rpy").alias("relative_path"), "content"), str(tmp_path / "other"))
     assert [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_event_lines(spark, tmp_path):
+    good = '{"schema_version":2,"type":"progress","stage":"translating","message":"m","completed_batches":0,"total_batches":3}'
+    lines = [
+        good,
+        good.replace("translating", "thinking"),
+        good.replace('"total_batches":3', '"total_batches":0'),
+        good.replace(',"completed_batches":0', ""),
+        good.replace('"message":"m"', '"message":"m","extra":1'),
+        good.replace('"schema_version":2', '"schema_version":1'),
+        "[1]",
+        good.replace('"m"', f'"{"m" * events.MOST_BYTES}"'),
+        '{"schema_version":2,"type":"succeeded"}',
+        good,
+    ]
+    (tmp_path / "run.jsonl").write_text("\n".join(lines) + "\n")
+    rows = events.read(spark, str(tmp_path)).orderBy("line_no").collect()
+    assert [r["error"] for r in rows] == [None, "progress", "progress", "progress", "unknown_fields", "version", "no_object", "line_too_long", None, "after_end"]
+
+
+def test_listings(spark):
+    rows = [("game/a.rpy",), ("game/tl/fr/a.rpy",), ("Game/sub/b.RPYM",), ("other/c.rpy",), ("game/p.png",)]
+    df = spark.createDataFrame(rows, "path string")
+    assert {r["path"] for r in df.where(projects.translatable(F.col("path"))).collect()} == {"game/a.rpy", "Game/sub/b.RPYM"}
+    assert projects.exported(df.where("path = 'game/tl/fr/a.rpy'"), "fr").count() == 1
+    with pytest.raises(Exception, match="not part of an export"):
+        projects.exported(df, "fr").collect()
+
+
+def test_command_line(spark, project, tmp_path, capsys):
+    assert main(["doctor"]) == 0
+    assert main(["scan", str(tmp_path / "none")]) == 2
+    assert main(["extract", str(project), "-o", str(tmp_path / "out.jsonl")]) == 0
+    lines = (tmp_path / "out.jsonl").read_text().splitlines()
+    assert len(lines) == 7 and '"source_file":"game/chapter/one.rpym"' in lines[0]
+    assert main(["extract", str(project), "-o", str(tmp_path / "out.jsonl")]) == 3
+    tl = tmp_path / "tl"
+    tl.mkdir()
+    (tl / "script.rpy").write_text(TEMPLATE)
+    assert main(["check", str(project), str(tl), "french"]) == 4
+    assert '"matches":false' in capsys.readouterr().out
