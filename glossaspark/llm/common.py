@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,12 +27,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let shuffle files of finished steps go: Spark deletes them once the driver has
+    collected their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_scratch(*frames: DataFrame) -> None:
-    """Delete tables of :func:`materialize` that nothing reads any more."""
+    """Delete tables of :func:`materialize` that nothing reads any more, and the shuffle
+    files of finished steps."""
     for df in frames:
         path = getattr(df, "scratch", None)
         if path:
             delete_path(df.sparkSession, path)
+    if frames:
+        release(frames[0].sparkSession)
 
 
 def partitions(spark: SparkSession) -> int:

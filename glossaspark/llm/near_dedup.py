@@ -14,7 +14,7 @@ from .common import WordHashes, drop_scratch, gram_hashes, materialize, mix
 from .components import connected_components
 
 #: Members of a bucket that are compared in one piece of work.
-BLOCK = 256
+BLOCK = 1024
 #: Minima of the finer sketches that such members are compared by.
 SKETCH = 1024
 
@@ -263,6 +263,7 @@ def near_duplicates(
         if links.isEmpty():
             break
         found = grown(found, links)
+        drop_scratch(links)
 
     now = materialize(labelled(found), "labelled")
     mixed = (
