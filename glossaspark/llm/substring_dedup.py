@@ -8,10 +8,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, delete_path, gram_hashes, materialize, partitions, scratch_path
+from .common import WordHashes, delete_path, drop_scratch, gram_hashes, materialize, partitions, release, scratch_path
 
 #: Multiplier of window digests; that of the fingerprints differs.
 DIGEST = 0xD6E8FEB86659FD93
@@ -89,10 +89,11 @@ class FingerprintIndex:
         )
         return table, path
 
-    def add(self, docs: DataFrame) -> DataFrame:
+    def add(self, docs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
         """Append (doc_id, text) rows, whose ids are new. Returns (h, n): the hashes of
-        the batch that two documents have by now, and in how many documents they are."""
-        rows = self.fingerprints(docs)
+        the batch that two documents have by now, and in how many documents they are.
+        ``rows``: the :meth:`fingerprints` of ``docs`` where they are written already."""
+        rows = self.fingerprints(docs) if rows is None else rows
         run = self._write(rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")))
         new = self.spark.table(run[0])
         for i, (table, _) in enumerate(self.runs):
@@ -176,6 +177,14 @@ def _removed(window: int):
     return run
 
 
+def _plain(docs: DataFrame, column: str, name: str, kind: str) -> Column:
+    """The column as ``name`` and ``kind``. One that is so already stays bare: behind an
+    alias, plans that share an exchange of it would look different to Spark."""
+    if column == name and dict(docs.dtypes)[column] == kind:
+        return F.col(column)
+    return F.col(column).cast(kind).alias(name)
+
+
 def remove_repeats(
     docs: DataFrame,
     *,
@@ -204,32 +213,37 @@ def remove_repeats(
     gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(_plain(docs, id_col, "doc_id", "bigint"), _plain(docs, text_col, "text", "string"))
     known = slim.where("doc_id IS NOT NULL")
     cuts = known.agg(
         F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [1.0], 10_000)
     ).first()[0] or []
     edges = [None, *sorted({*cuts} if batches > 1 else {}), None]
     index = FingerprintIndex(spark, window=window, gram=gram, fanout=fanout)
-    found = []
+    found, prints = [], []
     for low, high in zip(edges, edges[1:], strict=False):
         part = known
         if low is not None:
             part = part.where(F.col("doc_id") > low)
         if high is not None:
             part = part.where(F.col("doc_id") <= high)
-        found.append(index.add(part))
+        prints.append(materialize(index.fingerprints(part), "prints"))
+        found.append(index.add(part, prints[-1]))
+        release(spark)
     index.drop()
 
     hashes = reduce(DataFrame.unionByName, found).groupBy("h").agg((F.max("n") >= many).alias("hot"))
     chosen = lambda hot: F.transform(F.filter("found", lambda x: x["hot"] == hot), lambda x: x["h"])
-    shared = (
-        index.fingerprints(known)
-        .join(hashes, "h")
+    # one row for each hash on one side, so its hash table is small and sorts are saved
+    shared = materialize(
+        reduce(DataFrame.unionByName, prints)
+        .join(hashes.hint("shuffle_hash"), "h")
         .groupBy("doc_id")
         .agg(F.collect_set(F.struct("h", "hot")).alias("found"))
-        .select("doc_id", chosen(False).alias("few"), chosen(True).alias("many"))
+        .select("doc_id", chosen(False).alias("few"), chosen(True).alias("many")),
+        "marks",
     )
+    drop_scratch(*prints, *found)
     n = partitions(spark)
     texts = known.repartition(n, "doc_id")  # one exchange for all joins
     marked = texts.join(shared, "doc_id")
