@@ -15,6 +15,9 @@ from glossaspark.llm.surrogates import with_surrogates
 
 SURROGATE_KEY = b"glossaspark surrogates"
 
+#: Documents of a source that may hold the same line, however large the source is.
+LINE_DOCS = 30
+
 
 def _recounted(docs: DataFrame) -> DataFrame:
     """n_chars follows the text."""
@@ -25,7 +28,7 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go, and lines that too many documents of a source hold."""
-    return _recounted(clean_documents(docs))
+    return _recounted(clean_documents(docs, max_host_docs=LINE_DOCS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,7 +83,11 @@ def _judged(
     max_host_percent: int,
     min_host_docs: int,
     min_left_percent: int,
+    max_host_docs: int | None,
 ) -> tuple[DataFrame, DataFrame]:
+    over = F.col("n_docs") * 100 > F.col("host_docs") * max_host_percent
+    if max_host_docs is not None:
+        over |= F.col("n_docs") > max_host_docs
     rows = materialize(_measured(docs, id_col, text_col, host_col), "measured")
     per_host = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
     counted = (
@@ -94,9 +98,7 @@ def _judged(
     )
     # written first: Spark then knows its size and broadcasts it only when small
     frequent = materialize(
-        counted.join(per_host, "host")
-        .where(F.col("n_docs") * 100 > F.col("host_docs") * max_host_percent)
-        .select("host", "h"),
+        counted.join(per_host, "host").where(over).select("host", "h"),
         "frequent",
     )
     hits = (
@@ -131,6 +133,7 @@ def quality_rules(
     max_host_percent: int = 10,
     min_host_docs: int = 10,
     min_left_percent: int = 50,
+    max_host_docs: int | None = None,
 ) -> DataFrame:
     """Judge each document.
 
@@ -138,7 +141,9 @@ def quality_rules(
     the words in three-word windows that the text holds twice or more. Method: the
     lines of all documents, in lower case and with single blanks, are hashed and the
     distinct documents of each line counted per host. A line in more than
-    ``min_host_docs`` documents and ``max_host_percent`` % of a host's documents goes;
+    ``min_host_docs`` documents and ``max_host_percent`` % of a host's documents goes,
+    and so does one in more than ``max_host_docs`` documents of a host of any size
+    (None: no such limit);
     a document with less than ``min_left_percent`` % of its words left is rejected.
 
     Counts are pre-aggregated before the shuffle, and the join of lines with the
@@ -149,18 +154,18 @@ def quality_rules(
     host are one host. Repeated rows count each. An empty table gives an empty
     result; other columns are ignored.
     """
-    judged, _ = _judged(docs, id_col, text_col, host_col, min_words, max_repeat_percent, max_host_percent, min_host_docs, min_left_percent)
+    judged, _ = _judged(docs, id_col, text_col, host_col, min_words, max_repeat_percent, max_host_percent, min_host_docs, min_left_percent, max_host_docs)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words", "n_lost_lines", "base_failed", "kept"
     )
 
 
 def clean_documents(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits: int
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits: int | None
 ) -> DataFrame:
     """The documents that :func:`quality_rules` keeps, with all their columns and
     without the lines over the limits."""
-    settings = {"min_words": 50, "max_repeat_percent": 50, "max_host_percent": 10, "min_host_docs": 10, "min_left_percent": 50} | limits
+    settings = {"min_words": 50, "max_repeat_percent": 50, "max_host_percent": 10, "min_host_docs": 10, "min_left_percent": 50, "max_host_docs": None} | limits
     judged, _ = _judged(docs, id_col, text_col, host_col, **settings)
     verdict = materialize(
         judged.where("kept").select(F.col("row_key").alias("__key"), F.col("lost_lines").alias("__lost")).dropDuplicates(["__key"]),

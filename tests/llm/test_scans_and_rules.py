@@ -83,6 +83,20 @@ def test_frequent_lines_and_depleted_documents(spark):
     assert clean[105]["text"] == rows[35][1]
 
 
+def test_pipeline_removes_lines_by_count_in_large_hosts(spark):
+    import corpus_pipeline
+
+    words = lambda i, n: " ".join(f"u{i}x{j}" for j in range(n))
+    line = "all rights are reserved by this host"
+    rows = [(i, words(i, 60) + ("\n" + line if i < 99 else ""), "large") for i in range(1000)]
+    rows += [(2000 + i, words(2000 + i, 60) + ("\n" + line if i < 30 else ""), "next") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality(spark, docs, "").collect()}
+    assert len(clean) == len(rows)
+    assert not [i for i in range(99) if line in clean[i]]  # 9.9 % of the host
+    assert sum(line in t for t in clean.values()) == 30  # at the limit
+
+
 def test_quality_edge_rows(edge_docs, no_docs):
     rows = quality_rules(edge_docs).collect()
     assert len(rows) == edge_docs.count()
