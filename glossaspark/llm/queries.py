@@ -201,7 +201,7 @@ def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = scratch_path(spark, "tokens")
     write_token_files(_table(spark, sf_dir, "documents"), files, vocabulary=VOCABULARY)
     found = separator_scan(spark, files)
-    return found.select(F.regexp_extract("file", r"^part-(\d+)", 1).cast("int").alias("part"), F.regexp_extract("file", r"-c(\d+)", 1).cast("int").alias("piece"), "doc_no", "start", "n_tokens", "closed")
+    return found.select(F.regexp_extract("file", r"/part-(\d+)", 1).cast("int").alias("part"), F.regexp_extract("file", r"^piece=(\d+)/", 1).cast("int").alias("piece"), "doc_no", "start", "n_tokens", "closed")
 
 
 #: Key of the surrogates; a deployment passes its own secret.

@@ -153,6 +153,32 @@ def test_separator_scan_blocks(spark, tmp_path):
         separator_scan(spark, f"file://{tmp_path}", separator=7).collect()
 
 
+def test_separator_scan_reads_ranges_of_large_files(spark, tmp_path):
+    """A file over 2 GiB, which Spark can't read as one row."""
+    n, ends = (1 << 30) + 5, [3, 1 << 29, (1 << 30) + 1]
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate(2 * n)
+        for i in ends:
+            f.seek(2 * i)
+            f.write((7).to_bytes(2, "little"))
+    found = sorted(map(tuple, separator_scan(spark, f"file://{tmp_path}", separator=7, block_tokens=1 << 23).collect()))
+    starts = [0, *[i + 1 for i in ends]]
+    assert found == [("large.bin", i, a, b - a, b < n) for i, (a, b) in enumerate(zip(starts, [*ends, n], strict=True))]
+
+
+def test_token_files_are_bounded_by_bytes(spark, encode, tmp_path):
+    texts = [f"number {i} " + "word " * (i % 40) for i in range(300)] + ["long " * 5000]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    path = f"file://{tmp_path}/tokens"
+    write_token_files(docs, path, vocabulary=VOCABULARY, bytes_per_file=1000)
+    sizes = [p.stat().st_size for p in (tmp_path / "tokens").rglob("part-*")]
+    largest = 2 * len(encode(texts[-1])) + 2
+    assert len(sizes) > 10 and max(sizes) == largest and sorted(sizes)[-2] <= 1000
+    rows = separator_scan(spark, path, block_tokens=64).collect()
+    piece = lambda r: int(re.match(r"piece=(\d+)/", r["file"])[1])
+    assert [r["n_tokens"] for r in sorted(rows, key=lambda r: (piece(r), r["doc_no"]))] == [len(encode(t)) for t in texts]
+
+
 def test_separator_scan_edge_rows(spark, encode, edge_docs, no_docs, tmp_path):
     for name, docs in (("edge", edge_docs), ("none", no_docs)):
         path = f"file://{tmp_path}/{name}"
