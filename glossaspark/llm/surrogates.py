@@ -39,6 +39,8 @@ MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr")
 TITLES = ("Dr", "Prof")
 VOWELS = ("aeiou", "аеиоуыэюя")
 CONSONANTS = ("bcdfghjklmnpqrstvwxyz", "бвгджзйклмнпрстфхцчшщ")
+#: Only for words that have no other letters.
+ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþё"
 
 _title = "|".join((*FEMALE_TITLES, *MALE_TITLES, *TITLES))
 _given = "|".join((*FEMALE, *MALE, *FEMALE_CYRILLIC, *MALE_CYRILLIC))
@@ -134,6 +136,8 @@ class Surrogates:
             classes = [next((p for p in pools if c in p), None) for c in value]
             if len(value) > 3:
                 classes[-1] = None  # endings often carry the gender
+            if not any(classes):
+                classes = [ACCENTED if c in ACCENTED else None for c in value]
             return self.spelled(value, classes, f"{tweak}|{value[-1] if len(value) > 3 else ''}")
         pools = (digits + lower[:6],) if re.fullmatch("[0-9a-f]+", value) else (digits, lower, lower.upper())
         classes = [next((p for p in pools if c in p), None) for c in value]
@@ -166,14 +170,16 @@ def _name_parts(text: str) -> list[tuple[str, str, str]]:
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical value) of each entity of a text, in order. The
-    canonical value is the same for all spellings of an entity."""
-    found = []
+    canonical value is the same for all spellings of an entity. The parts of a name
+    count wherever the same text has them, also alone."""
+    found, parts = [], {}
     if MARKED.search(text):
         for m in ENTITY.finditer(text):
             start, end = m.start(), m.end()
             if m["secret"]:
                 start, end = m.start("value"), m.end("value")
-                found.append((start, end, "secret", text[start:end]))
+                if re.search("[A-Za-z0-9]", m["value"]):  # a row of signs hides nothing
+                    found.append((start, end, "secret", text[start:end]))
                 continue
             value = m[0]
             digits = re.sub("[^0-9]", "", value)
@@ -198,13 +204,28 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             at = text.index(part, at)
             found.append((at, at + len(part), kind, value))
             at += len(part)
+            if len(part) > 1:  # initials are no mention
+                parts |= {form: (kind, value) for form in ((value, value + "а") if kind == "family2" else (part,))}
     found.sort()
     out, end = [], 0
     for e in found:
         if e[0] >= end:
             out.append(e)
             end = e[1]
-    return out
+    return _with_mentions(text, out, parts) if parts else out
+
+
+def _with_mentions(text: str, found: list[tuple[int, int, str, str]], parts: dict[str, tuple[str, str]]) -> list[tuple[int, int, str, str]]:
+    """Entities, and between them the words that are parts of a name of the text."""
+    out, k = [], 0
+    mention = re.compile(rf"\b(?:{'|'.join(sorted(map(re.escape, parts), key=len, reverse=True))})\b")
+    for m in mention.finditer(text):
+        while k < len(found) and found[k][1] <= m.start():
+            out.append(found[k])
+            k += 1
+        if k == len(found) or m.end() <= found[k][0]:
+            out.append((m.start(), m.end(), *parts[m[0]]))
+    return out + found[k:]
 
 
 def _written(kind: str, original: str, surrogate: str) -> str:
@@ -286,7 +307,8 @@ def _collisions(known: DataFrame) -> DataFrame:
 
 def retried(listed: DataFrame, key: bytes, rounds: int = 8) -> DataFrame:
     """(kind, value, attempt) of the entities whose first surrogate collides, each with
-    the first attempt that doesn't; usually empty. The checks cover all entities."""
+    the first attempt that doesn't; usually empty. The checks cover all entities. An
+    entity that still collides after ``rounds`` further attempts stops the job."""
     known = materialize(listed.withColumn("attempt", F.lit(0)).select("kind", "value", "attempt", "surrogate"), "entities")
     for _ in range(rounds):
         again = materialize(_collisions(known), "collisions")
@@ -296,20 +318,24 @@ def retried(listed: DataFrame, key: bytes, rounds: int = 8) -> DataFrame:
             _attempted(key), "kind string, value string, attempt int, surrogate string"
         )
         known = materialize(known.join(again, ["kind", "value"], "left_anti").select("kind", "value", "attempt", "surrogate").unionByName(tried), "entities")
+    else:
+        left = _collisions(known).count()
+        if left:
+            raise RuntimeError(f"{left} entities have no surrogate of their own after {rounds} further attempts")
     return known.where("attempt > 0").select("kind", "value", "attempt")
 
 
 def _occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(d, k, v) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if t.is_valid for k, v in {e[2:] for e in entities(t.as_py())}]
+        rows = [(key, k, v) for key, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if t.is_valid for k, v in {e[2:] for e in entities(t.as_py())}]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())],
-            ["doc_id", "kind", "value"],
+            ["key", "kind", "value"],
         )
 
 
 def with_surrogates(
-    docs: DataFrame, *, key: bytes, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_entities"
+    docs: DataFrame, *, key: bytes, text_col: str = "text", count_col: str | None = "n_entities"
 ) -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced.
 
@@ -320,13 +346,14 @@ def with_surrogates(
     check digit, names keep gender (list, ending) and script. The same
     entity has the same surrogate in all documents and spellings; the distinct entities
     of the whole table are checked for collisions, and those that collide take another
-    permutation, joined back to their documents.
+    permutation, joined back by a hash of the text. Parts of a name are also replaced
+    where the same text has them alone, in the same spelling.
 
     Keeps all rows and columns and adds ``count_col``, also in place of a column of that
     name (None: nothing). Null and empty
-    texts stay as they are, so do texts without entities; repeated rows stay; a row
-    with a null id is rewritten without the rare second attempts. An empty table stays
-    empty.
+    texts stay as they are, so do texts without entities; repeated rows and null ids
+    stay. An empty table stays empty. Entities without a surrogate of their own after
+    all attempts stop the job.
     """
     listed = (
         docs.select(F.col(text_col).cast("string").alias("text"))
@@ -335,19 +362,18 @@ def with_surrogates(
     )
     again = retried(listed, key)
     fields = [c for c in docs.columns if c != count_col]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in fields]).alias("row"), F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in fields]).alias("row"), F.xxhash64(F.col(text_col).cast("string")).alias("__key"), F.col(text_col).cast("string").alias("__text"))
     if again.isEmpty():
         rows = rows.withColumn("__again", F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
     else:
         per_doc = (
-            docs.where(F.col(id_col).isNotNull())
-            .select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(_occurring, "doc_id long, kind string, value string")
+            rows.select("__key", "__text")
+            .mapInArrow(_occurring, "key long, kind string, value string")
             .join(again, ["kind", "value"])
-            .groupBy(F.col("doc_id").alias("__id"))
+            .groupBy(F.col("key").alias("__key"))  # equal hashes only share attempts, which name their entity
             .agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("__again"))
         )
-        rows = rows.join(per_doc, "__id", "left")
+        rows = rows.join(per_doc, "__key", "left")
     schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_entities", T.LongType())])
     done = rows.select("row", "__text", "__again").mapInArrow(_rewritten(key), schema)
     out = [F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in fields]

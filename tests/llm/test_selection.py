@@ -188,6 +188,34 @@ def test_collisions_try_again(spark):
     assert all(r["attempt"] == 1 for r in again)
 
 
+def test_mentions_of_a_name_without_title():
+    s = Surrogates(KEY)
+    text = "Mr John Smith called. Smith left, John's mail a.smith@x.example.org stays Smithy. Dr Zhang: Zhang. Мария Иванова и Иванов. Wei Zhang, I."
+    out, n = replaced(text, s, {})
+    assert n == 11 and not re.search(r"\b(?:Smith|John|Zhang|Иванова?)\b", out) and "Smithy" in out
+    family, given = s.of("family", "Smith"), s.of("male", "John")
+    assert out.startswith(f"Mr {given} {family} called. {family} left, {given}'s mail ")
+    assert re.search(r"Dr (\w+): \1\. ", out) and re.search(r" (\w+)а и \1\. ", out)
+    assert entities("Smith left, and John came; password: --------") == []
+
+
+def test_second_attempts_reach_rows_without_id(spark, monkeypatch):
+    from glossaspark.llm import surrogates
+
+    again = spark.createDataFrame([("phone", "+15550001", 1)], "kind string, value string, attempt int")
+    monkeypatch.setattr(surrogates, "retried", lambda listed, key: again)
+    docs = spark.createDataFrame([(1, "call +15550001"), (None, "call +15550001"), (None, "now +15550001"), (2, None)], "doc_id long, text string")
+    rows = with_surrogates(docs, key=KEY).collect()
+    wanted = Surrogates(KEY).of("phone", "+15550001", 1)
+    assert len(rows) == 4 and sorted(r["text"] or "" for r in rows) == ["", f"call {wanted}", f"call {wanted}", f"now {wanted}"]
+
+
+def test_collisions_that_remain_stop_the_job(spark):
+    rows = [("secret", "--------", "--------")]
+    with pytest.raises(RuntimeError, match="no surrogate"):
+        retried(spark.createDataFrame(rows, "kind string, value string, surrogate string"), KEY, rounds=1)
+
+
 def test_surrogates_edge_rows(edge_docs, no_docs):
     out = with_surrogates(edge_docs, key=KEY)
     assert sorted(out.columns) == sorted(edge_docs.columns)
