@@ -139,9 +139,10 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t F
 ), base AS (SELECT rid, o, kind, CAST(a AS BIGINT) AS a, CAST(a + length(s) AS BIGINT) AS z FROM b
 ), c AS (SELECT * FROM ({_matches("entropy", 3, secret_scan.CANDIDATE)}) WHERE NOT ({allowed})
 ), win AS (
-  SELECT rid, a, s, p, string_split(substr(s, p, 20), '') AS ch,
-         CASE WHEN regexp_full_match(s, '[0-9a-fA-F]+') THEN {secret_scan.most_weight(secret_scan.HEX_BITS)} ELSE {secret_scan.most_weight(secret_scan.MIXED_BITS)} END AS most
-  FROM (SELECT *, unnest(range(1, length(s) - 18)) AS p FROM c)
+  SELECT rid, a, p, string_split(w, '') AS ch,
+         CASE WHEN regexp_full_match(w, '[0-9a-fA-F]+') THEN {secret_scan.most_weight(secret_scan.HEX_BITS)} ELSE {secret_scan.most_weight(secret_scan.MIXED_BITS)} END AS most
+  FROM (SELECT *, substr(s, p, 20) AS w FROM (SELECT *, unnest(range(1, length(s) - 18)) AS p FROM c))
+  WHERE regexp_matches(w, '[A-Za-z]') AND regexp_matches(w, '[0-9+/]') AND NOT (contains(w, '/') AND regexp_matches(s, '{secret_scan.PATH.replace("++", "+")}'))
 ), e AS (
   SELECT rid, 3 AS o, 'entropy' AS kind, CAST(a + min(p) - 1 AS BIGINT) AS a, CAST(a + max(p) + 19 AS BIGINT) AS z FROM win
   WHERE list_sum(list_transform(list_distinct(ch), lambda k: [{weights}][1 + len(list_filter(ch, lambda x: x = k))])) <= most
