@@ -14,7 +14,7 @@ from .common import scratch_path
 from .near_dedup import near_duplicates
 from .packing import packed_batches
 from .quality_rules import quality_rules
-from .quotations import link_quotations
+from .quotations import as_mails, link_quotations, reply_order
 from .separator_scan import separator_scan, write_token_files
 from .source_mix import mix_sources
 from .substring_dedup import remove_repeats
@@ -216,7 +216,25 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_quotations(_table(spark, sf_dir, "conversations"))
+    """The table quotes nothing, so its turns first become mails that quote each other."""
+    return reply_order(link_quotations(as_mails(_table(spark, sf_dir, "conversations"))))
+
+
+#: The links that the mails were made with, and the texts as they were before.
+ORACLES["op8_quotation_linking"] = r"""
+WITH m AS (
+  SELECT *, turn % 4 > 0 AND regexp_matches(lag(text) OVER w, '\S') AND lag(turn) OVER w = turn - 1 AS answers
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), t AS (
+  SELECT *, max(CASE WHEN coalesce(answers, false) THEN NULL ELSE turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS thread_turn FROM m
+)
+SELECT conv_id, turn, role, text,
+       CAST(CASE WHEN NOT coalesce(answers, false) THEN 0 WHEN turn - thread_turn > 1 THEN 2 ELSE 1 END AS BIGINT) AS n_quoted,
+       CAST(CASE WHEN answers THEN turn - 1 END AS BIGINT) AS parent_turn, CAST(thread_turn AS BIGINT) AS thread_turn,
+       CAST(turn - thread_turn AS INTEGER) AS depth,
+       CAST(row_number() OVER (PARTITION BY conv_id, thread_turn ORDER BY turn) - 1 AS BIGINT) AS position
+FROM t
+"""
 
 
 QUERIES["pipeline"] = corpus_pipeline.run

@@ -126,6 +126,7 @@ def link_quotations(
     turn_col: str = "turn",
     role_col: str = "role",
     text_col: str = "text",
+    part_turns: int = 1024,
 ) -> DataFrame:
     """Messages without their quotations, each with the message it answers.
 
@@ -134,7 +135,8 @@ def link_quotations(
     the same is done with what messages say themselves. A hash is looked up among the
     earlier turns of its conversation, the latest one wins: a running last value over
     the sorted hashes, not pairs, so a line repeated in a large conversation stays
-    linear. The parent comes from the lowest level, then the longest passage, then the
+    linear. A group of it holds ``part_turns`` turns; the last value before them comes
+    from the maxima of the earlier ranges. The parent comes from the lowest level, then the longest passage, then the
     latest turn. Threads and depths follow by pointer doubling.
 
     Returns (conv_id, turn, role, text, n_quoted, parent_turn, thread_turn, depth), one
@@ -161,12 +163,28 @@ def link_quotations(
         .distinct()
     )
     # at one turn, quotations come before what is said there
-    both = quotes.withColumn("said_turn", F.lit(None).cast("long")).unionByName(
-        said.select("conv_id", "turn", F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("size"), "h", F.col("turn").alias("said_turn"))
+    both = materialize(
+        quotes.withColumn("said_turn", F.lit(None).cast("long"))
+        .unionByName(
+            said.select("conv_id", "turn", F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("size"), "h", F.col("turn").alias("said_turn"))
+        )
+        .withColumn("part", F.floor(F.col("turn") / part_turns)),
+        "said",
+    )
+    ranges = Window.partitionBy("conv_id", "h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        both.groupBy("conv_id", "h", "part")
+        .agg(F.max("said_turn").alias("last"))
+        .select("conv_id", "h", "part", F.max("last").over(ranges).alias("carried"))
+        .where("carried IS NOT NULL")
+    )
+    seen = (
+        Window.partitionBy("conv_id", "h", "part").orderBy("turn", F.col("said_turn").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    seen = Window.partitionBy("conv_id", "h").orderBy("turn", F.col("said_turn").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     links = materialize(
-        both.withColumn("parent", F.last("said_turn", ignorenulls=True).over(seen))
+        both.withColumn("near", F.last("said_turn", ignorenulls=True).over(seen))
+        .join(carried, ["conv_id", "h", "part"], "left")
+        .withColumn("parent", F.coalesce("near", "carried"))
         .where("level IS NOT NULL AND parent IS NOT NULL")
         .groupBy("conv_id", "turn")
         .agg(F.min_by("parent", F.struct("level", -F.col("size"), -F.col("parent"))).alias("parent_turn")),
@@ -189,12 +207,60 @@ def link_quotations(
     )
 
 
+def reply_order(linked: DataFrame, part_turns: int = 1024) -> DataFrame:
+    """Conversations of :func:`link_quotations` in reply order: adds ``position``, from
+    0 in each (conv_id, thread_turn). A message comes after the one it answers, since
+    that has a smaller turn; rows of one turn are ordered by role and text. Ranges of
+    turns are numbered apart and start where the earlier ones end. Rows without
+    conv_id or turn have no position."""
+    group = ["conv_id", "thread_turn"]
+    known = linked.where("conv_id IS NOT NULL AND turn IS NOT NULL").withColumn("part", F.floor(F.col("turn") / part_turns))
+    before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = (
+        known.groupBy(*group, "part")
+        .agg(F.count("*").alias("n"))
+        .select(*group, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    )
+    inside = Window.partitionBy(*group, "part").orderBy("turn", "role", F.xxhash64("text"), "depth")
+    ordered = known.withColumn("number", F.row_number().over(inside) - 1).join(firsts, [*group, "part"])
+    loose = linked.where("conv_id IS NULL OR turn IS NULL").withColumn("position", F.lit(None).cast("long"))
+    return ordered.withColumn("position", F.col("first") + F.col("number")).drop("part", "number", "first").unionByName(loose)
+
+
 def conversations(linked: DataFrame, part_turns: int = 1024) -> DataFrame:
     """Threads of :func:`link_quotations` as lists of messages in reply order: (conv_id,
-    thread_turn, part, messages). A part holds the turns of one range of
-    ``part_turns``, so a list stays bounded in a very long conversation."""
-    message = F.struct("depth", "turn", "role", "text")
+    thread_turn, part, messages). A part holds the positions of one range of
+    ``part_turns``, so a list stays bounded in a very long conversation. Rows without
+    conv_id or turn are in no list."""
+    message = F.struct("position", "turn", "role", "depth", "text")
+    placed = reply_order(linked, part_turns).where("position IS NOT NULL")
+    return placed.groupBy("conv_id", "thread_turn", F.floor(F.col("position") / part_turns).alias("part")).agg(
+        F.sort_array(F.collect_list(message)).alias("messages")
+    )
+
+
+def as_mails(messages: DataFrame, thread: int = 4) -> DataFrame:
+    """Plain turns as replies by mail, whose links are known: a turn that ``thread``
+    doesn't divide quotes the turn before it, and a level deeper what that one quotes.
+
+    Takes and returns (conv_id, turn, role, text); null texts and turns whose
+    predecessor is missing or without text quote nothing. One row per row; where
+    several rows share a turn, the least text is quoted.
+    """
+    marked = lambda c: F.concat(F.lit("> "), F.regexp_replace(c, "\n", "\n> "))
+    quotable = messages.where(r"text RLIKE '\\S'").groupBy("conv_id", "turn").agg(F.min("text").alias("said"), F.min("role").alias("by"))
+    earlier = lambda k: quotable.select(
+        "conv_id", (F.col("turn") + k).alias("turn"), F.col("said").alias(f"said{k}"), F.col("by").alias(f"by{k}")
+    )
+    answers = F.pmod("turn", F.lit(thread)) > 0
+    deeper = F.when((F.pmod("turn", F.lit(thread)) > 1) & F.col("said2").isNotNull(), F.concat(F.lit("\n"), marked(marked(F.col("said2")))))
+    quote = F.concat(
+        F.lit("On turn "), (F.col("turn") - 1).cast("string"), F.lit(" "), F.coalesce("by1", F.lit("someone")), F.lit(" wrote:\n"), marked(F.col("said1")), F.coalesce(deeper, F.lit(""))
+    )
+    whole = F.when(answers & F.col("said1").isNotNull(), F.concat(quote, F.lit("\n\n"), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
     return (
-        linked.groupBy("conv_id", "thread_turn", F.floor(F.col("turn") / part_turns).alias("part"))
-        .agg(F.sort_array(F.collect_list(message)).alias("messages"))
+        messages.select("conv_id", "turn", "role", "text")
+        .join(earlier(1), ["conv_id", "turn"], "left")
+        .join(earlier(2), ["conv_id", "turn"], "left")
+        .select("conv_id", "turn", "role", whole.alias("text"))
     )

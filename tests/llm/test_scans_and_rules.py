@@ -209,6 +209,24 @@ def test_token_files_are_bounded_by_bytes(spark, encode, tmp_path):
     assert [r["n_tokens"] for r in sorted(rows, key=lambda r: (piece(r), r["doc_no"]))] == [len(encode(t)) for t in texts]
 
 
+def test_registered_scan_places_all_documents(spark, encode):
+    """Each text is one document of one file, and the documents of a file follow each other."""
+    from glossaspark.llm.queries import QUERIES
+
+    rows = QUERIES["op2_separator_scan"](spark, DATA).collect()
+    texts = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
+    assert sorted(r["n_tokens"] for r in rows) == sorted(len(encode(t or "")) for t in texts) and all(r["closed"] for r in rows)
+    files = {}
+    for r in rows:
+        files.setdefault((r["part"], r["piece"]), []).append((r["doc_no"], r["start"], r["n_tokens"]))
+    assert None not in {x for key in files for x in key}
+    for docs in files.values():
+        at = 0
+        for i, (doc_no, start, n) in enumerate(sorted(docs)):
+            assert (doc_no, start) == (i, at)
+            at += n + 1
+
+
 def test_separator_scan_edge_rows(spark, encode, edge_docs, no_docs, tmp_path):
     for name, docs in (("edge", edge_docs), ("none", no_docs)):
         path = f"file://{tmp_path}/{name}"

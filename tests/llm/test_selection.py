@@ -12,7 +12,7 @@ from oracle import DATA
 from pyspark.sql import functions as F
 
 from glossaspark.llm.packing import optimal_widths, packed_batches
-from glossaspark.llm.quotations import conversations, link_quotations, parse_message
+from glossaspark.llm.quotations import as_mails, conversations, link_quotations, parse_message, reply_order
 from glossaspark.llm.source_mix import fit_lengths, mix_sources, mixed_documents, source_targets
 from glossaspark.llm.surrogates import Surrogates, entities, replaced, retried, with_surrogates
 from glossaspark.llm.topk_search import quantised, top_k_inner_products
@@ -260,6 +260,47 @@ def test_long_thread(spark):
     assert {r["turn"]: (r["thread_turn"], r["depth"]) for r in out} == {i: (0, i) for i in range(40)}
 
 
+def brute_links(rows):
+    """Parent of each message by comparing all pairs of a conversation."""
+    out, parsed = {}, {(c, t): parse_message(x) for c, t, _, x in rows}
+    for (c, t), (_, _, quoted, _) in parsed.items():
+        found = [(level, -size, -u) for level, size, h in quoted for u in [max((u for d, u in parsed if d == c and u < t and h in parsed[d, u][1]), default=None)] if u is not None]
+        out[c, t] = -min(found)[2] if found else None
+    return out
+
+
+def test_links_across_ranges_of_turns(spark):
+    """A conversation far longer than a range, with a line that it quotes everywhere."""
+    rng = random.Random(8)
+    rows = []
+    for t in range(300):
+        said = rng.choice(["I agree.", f"message {t} is new", "I agree.\n\nAnd more."])
+        past = rows[rng.randrange(t)][3].split("\n")[-1] if t and rng.random() < 0.7 else None
+        rows.append((1, t, "user", f"> {past}\n{said}" if past else said))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    wanted = brute_links(rows)
+    for part in (7, 1024):
+        out = reply_order(link_quotations(df, part_turns=part), part).collect()
+        assert {(r["conv_id"], r["turn"]): r["parent_turn"] for r in out} == wanted
+        place = {r["turn"]: (r["thread_turn"], r["position"]) for r in out}
+        threads = {}
+        for thread, position in place.values():
+            threads.setdefault(thread, []).append(position)
+        assert all(sorted(x) == list(range(len(x))) for x in threads.values())
+        assert all(place[t][0] == place[p][0] and place[t][1] > place[p][1] for (_, t), p in wanted.items() if p is not None)
+        lists = conversations(link_quotations(df, part_turns=part), part).collect()
+        assert sum(len(r["messages"]) for r in lists) == 300 and max(len(r["messages"]) for r in lists) <= part
+
+
+def test_mails_of_odd_turns(spark):
+    rows = [(1, 0, "user", None), (1, 1, "user", "a\nb"), (1, 2, None, "c"), (1, 3, "user", ""), (1, 3, "user", ""), (None, 1, "user", "x"), (2, 1, "user", "y"), (2, None, "user", "z")]
+    out = as_mails(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    texts = sorted(((r["conv_id"] or 0, r["turn"] or 0, r["text"]) for r in out), key=str)
+    assert len(out) == len(rows) and (1, 1, "a\nb") in texts and (2, 1, "y") in texts and (1, 0, None) in texts
+    assert (1, 2, "On turn 1 user wrote:\n> a\n> b\n\nc") in texts
+    assert texts.count((1, 3, "On turn 2 someone wrote:\n> c\n> > a\n> > b\n\n")) == 2
+
+
 def test_parse_message():
     assert parse_message(None) == ("", [], [], 0)
     assert parse_message("a > b")[0] == "a > b" and parse_message("a > b")[3] == 0
