@@ -83,8 +83,9 @@ def spans_fit(text: Column, spans: Column) -> Column:
 
 
 def indent(line: Column, tab: int = 4) -> Column:
-    """Width of the leading white space, tabs to the next stop."""
-    blanks = F.regexp_extract(line, r"^[ \t\x0b\x0c]*", 0)
+    """Width of the leading blanks and tabs, tabs to the next stop. Other white space
+    ends the indentation."""
+    blanks = F.regexp_extract(line, r"^[ \t]*", 0)
     chars = F.filter(F.split(blanks, "", -1), lambda c: c != "")
     return F.aggregate(chars, F.lit(0), lambda n, c: F.when(c == "\t", n + tab - n % tab).otherwise(n + 1))
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def with_ordinal(df: DataFrame, key: str, alias: str = "ordinal", pieces: int = 64) -> DataFrame:
     """Number rows from 0 by an ordered key, without one task for all of them.
@@ -75,7 +79,39 @@ def stable_runs(df: DataFrame, group: str, order: list[str], time: str, good: Co
     return runs.where(long_enough).drop("__run")
 
 
+def in_ranges(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with ``__piece``, which rises with the keys: sampled ranges of them, so a
+    group with very many rows has several. Written, since ranges are drawn anew in each
+    run. Rows alike in all keys are in one piece."""
+    return written(df.repartitionByRange(*keys).withColumn("__piece", F.spark_partition_id()), "ranges")
+
+
+def running_sum(df: DataFrame, group: list[str], order: list[str], value: Column, alias: str) -> DataFrame:
+    """Sum of ``value`` over the rows of a group up to each one, in order. Ranges are
+    summed apart and start where the earlier ones end: no group is sorted in one task."""
+    parted = in_ranges(df.withColumn("__value", value), [*group, *order])
+    keys = [*group, "__piece"]
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*group).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = (
+        parted.groupBy(*keys)
+        .agg(F.sum("__value").alias("__n"))
+        .select(*[F.col(k).alias(f"{k}__") for k in keys], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    )
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}__")) for k in keys])
+    return (
+        parted.withColumn("__sum", F.sum("__value").over(inside))
+        .join(firsts, same)
+        .withColumn(alias, F.col("__first") + F.col("__sum"))
+        .drop("__value", "__sum", "__piece", "__first", *[f"{k}__" for k in keys])
+    )
+
+
+def positions(df: DataFrame, group: list[str], order: list[str], alias: str = "position") -> DataFrame:
+    """Place of each row in its group, from 1, for keys of any type."""
+    return running_sum(df, group, order, F.lit(1).cast("long"), alias)
+
+
 def within_budget(df: DataFrame, group: str, order: list[str], size: Column, budget: int) -> DataFrame:
     """Running sum of sizes in order, and whether it is still inside the budget."""
-    so_far = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("total", F.sum(size).over(so_far)).withColumn("fits", F.col("total") <= budget)
+    return running_sum(df, [group], order, size, "total").withColumn("fits", F.col("total") <= budget)

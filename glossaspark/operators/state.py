@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..domains import BATCH_MOVES, TASK_MOVES
+from .sequences import in_ranges
 
 
 def move_allowed(moves: dict[str, tuple[str, ...]], before: Column, after: Column) -> Column:
@@ -27,15 +28,17 @@ def attempts_agree(before: Column, after: Column, attempts_before: Column, attem
     return attempts_after == attempts_before + starts
 
 
-def receipt_move_allowed(before: Column, after: Column, ref_before: Column, ref_after: Column, retry: Column) -> Column:
-    """Nothing follows success; a failure becomes unknown only for a retry; requests in
-    flight and unknown ones go anywhere; a provider's reference never changes."""
+def receipt_move_allowed(before: Column, after: Column, retry: Column) -> Column:
+    """Whether a receipt may replace another; both are structs of all their fields, with
+    ``status`` and ``reference`` among them. Nothing but the same receipt follows
+    success or failure, except that a retry makes a failure unknown; requests in flight
+    and unknown ones go anywhere. A provider's reference, once known, stays."""
     moves = (
-        (before == after)
-        | before.isin("in_flight", "unknown")
-        | ((before == "failed") & (after == "unknown") & retry)
+        before.eqNullSafe(after)
+        | before["status"].isin("in_flight", "unknown")
+        | ((before["status"] == "failed") & (after["status"] == "unknown") & retry)
     )
-    return moves & (ref_before.isNull() | ref_before.eqNullSafe(ref_after) | ((before == "failed") & retry))
+    return F.coalesce(moves & (before["reference"].isNull() | before["reference"].eqNullSafe(after["reference"])), F.lit(False))
 
 
 def receipt_consistent(status: Column, n_proposals: Column, reference: Column, error: Column) -> Column:
@@ -55,15 +58,17 @@ def replayed(events: DataFrame, key: str, order: list[str], wanted: str, start:
     aren't allowed are ignored: (key, state, applied, ignored).
 
     The moves are composed as functions: each event is a map from state to state, and
-    the map of a run of events has as many entries as there are states. Runs of
-    ``salt_rows`` events (0: whole keys) are folded apart and then combined, so a key
-    with very many events is no single group.
+    the map of a run of events has as many entries as there are states. With
+    ``salt_rows``, ranges of events (:func:`sequences.in_ranges`) are numbered apart,
+    runs of that many events folded, and their maps combined: the last step holds one
+    map for each run of a key. With 0 a key is folded as a whole.
     """
     states = sorted(moves)
     ordered = events.select(key, F.struct(*order).alias("__at"), wanted)
     if salt_rows:
-        number = F.row_number().over(Window.partitionBy(key).orderBy("__at"))
-        ordered = ordered.withColumn("__part", F.floor(number / salt_rows))
+        number = F.row_number().over(Window.partitionBy(key, "__piece").orderBy("__at"))
+        run_of = F.struct(F.col("__piece").alias("piece"), F.floor(number / salt_rows).alias("run"))
+        ordered = in_ranges(ordered, [key, "__at"]).withColumn("__part", run_of).drop("__piece")
     else:
         ordered = ordered.withColumn("__part", F.lit(0))
     ok = F.array(*[F.lit(f"{a}>{b}") for a, to in moves.items() for b in to])
@@ -92,7 +97,7 @@ def replayed(events: DataFrame, key: str, order: list[str], wanted: str, start:
         (s["applied"] + m[s["state"]]["applied"]).alias("applied"),
         (s["ignored"] + m[s["state"]]["ignored"]).alias("ignored"),
     )
-    ordered_maps = F.transform(F.array_sort(F.collect_list(F.struct("__part", F.map_entries("__map").alias("m"))), lambda a, b: (a["__part"] - b["__part"]).cast("int")), lambda x: F.map_from_entries(x["m"]))
+    ordered_maps = F.transform(F.array_sort(F.collect_list(F.struct("__part", F.map_entries("__map").alias("m"))), lambda a, b: F.when(a["__part"] < b["__part"], -1).otherwise(1)), lambda x: F.map_from_entries(x["m"]))
     return maps.groupBy(key).agg(F.aggregate(ordered_maps, zero, step).alias("s")).select(key, "s.state", "s.applied", "s.ignored")
 
 

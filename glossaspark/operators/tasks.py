@@ -69,18 +69,19 @@ def global_batches(df: DataFrame, order: str, size: int) -> DataFrame:
 
 def proposal_error(expected_engine: str) -> Column:
     """First rule a proposal breaks, null when accepted. Columns of the proposal are
-    prefixed ``p_``, those of the joined segment ``s_`` (null where there is none)."""
+    prefixed ``p_``, those of the joined segment ``s_`` (null where there is none). A
+    field that is null breaks its rule."""
     return (
-        F.when(F.col("p_schema_version") != 1, "schema_version")
+        F.when(~F.col("p_schema_version").eqNullSafe(1), "schema_version")
         .when(F.col("s_task_id").isNull(), "task_id")
         .when(F.col("s_batch_id").isNull(), "batch_id")
         .when(F.col("s_segment_id").isNull(), "segment_id")
-        .when(F.col("s_engine") != expected_engine, "engine")
-        .when(F.col("p_source_schema_version") != F.col("s_source_schema_version"), "source_schema_version")
-        .when(F.col("p_source_sha256") != F.col("s_source_sha256"), "source_sha256")
-        .when(F.col("p_target_language") != F.col("s_target_language"), "target_language")
-        .when(F.col("p_protected_tokens") != F.col("s_protected_tokens"), "protected_tokens")
-        .when(text.token_references(text.tokens(F.col("p_target_text"))) != F.col("s_protected_tokens"), "target_tokens")
+        .when(~F.col("s_engine").eqNullSafe(expected_engine), "engine")
+        .when(~F.col("p_source_schema_version").eqNullSafe(F.col("s_source_schema_version")), "source_schema_version")
+        .when(~F.col("p_source_sha256").eqNullSafe(F.col("s_source_sha256")), "source_sha256")
+        .when(~F.col("p_target_language").eqNullSafe(F.col("s_target_language")), "target_language")
+        .when(~F.col("p_protected_tokens").eqNullSafe(F.col("s_protected_tokens")), "protected_tokens")
+        .when(F.col("p_target_text").isNull() | ~text.token_references(text.tokens(F.col("p_target_text"))).eqNullSafe(F.col("s_protected_tokens")), "target_tokens")
     )
 
 

@@ -3,11 +3,12 @@ replies, checks and files. Each step is a DataFrame on the one before."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity, text
 from ..operators import matching, quality, render, tasks
+from ..operators.sequences import positions
 from ..sources import scripts, services, templates
 from ..sources.projects import by_parts
 from ..sources.projects import scripts as script_files
@@ -50,8 +51,8 @@ def task(segments: DataFrame, source_language: str, target_language: str, batch_
     ordered list of requests, by the tree digest, so the list may be long."""
     if source_language == target_language or batch_size < 1:
         raise ValueError("a task needs two languages and batches of at least one segment")
-    order = F.struct(by_parts(F.col("source_file")).alias("parts"), "line_number")
-    placed = segments.withColumn("ordinal", F.row_number().over(Window.orderBy(order)) - 1)
+    keyed = segments.withColumn("__order", F.struct(by_parts(F.col("source_file")).alias("parts"), "line_number"))
+    placed = positions(keyed, [], ["__order"], "ordinal").withColumn("ordinal", F.col("ordinal") - 1).drop("__order")
     listed = tasks.requests(placed).join(placed.select(F.col("id").alias("segment_id"), "ordinal"), "segment_id")
     wrong = F.when(F.col("error").isNotNull(), F.raise_error(F.concat("segment_id", F.lit(": "), "error"))).otherwise(F.col("ordinal"))
     rows = listed.withColumn("ordinal", wrong.cast("long")).withColumn("json", tasks.request_json()).withColumn("one", F.lit(1))

@@ -26,14 +26,14 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    segments = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(40)).alias("source_text"), F.col("lang").alias("kind"))
+    segments = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source_text"), F.col("lang").alias("kind"))
     twice = segments.where("doc_id % 5 = 0").select((F.col("doc_id") + 1_000_000).alias("entry_id"), "source_text", "kind")
     entries = segments.select(F.col("doc_id").alias("entry_id"), F.when(F.col("doc_id") % 7 == 0, F.concat("source_text", F.lit("?"))).otherwise(F.col("source_text")).alias("source_text"), "kind")
     return segments, entries.unionByName(twice)
 
 
 ENTRIES = """
-WITH s AS (SELECT doc_id, left(text, 40) AS source_text, lang AS kind FROM documents),
+WITH s AS (SELECT doc_id, text AS source_text, lang AS kind FROM documents),
 e AS (SELECT doc_id AS entry_id, CASE WHEN doc_id % 7 = 0 THEN source_text || '?' ELSE source_text END AS source_text, kind FROM s
       UNION ALL SELECT doc_id + 1000000, source_text, kind FROM s WHERE doc_id % 5 = 0),
 u AS (SELECT source_text, kind, min(doc_id) AS doc_id FROM s GROUP BY source_text, kind HAVING count(*) = 1),
@@ -75,22 +75,23 @@ def benchmark_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH c AS (SELECT conv_id, role, text, turn, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS r FROM conversations)
-SELECT m.conv_id, m.turn, left(c.text, 12) AS speaker_display FROM conversations m LEFT JOIN c ON c.conv_id = m.conv_id AND c.role = m.role AND c.r = 1 AND c.role <> 'system'
+SELECT m.conv_id, m.turn, c.text AS speaker_display FROM conversations m LEFT JOIN c ON c.conv_id = m.conv_id AND c.role = m.role AND c.r = 1 AND c.role <> 'system'
 """)
 def speaker_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names are defined per file, and the last definition counts."""
     rows = table(spark, sf_dir, "conversations")
     defined = rows.where("role <> 'system'").groupBy("conv_id", "role").agg(F.max_by("text", "turn").alias("text"))
-    return rows.drop("text").join(defined, ["conv_id", "role"], "left").select("conv_id", "turn", F.left("text", F.lit(12)).alias("speaker_display"))
+    return rows.drop("text").join(defined, ["conv_id", "role"], "left").select("conv_id", "turn", F.col("text").alias("speaker_display"))
 
 
 @query(f"""
-WITH l AS ({LINES}), s AS (SELECT l_orderkey AS task_id, n // 2 AS b, 'seg_' || l_orderkey || '_' || n AS seg, sha256(CAST(l_partkey AS VARCHAR)) AS sha, l_linestatus AS lang, n FROM l WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH'))
-SELECT task_id, n, CASE WHEN n % 11 = 10 THEN 'schema_version' WHEN n % 5 = 4 THEN 'batch_id' WHEN n % 7 = 6 THEN 'segment_id' WHEN task_id % 13 = 0 THEN 'source_sha256' WHEN task_id % 9 = 0 THEN 'target_tokens' END AS error_code FROM s
+WITH l AS ({LINES}), s AS (SELECT l_orderkey AS task_id, n // 2 AS b, 'seg_' || l_orderkey || '_' || n AS seg, sha256(CAST(l_partkey AS VARCHAR)) AS sha, l_linestatus AS lang, n FROM l)
+SELECT task_id, n, CASE WHEN n % 11 = 10 OR task_id % 17 = 0 THEN 'schema_version' WHEN n % 5 = 4 THEN 'batch_id' WHEN n % 7 = 6 THEN 'segment_id' WHEN task_id % 19 = 0 THEN 'source_schema_version' WHEN task_id % 13 = 0 THEN 'source_sha256'
+  WHEN task_id % 23 = 0 THEN 'target_language' WHEN task_id % 29 = 0 THEN 'protected_tokens' WHEN task_id % 9 = 0 THEN 'target_tokens' END AS error_code FROM s
 """)
 def proposal_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '2-HIGH'").select(F.col("o_orderkey").alias("l_orderkey"))
-    lines = _lines(spark, sf_dir).join(urgent, "l_orderkey", "left_semi")
+    """Some proposals hold a wrong value, others none at all."""
+    lines = _lines(spark, sf_dir)
     kind = "array<struct<index:int,kind:string,value:string>>"
     tokens = F.array(F.struct(F.lit(0).alias("index"), F.lit("interpolation").alias("kind"), F.lit("[n]").alias("value"))).cast(kind)
     segments = lines.select(
@@ -109,12 +110,12 @@ def proposal_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "task_id",
         F.when(n % 5 == 4, "none").otherwise(F.col("batch_id")).alias("batch_id"),
         F.when(n % 7 == 6, F.concat(F.lit("x"), "segment_id")).otherwise(F.col("segment_id")).alias("segment_id"),
-        F.when(n % 11 == 10, 2).otherwise(1).alias("schema_version"),
-        "source_schema_version",
+        F.when(task % 17 != 0, F.when(n % 11 == 10, 2).otherwise(1)).alias("schema_version"),
+        F.when(task % 19 != 0, F.col("source_schema_version")).alias("source_schema_version"),
         F.when(task % 13 == 0, F.lit("0")).otherwise(F.col("source_sha256")).alias("source_sha256"),
-        "target_language",
-        "protected_tokens",
-        F.when(task % 9 == 0, "none").otherwise("hello [n]").alias("target_text"),
+        F.when(task % 23 != 0, F.col("target_language")).alias("target_language"),
+        F.when(task % 29 != 0, F.col("protected_tokens")).alias("protected_tokens"),
+        F.when(task % 9 != 0, F.lit("hello [n]")).otherwise(F.when(task % 2 == 0, F.lit("none"))).alias("target_text"),
         "n",
     )
     return tasks.validated(proposals, segments.drop("n")).select("task_id", "n", "error_code")
@@ -255,9 +256,9 @@ def path_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.repeated_keys(table(spark, sf_dir, "documents").select(path_key(path).alias("path_key")), "path_key")
 
 
-@query("SELECT role, text, count(*) AS n FROM (SELECT role, left(text, 2) AS text FROM conversations) GROUP BY role, text HAVING count(*) > 1")
+@query("SELECT role, text, count(*) AS n FROM conversations GROUP BY role, text HAVING count(*) > 1")
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.repeated_keys(table(spark, sf_dir, "conversations").select("role", F.left("text", F.lit(2)).alias("text")), "role", "text")
+    return matching.repeated_keys(table(spark, sf_dir, "conversations"), "role", "text")
 
 
 @query("""
@@ -395,10 +396,10 @@ def quality_report_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN left(text, 8) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS scene FROM conversations
+SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS scene FROM conversations
 """)
 def scene_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = F.when(F.col("role") == "user", F.left("text", F.lit(8)))
+    label = F.when(F.col("role") == "user", F.col("text"))
     return sequences.carried(table(spark, sf_dir, "conversations"), "conv_id", "turn", label, "scene").select("conv_id", "turn", "scene")
 
 
@@ -495,9 +496,8 @@ SELECT source, path, row_number() OVER (PARTITION BY source ORDER BY string_spli
 """)
 def path_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths by their parts, in each project."""
-    rows = table(spark, sf_dir, "documents").select("source", F.expr(SORTED).alias("path"))
-    order = Window.partitionBy("source").orderBy(by_parts(F.col("path")))
-    return rows.select("source", "path", F.row_number().over(order).cast("long").alias("position"))
+    rows = table(spark, sf_dir, "documents").select("source", F.expr(SORTED).alias("path")).withColumn("parts", by_parts(F.col("path")))
+    return sequences.positions(rows, ["source"], ["parts"]).select("source", "path", "position")
 
 
 @query(f"""
@@ -506,5 +506,4 @@ SELECT source, path, row_number() OVER (PARTITION BY source ORDER BY lower(path)
 def casefold_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths without regard to case, ties by the exact path."""
     rows = table(spark, sf_dir, "documents").select("source", F.expr(SORTED).alias("path"))
-    order = Window.partitionBy("source").orderBy(F.lower("path"), "path")
-    return rows.select("source", "path", F.row_number().over(order).cast("long").alias("position"))
+    return sequences.positions(rows.withColumn("folded", F.lower("path")), ["source"], ["folded", "path"]).select("source", "path", "position")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..sources import encoding, scripts, services, templates
 from ..storage import scratch_path
@@ -12,7 +11,7 @@ from ..streaming import state_machine
 from . import states
 from .registry import query, table
 
-SAID = "replace(replace(replace(left(text, 60), '\"', ''), chr(10), ' '), chr(92), '')"
+SAID = "replace(replace(replace(text, '\"', ''), chr(10), ' '), chr(92), '')"
 
 
 def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,17 +44,12 @@ def encoding_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.decoded_files(content).select(F.col("path").cast("long").alias("doc_id"), "encoding", "has_bom", F.length("text").alias("n_chars"), "sha256")
 
 
-@F.udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("body", T.StringType())])), useArrow=True)
-def _literals(line: str) -> list:
-    return scripts.literals(line)
-
-
 @query("""
 SELECT p_partkey, unnest([p_name, p_type || chr(92) || chr(39)]) AS body, unnest([5, 8 + length(p_name)]) AS literal_start, unnest([7 + length(p_name), 12 + length(p_name) + length(p_type)]) AS literal_end FROM part
 """.replace("unnest([5, 8 + length(p_name)]) AS literal_start", "CAST(unnest([5, 8 + length(p_name)]) AS INTEGER) AS literal_start").replace("unnest([7 + length(p_name), 12 + length(p_name) + length(p_type)]) AS literal_end", "CAST(unnest([7 + length(p_name), 12 + length(p_name) + length(p_type)]) AS INTEGER) AS literal_end"))
 def string_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit('show "'), "p_name", F.lit("\" '"), "p_type", F.lit("\\'' # \"x\""))
-    found = table(spark, sf_dir, "part").select("p_partkey", F.explode(_literals(line)).alias("t"))
+    found = table(spark, sf_dir, "part").select("p_partkey", F.explode(scripts.string_literals(line)).alias("t"))
     return found.select("p_partkey", "t.body", F.col("t.start").alias("literal_start"), F.col("t.end").alias("literal_end"))
 
 
@@ -124,7 +118,7 @@ def run_next_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stream_oracle() -> str:
     from .registry import ORACLES
 
-    return f"SELECT user_id, state, applied + ignored AS n, applied FROM ({ORACLES['state_replay'].strip()})"
+    return f"SELECT user_id, state, applied + ignored AS n, applied, CAST(0 AS BIGINT) AS n_late FROM ({ORACLES['state_replay'].strip()})"
 
 
 @query(_stream_oracle())
@@ -145,7 +139,7 @@ def state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     run.awaitTermination()
     applied = spark.read.schema(state_machine.OUT).parquet(out)
     return applied.groupBy(F.col("key").alias("user_id")).agg(
-        F.max_by("after", "event_id").alias("state"), F.count("*").alias("n"), F.count_if("applied").alias("applied")
+        F.max_by("after", "event_id").alias("state"), F.count("*").alias("n"), F.count_if("applied").alias("applied"), F.count_if("late").alias("n_late")
     )
 
 

@@ -77,16 +77,31 @@ def attempt_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", state.attempts_agree(F.col("p"), F.col("s"), F.col("b"), F.col("a")).alias("agrees"))
 
 
+RECEIPTS = f"""
+SELECT event_id, user_id, ts, {{'status': s, 'reference': CASE WHEN event_id % 4 <> 0 THEN 'p' || user_id END, 'n_proposals': CASE WHEN s = 'succeeded' THEN event_id % 2 + 1 ELSE 0 END, 'error': CASE WHEN s IN ('failed', 'unknown') THEN 'e' || event_id % 2 END}} AS r
+FROM (SELECT *, {RECEIPT} AS s FROM events)
+"""
+MAY_FOLLOW = """
+(p.reference IS NULL OR p.reference IS NOT DISTINCT FROM r.reference)
+  AND (p IS NOT DISTINCT FROM r OR p.status IN ('in_flight', 'unknown') OR (p.status = 'failed' AND r.status = 'unknown' AND event_id % 3 = 0))
+"""
+
+
+def _provider_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as receipts of their user's request."""
+    receipt = F.expr("""struct(s AS status, CASE WHEN event_id % 4 <> 0 THEN concat('p', user_id) END AS reference,
+        CASE WHEN s = 'succeeded' THEN event_id % 2 + 1 ELSE 0 END AS n_proposals, CASE WHEN s IN ('failed', 'unknown') THEN concat('e', event_id % 2) END AS error)""")
+    return _events(spark, sf_dir, RECEIPT).select("event_id", "user_id", "ts", receipt.alias("r"))
+
+
 @query(f"""
-WITH e AS (SELECT event_id, s, lag(s) OVER w AS p, r, lag(r) OVER w AS q, event_id % 3 = 0 AS retry FROM (SELECT *, {RECEIPT} AS s, CASE WHEN event_id % 4 <> 0 THEN 'p' || user_id END AS r FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT event_id, (p = s OR p IN ('in_flight', 'unknown') OR (p = 'failed' AND s = 'unknown' AND retry)) AND (q IS NULL OR q IS NOT DISTINCT FROM r OR (p = 'failed' AND retry)) AS allowed FROM e WHERE p IS NOT NULL
+WITH e AS (SELECT event_id, r, lag(r) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM ({RECEIPTS}))
+SELECT event_id, {MAY_FOLLOW} AS allowed FROM e WHERE p IS NOT NULL
 """)
 def receipt_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    reference = F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("p"), F.col("user_id").cast("string")))
-    rows = _events(spark, sf_dir, RECEIPT).withColumn("r", reference).withColumn("q", F.lag("r").over(order)).where("p IS NOT NULL")
-    allowed = state.receipt_move_allowed(F.col("p"), F.col("s"), F.col("q"), F.col("r"), F.col("event_id") % 3 == 0)
-    return rows.select("event_id", allowed.alias("allowed"))
+    rows = _provider_receipts(spark, sf_dir).withColumn("p", F.lag("r").over(order)).where("p IS NOT NULL")
+    return rows.select("event_id", state.receipt_move_allowed(F.col("p"), F.col("r"), F.col("event_id") % 3 == 0).alias("allowed"))
 
 
 LATEST = f"""
@@ -98,26 +113,54 @@ def _latest(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
     return _events(spark, sf_dir, status).where("user_id % 5 <> 0").groupBy("user_id").agg(F.max_by("s", F.struct("ts", "event_id")).alias("v"))
 
 
+#: Outcomes against the stored value p, then the first change of a key wins.
+CAS = """
+, j AS (SELECT a.*, c.user_id IS NULL AS unknown, c.v AS p FROM a LEFT JOIN c USING (user_id)),
+o AS (SELECT *, CASE WHEN unknown THEN 'missing' WHEN p IS DISTINCT FROM expected THEN 'stale' WHEN NOT (MAY) THEN 'refused' ELSE 'committed' END AS outcome FROM j),
+w AS (SELECT *, min(CASE WHEN outcome = 'committed' AND p IS DISTINCT FROM r THEN event_id END) OVER (PARTITION BY user_id) AS winner FROM o)
+"""
+OUTCOMES = "SELECT event_id, CASE WHEN outcome <> 'missing' AND event_id > winner THEN 'stale' ELSE outcome END AS outcome FROM w"
+STATES = "['pending', 'running', 'paused', 'failed', 'completed']"
+
+
 @query(f"""
-WITH c AS ({LATEST}), a AS (SELECT event_id, user_id, s AS v, ['pending', 'running', 'paused', 'failed', 'completed'][event_id % 5 + 1] AS expected FROM (SELECT *, {STATUS} AS s FROM events))
-SELECT event_id, CASE WHEN c.user_id IS NULL THEN 'missing' WHEN c.v <> a.expected THEN 'stale' WHEN NOT {ALLOWED.replace("p =", "c.v =").replace("s IN", "a.v IN")} THEN 'refused' ELSE 'committed' END AS outcome FROM a LEFT JOIN c USING (user_id)
+WITH c AS ({LATEST}), a AS (SELECT event_id, user_id, s AS r, {STATES}[event_id % 5 + 1] AS expected FROM (SELECT *, {STATUS} AS s FROM events))
+{CAS.replace("MAY", ALLOWED.replace("s IN", "r IN"))} {OUTCOMES}
 """)
 def cas_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checkpoint_attempts(spark, sf_dir).select("event_id", "outcome")
+
+
+def _checkpoint_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = F.expr("element_at(array('pending', 'running', 'paused', 'failed', 'completed'), CAST(event_id % 5 AS INT) + 1)")
     attempts = _events(spark, sf_dir).select("event_id", "user_id", F.col("s").alias("v"), expected.alias("expected"))
-    return store.compare_and_set(_latest(spark, sf_dir, STATUS), attempts, "user_id", "v", "expected", state.task_move_allowed).select("event_id", "outcome")
+    return store.compare_and_set(_latest(spark, sf_dir, STATUS), attempts, "user_id", "v", "expected", "event_id", lambda a, b, _: state.task_move_allowed(a, b))
+
+
+@query(f"""
+WITH c AS ({LATEST}), a AS (SELECT event_id, user_id, s AS r, {STATES}[event_id % 5 + 1] AS expected FROM (SELECT *, {STATUS} AS s FROM events))
+{CAS.replace("MAY", ALLOWED.replace("s IN", "r IN"))}, x AS (SELECT user_id, arg_min(r, event_id) AS r FROM w WHERE event_id = winner GROUP BY user_id)
+SELECT c.user_id, coalesce(x.r, c.v) AS v, CASE WHEN x.r IS NULL THEN 1 ELSE 2 END AS version FROM c LEFT JOIN x USING (user_id)
+""")
+def checkpoint_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store after the attempts: one winner for each version."""
+    stored = _latest(spark, sf_dir, STATUS).withColumn("version", F.lit(1))
+    return store.committed(stored, _checkpoint_attempts(spark, sf_dir), "user_id", "v", "event_id", "version")
 
 
 @query(f"""
-WITH c AS ({LATEST.replace(STATUS, RECEIPT)}), a AS (SELECT event_id, user_id, s AS v, ['in_flight', 'unknown', 'failed', 'succeeded'][event_id % 4 + 1] AS expected FROM (SELECT *, {RECEIPT} AS s FROM events))
-SELECT event_id, CASE WHEN c.user_id IS NULL THEN 'missing' WHEN c.v <> a.expected THEN 'stale' WHEN NOT (c.v = a.v OR c.v IN ('in_flight', 'unknown')) THEN 'refused' ELSE 'committed' END AS outcome FROM a LEFT JOIN c USING (user_id)
+WITH e AS ({RECEIPTS}), c AS (SELECT user_id, arg_max(r, (epoch_us(ts), event_id)) AS v FROM e WHERE user_id % 5 <> 0 GROUP BY user_id),
+a AS (SELECT e.event_id, e.user_id, e.r, CASE WHEN e.event_id % 3 < 2 THEN c.v ELSE e.r END AS expected FROM e LEFT JOIN c USING (user_id))
+{CAS.replace("MAY", MAY_FOLLOW)} {OUTCOMES}
 """)
 def cas_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    expected = F.expr("element_at(array('in_flight', 'unknown', 'failed', 'succeeded'), CAST(event_id % 4 AS INT) + 1)")
-    attempts = _events(spark, sf_dir, RECEIPT).select("event_id", "user_id", F.col("s").alias("v"), expected.alias("expected"))
-    none = F.lit(None).cast("string")
-    allowed = lambda a, b: state.receipt_move_allowed(a, b, none, none, F.lit(False))
-    return store.compare_and_set(_latest(spark, sf_dir, RECEIPT), attempts, "user_id", "v", "expected", allowed).select("event_id", "outcome")
+    """Two thirds of the attempts know the stored receipt, the others expect their own."""
+    receipts = _provider_receipts(spark, sf_dir)
+    stored = receipts.where("user_id % 5 <> 0").groupBy("user_id").agg(F.max_by("r", F.struct("ts", "event_id")).alias("v"))
+    known = receipts.join(stored, "user_id", "left").withColumn("expected", F.when(F.col("event_id") % 3 < 2, F.col("v")).otherwise(F.col("r")))
+    attempts = known.select("event_id", "user_id", F.col("r").alias("v"), "expected")
+    allowed = lambda a, b, n: state.receipt_move_allowed(a, b, n % 3 == 0)
+    return store.compare_and_set(stored, attempts, "user_id", "v", "expected", "event_id", allowed).select("event_id", "outcome")
 
 
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'retry_failed_batch' WHEN 'P' THEN 'run' ELSE 'none' END AS action FROM orders")

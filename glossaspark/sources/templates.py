@@ -2,100 +2,71 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from .projects import files
-from .scripts import literals
-
-REFERENCE = re.compile(r"(\s*)# (.+):(\d+)\s*")
-BLOCK = re.compile(r"translate\s+(\S+)\s+(\S+):\s*")
-ORIGINAL = re.compile(r"\s+# (.+)")
-COLUMNS = ["source_file", "line_number", "kind", "source_text", "translation_identifier", "source_code", "literal_start", "literal_end", "warning"]
-SCHEMA = (
-    "template_file string, ordinal int, source_file string, line_number int, kind string, source_text string,"
-    " translation_identifier string, source_code string, literal_start int, literal_end int, warning string"
-)
-
-
-def _warning(line: int, what: str) -> tuple:
-    return (None, line, None, None, None, None, None, None, what)
-
-
-def _said(lines: list[str], first: int, body: list[str], identifier: str, at: tuple[str, int] | None) -> tuple:
-    if at is None:
-        return _warning(first, "block without a reference")
-    codes = [m[1] for line in body if (m := ORIGINAL.match(line))]
-    if len(codes) != 1:
-        return _warning(first, f"block of {len(codes)} statements")
-    found = literals(codes[0])
-    if len(found) != 1:
-        return _warning(first, f"statement of {len(found)} strings")
-    start, end, text = found[0]
-    kind = "dialogue" if codes[0][:start].strip() else "narration"
-    return (*at, kind, text, identifier, codes[0], start, end, None)
-
-
-def _strings(first: int, body: list[str]) -> Iterator[tuple]:
-    at: tuple[str, int] | None = None
-    for number, line in enumerate(body, first + 1):
-        m = REFERENCE.match(line)
-        if m and m[1]:
-            at = (m[2].replace("\\", "/"), int(m[3]))
-            continue
-        code = line.strip()
-        if not code.startswith("old "):
-            continue
-        code = code[4:]
-        if at is None:
-            yield _warning(number, "string without a reference")
-            continue
-        found = literals(code)
-        if len(found) == 1 and found[0][:2] == (0, len(code)):
-            yield (*at, "menu_choice", found[0][2], None, code, 0, len(code), None)
-        else:
-            yield _warning(number, "string of another form")
-        at = None
-
-
-def parse(template: str, language: str) -> Iterator[tuple]:
-    """Rows of :data:`COLUMNS`; a warning stands alone, with its line."""
-    lines = template.splitlines()
-    at: tuple[str, int] | None = None
-    number = 0
-    while number < len(lines):
-        line = lines[number]
-        number += 1
-        reference, block = REFERENCE.match(line), BLOCK.fullmatch(line)
-        if reference and not reference[1]:
-            at = (reference[2].replace("\\", "/"), int(reference[3]))
-        elif block and block[1] == language:
-            first = number
-            while number < len(lines) and (not lines[number] or lines[number][0].isspace()):
-                number += 1
-            body = lines[first:number]
-            if block[2] == "strings":
-                yield from _strings(first, body)
-            else:
-                yield _said(lines, first, body, block[2], at)
-            at = None
-
-
-def _parsed(language: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (path, i, *row)
-                for path, content in batch.itertuples(index=False)
-                for i, row in enumerate(parse(bytes(content).decode("utf-8-sig", "strict"), language))
-            ]
-            yield pd.DataFrame(rows, columns=["template_file", "ordinal", *COLUMNS]).astype({"literal_start": "Int32", "literal_end": "Int32", "line_number": "Int32"})
-
-    return run
+from .scripts import string_literals
+
+# Lines of the template format.
+REFERENCE = "# (.+):([0-9]+)"
+BLOCK = rf"^translate{text.SPACE}+(\S+){text.SPACE}+(\S+):{text.SPACE}*\z"
+ORIGINAL = rf"^{text.SPACE}+# (.+)"
+
+
+def _part(pattern: str, group: int) -> Column:
+    return F.nullif(F.regexp_extract("line", pattern, group), F.lit(""))
+
+
+def _reference(before: str) -> Column:
+    """(n, file, line) of a line that names its source, else null."""
+    pattern = f"^{before}{REFERENCE}"
+    place = F.struct("n", F.replace(_part(pattern, 1), F.lit("\\"), F.lit("/")).alias("file"), F.expr("try_cast(line_no AS int)").alias("line"))
+    return F.when(F.col("line").rlike(pattern), place)
+
+
+def _labelled(found: DataFrame, language: str) -> DataFrame:
+    """Lines of the files, each with the block of the language it lies in (``block``,
+    the number of its head; null outside), the block's name and what the line holds."""
+    script = F.regexp_replace(F.decode("content", "UTF-8"), "^\\x{FEFF}", "")
+    lines = found.select(F.col("path").alias("template_file"), F.posexplode(text.lines(script)).alias("n", "line"))
+    file = Window.partitionBy("template_file").orderBy("n")
+    so_far, earlier = file.rowsBetween(Window.unboundedPreceding, Window.currentRow), file.rowsBetween(Window.unboundedPreceding, -1)
+    top = (F.col("line") != "") & ~F.col("line").rlike(f"^{text.SPACE}")
+    head = F.when(top, F.struct("n", (_part(BLOCK, 1) == language).alias("own"), _part(BLOCK, 2).alias("name")))
+    labelled = (
+        lines.withColumn("line_no", _part(f"^{text.SPACE}*{REFERENCE}", 2))
+        .withColumn("top_reference", _reference(""))
+        .withColumn("inner_reference", _reference(f"{text.SPACE}+"))
+        .withColumn("head", F.last(head, ignorenulls=True).over(so_far))
+        .withColumn("inside", F.coalesce(F.col("head.own"), F.lit(False)))
+        .withColumn("code", F.regexp_replace("line", rf"^{text.SPACE}+|{text.SPACE}+\z", ""))
+    )
+    is_head = F.col("inside") & (F.col("head.n") == F.col("n"))
+    is_old = F.col("inside") & (F.col("head.name") == "strings") & ~is_head & F.col("code").startswith("old ")
+    return labelled.select(
+        "template_file",
+        "n",
+        "line",
+        "inside",
+        F.col("head.n").alias("block"),
+        F.col("head.name").alias("name"),
+        is_head.alias("is_head"),
+        is_old.alias("is_old"),
+        F.when(is_old, F.substring("code", 5, 1 << 30)).alias("old_code"),
+        F.last("top_reference", ignorenulls=True).over(so_far).alias("above"),
+        F.max(F.when(is_head, F.col("n"))).over(earlier).alias("block_before"),
+        F.last("inner_reference", ignorenulls=True).over(so_far).alias("nearest"),
+        F.max(F.when(is_old, F.col("n"))).over(earlier).alias("old_before"),
+    )
+
+
+def _since(reference: Column, *bounds: Column) -> Column:
+    """A reference that comes after all the given lines: each serves one entry."""
+    return F.when(reduce(lambda a, b: a & b, [reference["n"] > F.coalesce(b, F.lit(-1)) for b in bounds]), reference)
 
 
 def entries(spark: SparkSession, root: str, language: str) -> tuple[DataFrame, DataFrame]:
@@ -105,6 +76,55 @@ def entries(spark: SparkSession, root: str, language: str) -> tuple[DataFrame, D
 
 
 def read_entries(found: DataFrame, language: str) -> tuple[DataFrame, DataFrame]:
-    rows = found.select("path", "content").mapInPandas(_parsed(language), SCHEMA)
-    warned = rows.where("warning IS NOT NULL").select("template_file", "line_number", F.col("warning").alias("message"))
-    return rows.where("warning IS NULL").drop("warning"), warned
+    """Entries and warnings of template files (path, content); content that isn't UTF-8
+    stops the query.
+
+    Lines are labelled first: a line that isn't indented closes the block before it. A
+    block of said text makes one entry from its only quoted statement; in a block of
+    strings each ``old`` line makes one from the reference above it. Window functions
+    run over one file's lines.
+    """
+    lines = _labelled(found, language).where("inside")
+    said = (
+        lines.where("name <> 'strings'")
+        .groupBy("template_file", "block", "name")
+        .agg(
+            F.max(F.when(F.col("is_head"), _since(F.col("above"), F.col("block_before")))).alias("at"),
+            F.collect_list(F.when(~F.col("is_head"), _part(ORIGINAL, 1))).alias("codes"),
+        )
+        .select("template_file", F.col("block").alias("n"), "name", "at", F.size("codes").alias("n_codes"), F.get("codes", F.lit(0)).alias("code"))
+    )
+    choices = lines.where("is_old").select(
+        "template_file",
+        "n",
+        F.lit(None).cast("string").alias("name"),
+        _since(F.col("nearest"), F.col("block"), F.col("old_before")).alias("at"),
+        F.lit(1).alias("n_codes"),
+        F.col("old_code").alias("code"),
+    )
+    rows = said.unionByName(choices).withColumn("strings", string_literals(F.col("code")))
+    choice, first = F.col("name").isNull(), F.get("strings", F.lit(0))
+    whole = (F.size("strings") == 1) & (first["start"] == 0) & (first["end"] == F.length("code"))
+    warning = (
+        F.when(F.col("at").isNull(), F.when(choice, "string without a reference").otherwise("block without a reference"))
+        .when(F.col("n_codes") != 1, F.format_string("block of %d statements", "n_codes"))
+        .when(choice & ~whole, "string of another form")
+        .when(F.size("strings") != 1, F.format_string("statement of %d strings", F.size("strings")))
+    )
+    bare = F.regexp_replace(F.substring("code", F.lit(1), first["start"]), text.SPACE, "") == ""
+    kind = F.when(choice, "menu_choice").when(bare, "narration").otherwise("dialogue")
+    place = Window.partitionBy("template_file").orderBy("n")
+    judged = rows.withColumn("warning", warning).withColumn("ordinal", F.row_number().over(place) - 1)
+    good = judged.where("warning IS NULL").select(
+        "template_file",
+        "ordinal",
+        F.col("at.file").alias("source_file"),
+        F.col("at.line").alias("line_number"),
+        kind.alias("kind"),
+        first["body"].alias("source_text"),
+        F.col("name").alias("translation_identifier"),
+        F.col("code").alias("source_code"),
+        first["start"].alias("literal_start"),
+        first["end"].alias("literal_end"),
+    )
+    return good, judged.where("warning IS NOT NULL").select("template_file", (F.col("n") + 1).alias("line_number"), F.col("warning").alias("message"))

@@ -5,17 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or the checkpoint folder set on the context. Only a
-    session with neither (a local test) gets a temporary folder."""
+    local session with neither gets a temporary folder; a cluster has to name one."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = known.get() if known.isDefined() else ""
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="glossaspark-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -30,6 +32,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return _made[-1]
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: later steps see the same rows
+    however often they run."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all tables of :func:`scratch_path`, when no result that reads them is
     needed any more."""

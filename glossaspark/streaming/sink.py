@@ -10,15 +10,20 @@ from pyspark.sql import functions as F
 from ..operators import store
 
 
-def append_once(path: str, key: str, payload: str) -> Callable[[DataFrame, int], None]:
+def append_once(path: str, key: str, payload: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: appends keys that aren't stored, skips equal ones and stops
     at another payload for a stored key. Each batch writes its own folder, and replaces
-    it when the batch is tried again, so a retry adds nothing twice."""
+    it when the batch is tried again, so a retry adds nothing twice. The store is laid
+    out in ``buckets`` folders by the hash of the key, and a batch reads those of its
+    keys only."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        batch = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in batch.select("bucket").distinct().collect()]
         try:
-            stored = spark.read.option("basePath", path).parquet(path).where(F.col("batch") != number).select(key, payload)
+            found = spark.read.option("basePath", path).parquet(path)
+            stored = found.where((F.col("batch") != number) & F.col("bucket").isin(touched)).select(key, payload)
         except Exception as error:  # nothing is stored yet
             if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
                 raise
@@ -26,6 +31,7 @@ def append_once(path: str, key: str, payload: str) -> Callable[[DataFrame, int],
         once = batch.groupBy(key).agg(F.min(payload).alias(payload), F.max(payload).alias("__max"))
         same = F.when(F.col(payload).eqNullSafe(F.col("__max")), F.col(payload)).otherwise(F.raise_error(F.lit("one key, two payloads")))
         rows = store.upserted(stored, once.select(key, same.alias(payload)), key, payload)
-        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        placed = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
 
     return write

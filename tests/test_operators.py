@@ -127,6 +127,9 @@ def test_stream_replays_once(spark, tmp_path):
     assert run() == [(1, 1, "running", True), (1, 2, "completed", True), (1, 4, "completed", False), (2, 3, "pending", False)]
     put(second, "b")
     assert run()[-1] == (2, 5, "running", True) and len(run()) == 5
+    put([(1, 3, "paused"), (1, 6, "running")], "c")  # the first comes after the fourth
+    assert (1, 3, "completed", False) in run() and len(run()) == 7
+    assert [r["event_id"] for r in spark.read.parquet(str(tmp_path / "out")).where("late").collect()] == [3]
 
 
 def test_sink_adds_nothing_twice(spark, tmp_path):
