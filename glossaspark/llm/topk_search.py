@@ -14,14 +14,19 @@ from .common import materialize, partitions
 
 #: Above this product of lengths, float sums of integers could round.
 EXACT = float(1 << 52)
-BLOCK_SCHEMA = "block long, ids array<long>, flat array<long>, longest double"
+#: Components above this take no part in the rotation, which is right for any rows.
+LARGE = 1e100
+BLOCK_SCHEMA = "block long, ids array<long>, flat array<double>, longest double, heads array<float>, rest array<float>, lens array<float>"
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component as long; null where the vector is null or
-    holds a null, non-finite or unrepresentable component."""
-    ok = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * scale < float(1 << 62)))
-    return F.when(ok, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
+    """floor(scale * x) of each component, as double, which holds it exactly; null where
+    the vector is null or holds a null or non-finite component, or one whose product
+    isn't finite."""
+    ok = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < float("inf")))
+    large = float(1 << 53)  # doubles from here on are whole
+    whole = lambda y: F.when(F.abs(y) < large, F.floor(y).cast("double")).otherwise(y)
+    return F.when(ok, F.transform(vector, lambda x: whole(x.cast("double") * scale)))
 
 
 def _matrix(flat: np.ndarray, rows: int) -> np.ndarray:
@@ -29,7 +34,7 @@ def _matrix(flat: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _dense(vectors: pa.Array, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width), dtype=np.int64)
+    out = np.zeros((len(vectors), width))
     lengths = np.diff(vectors.offsets.to_numpy())
     out[np.arange(width)[None, :] < lengths[:, None]] = vectors.flatten().to_numpy(zero_copy_only=False)
     return out
@@ -39,7 +44,8 @@ def _gram(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
         for batch in batches:
-            x = _dense(batch.column(1), width).astype(np.float64)
+            x = _dense(batch.column(1), width)
+            x = x[(np.abs(x) < LARGE).all(axis=1)]
             total += x.T @ x
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(width * width, dtype=np.int64)), pa.array(total.ravel())], ["cell", "value"]
@@ -57,7 +63,16 @@ def _rotation(rows: DataFrame, width: int) -> np.ndarray:
     return np.linalg.eigh(gram.reshape(width, width))[1][:, ::-1]
 
 
-def _packed(width: int, size: int):
+def _summary(x: np.ndarray, rotation: np.ndarray, head: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first rotated components of each row, the length of the others, and the whole
+    length, in single precision; infinite where they are too large."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        turned = x @ rotation
+        rest, whole = np.sqrt((turned[:, head:] ** 2).sum(axis=1)), np.sqrt((x**2).sum(axis=1))
+        return tuple(np.nan_to_num(v, nan=np.inf, posinf=np.inf, neginf=-np.inf).astype(np.float32) for v in (turned[:, :head], rest, whole))
+
+
+def _packed(width: int, size: int, rotation: np.ndarray, head: int):
     """Blocks of at most ``size`` vectors in the order they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,10 +80,13 @@ def _packed(width: int, size: int):
         ids, parts, held = [], [], 0
 
         def block(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-            longest = float(np.sqrt((x.astype(np.float64) ** 2).sum(axis=1).max()))
+            heads, rest, lens = _summary(x, rotation, head)
+            with np.errstate(over="ignore"):
+                longest = float(np.sqrt((x**2).sum(axis=1).max()))
+            floats = [pa.array([v.ravel()], pa.list_(pa.float32())) for v in (heads, rest, lens)]
             return pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([x.ravel()], pa.list_(pa.int64())), pa.array([longest])],
-                ["block", "ids", "flat", "longest"],
+                [pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([x.ravel()], pa.list_(pa.float64())), pa.array([longest]), *floats],
+                ["block", "ids", "flat", "longest", "heads", "rest", "lens"],
             )
 
         for batch in batches:
@@ -86,39 +104,88 @@ def _packed(width: int, size: int):
     return run
 
 
-def _best(k: int, width: int, rotation: np.ndarray, head: int, tile: int = 256):
-    """The k best of a block for each query of a query block; nothing below the
-    query's threshold. Partial sums over the first rotated dimensions and the
-    Cauchy-Schwarz bound on the rest drop what cannot reach it."""
+def _value(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
+    return batch.column(name)[row].values.to_numpy(zero_copy_only=False)
+
+
+def _bounds(qh: np.ndarray, qr: np.ndarray, ql: np.ndarray, ph: np.ndarray, pr: np.ndarray, pl: np.ndarray, slack: float) -> np.ndarray:
+    """At most these are the inner products: the partial sum over the head and
+    Cauchy-Schwarz on the rest, with room for rounding."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        bound = qh @ ph.T + np.outer(qr, pr) + slack * np.outer(ql, pl) + 1
+    return np.nan_to_num(bound, nan=np.inf, posinf=np.inf, neginf=np.inf)
+
+
+def _asked(rotation: np.ndarray, head: int):
+    """Adds the summaries of a query block to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                x = _matrix(_value(one, "qflat", 0), len(_value(one, "qids", 0)))
+                floats = [pa.array([v.ravel()], pa.list_(pa.float32())) for v in _summary(x, rotation, head)]
+                yield pa.RecordBatch.from_arrays([*one.columns, *floats], [*one.schema.names, "qheads", "qrest", "qlens"])
+
+    return run
+
+
+def _survivors(head: int):
+    """Places in a block whose bound reaches the threshold of one of the queries."""
+    slack = 1e-6 * (head + 8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qh, qr, ql, least, ph, pr, pl = (_value(batch, c, i).astype(np.float64) for c in ("qheads", "qrest", "qlens", "least", "heads", "rest", "lens"))
+                bound = _bounds(_matrix(qh, len(qr)), qr, ql, _matrix(ph, len(pr)), pr, pl, slack)
+                places = np.flatnonzero((bound >= least[:, None]).any(axis=0)).astype(np.int32)
+                if len(places):
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("block").slice(i, 1), batch.column("qblock").slice(i, 1), pa.array([places], pa.list_(pa.int32()))], ["block", "qblock", "places"]
+                    )
+
+    return run
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vectors at the surviving places."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            ids, places = _value(batch, "ids", i), _value(batch, "places", i)
+            x = _matrix(_value(batch, "flat", i), len(ids))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("qblock").slice(i, 1), pa.array([ids[places]], pa.list_(pa.int64())), pa.array([x[places].ravel()], pa.list_(pa.float64()))],
+                ["qblock", "ids", "flat"],
+            )
+
+
+def _products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers as long, exact; those beyond a long at its limits."""
+    with np.errstate(over="ignore"):
+        size = np.sqrt((q**2).sum(axis=1).max()) * np.sqrt((p**2).sum(axis=1).max())
+    if size < EXACT:
+        return np.rint(q @ p.T).astype(np.int64)
+    whole = lambda x: np.array([[int(v) for v in row] for row in x], dtype=object).reshape(x.shape)
+    limits = np.iinfo(np.int64)
+    return np.clip(whole(q) @ whole(p).T, limits.min, limits.max).astype(np.int64)
+
+
+def _best(k: int, tile: int = 256):
+    """The k best candidates for each query of a query block; nothing below the query's
+    threshold."""
 
     def one(qid, q, least, pid, p, ids_out):
-        qf, pf = q.astype(np.float64), p.astype(np.float64)
-        q_len, p_len = np.sqrt((qf**2).sum(axis=1)), np.sqrt((pf**2).sum(axis=1))
-        exact = q_len.max() * p_len.max() < EXACT
-        qr, pr = qf @ rotation, pf @ rotation
-        q_rest, p_rest = np.sqrt((qr[:, head:] ** 2).sum(axis=1)), np.sqrt((pr[:, head:] ** 2).sum(axis=1))
-        slack = 1e-9 * (1 + q_len[:, None] * p_len.max())
         for start in range(0, len(q), tile):
             s = slice(start, start + tile)
-            floor = least[s][:, None]
-            live = np.flatnonzero((q_len[s][:, None] * p_len[None, :] + slack[s] >= floor).any(axis=0))
-            if not len(live):
-                continue
-            bound = qr[s, :head] @ pr[live, :head].T + q_rest[s][:, None] * p_rest[live][None, :] + slack[s]
-            live = live[(bound >= floor).any(axis=0)]
-            if not len(live):
-                continue
-            if exact:
-                score = np.rint(qf[s] @ pf[live].T).astype(np.int64)
-            else:
-                score = q[s] @ p[live].T
-            mask = (score >= floor) & (qid[s][:, None] != pid[live][None, :])
+            score = _products(q[s], p)
+            mask = (score >= least[s][:, None]) & (qid[s][:, None] != pid[None, :])
             if score.shape[1] > k:
                 low = np.where(mask, score, np.iinfo(np.int64).min)
                 mask &= score >= np.partition(low, -k, axis=1)[:, -k][:, None]
             r, c = np.nonzero(mask)
-            value, who = score[r, c], pid[live][c]
-            order = np.lexsort((who, -value, r))
+            value, who = score[r, c], pid[c]
+            order = np.lexsort((who, -value.astype(object) if len(value) and value.min() == np.iinfo(np.int64).min else -value, r))
             r, value, who = r[order], value[order], who[order]
             rank = np.arange(len(r)) - np.searchsorted(r, r)
             keep = rank < k
@@ -127,10 +194,10 @@ def _best(k: int, width: int, rotation: np.ndarray, head: int, tile: int = 256):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                value = lambda name: batch.column(name)[i].values.to_numpy(zero_copy_only=False)
-                qid, pid = value("qids"), value("ids")
+                qid, pid = _value(batch, "qids", i), _value(batch, "ids", i)
                 found: list = []
-                one(qid, _matrix(value("qflat"), len(qid)), value("least"), pid, _matrix(value("flat"), len(pid)), found)
+                if len(pid):
+                    one(qid, _matrix(_value(batch, "qflat", i), len(qid)), _value(batch, "least", i), pid, _matrix(_value(batch, "flat", i), len(pid)), found)
                 if found:
                     a, b, c = (np.concatenate([f[j] for f in found]) for j in range(3))
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], ["query_id", "vec_id", "score"])
@@ -151,69 +218,75 @@ def top_k_inner_products(
 ) -> DataFrame:
     """The ``k`` largest inner products of each query with the other vectors.
 
-    ``vectors`` and ``queries`` hold integer vectors (array of long; null vectors and
-    null ids take no part; shorter vectors end in zeros). Vectors with the query's own
-    id are not its candidates. Candidates are packed into blocks by descending length.
-    The first block gives each query a threshold; of the rest a query block meets only
-    blocks whose longest vector can reach one of its thresholds, and in the task the
-    first SVD-rotated dimensions with a bound on the remaining ones drop candidates
-    before the exact integer products. All queries meet all blocks that can matter, in
-    block pairs; a task holds one pair at a time.
+    ``vectors`` and ``queries`` hold vectors of whole numbers (array of long or double;
+    null vectors and null ids take no part; shorter vectors end in zeros). Vectors with
+    the query's own id are not its candidates. Candidates are packed into blocks by
+    descending length. The first block gives each query a threshold. Of the rest a query
+    block meets only blocks whose longest vector can reach one of its thresholds, and
+    first only their summaries: the leading SVD-rotated components and the length of
+    the others, whose partial sums and residual bound leave few candidates. The whole
+    vectors of these alone go on to the exact products. A task holds one pair of blocks
+    at a time. Numbers are exact at any size; a score that no long holds stands at its
+    limit.
 
     Returns (query_id, rank, vec_id, score), ties to the smaller vec_id, ranks from 1;
     fewer rows where there are fewer candidates. Repeated rows are candidates each;
     repeated queries count once. Empty tables give an empty result.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL").dropDuplicates()
+    pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    rows, asked = pick(vectors), pick(queries).dropDuplicates()
     spark = vectors.sparkSession
     width = max(1, rows.agg(F.max(F.size("v"))).first()[0] or 1, asked.agg(F.max(F.size("v"))).first()[0] or 1)
     rotation = _rotation(rows, width)
     head = max(1, int(width * head_share))
 
-    length = F.aggregate("v", F.lit(0.0), lambda n, x: n + x.cast("double") * x.cast("double"))
+    length = F.aggregate("v", F.lit(0.0), lambda n, x: n + x * x)
     n = partitions(spark)
     blocks = materialize(
         rows.withColumn("length", length)
         .repartitionByRange(n, F.col("length").desc(), F.col("id"))
         .sortWithinPartitions(F.col("length").desc(), F.col("id"))
         .select("id", "v")
-        .mapInArrow(_packed(width, block), BLOCK_SCHEMA),
+        .mapInArrow(_packed(width, block, rotation, head), BLOCK_SCHEMA),
         "blocks",
     )
     top = blocks.agg(F.max_by("block", F.struct("longest", -F.col("block")))).first()[0]
-    count = -(-asked.count() // query_block)
-    asked_blocks = (
-        asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(max(1, count))).alias("qblock"))
-        .agg(F.collect_list(F.struct("id", "v")).alias("q"))
-        .select("qblock", F.transform("q", lambda x: x["id"]).alias("qids"), F.flatten(F.transform("q", lambda x: _padded(x["v"], width))).alias("qflat"))
-    )
-    every = F.explode(F.sequence(F.lit(0), F.lit(max(0, count - 1)))).alias("qblock")
+    count = max(1, -(-asked.count() // query_block))
+    placed = asked.withColumn("qblock", F.pmod(F.xxhash64("id"), F.lit(count).cast("long")))
+
+    def gathered(df: DataFrame) -> DataFrame:
+        """Query blocks of (id, v, least, need) rows."""
+        return (
+            df.groupBy("qblock")
+            .agg(F.collect_list(F.struct("id", "v", "least")).alias("q"), F.min("need").alias("needs"))
+            .select(
+                "qblock",
+                "needs",
+                F.transform("q", lambda x: x["id"]).alias("qids"),
+                F.flatten(F.transform("q", lambda x: _padded(x["v"], width))).alias("qflat"),
+                F.transform("q", lambda x: x["least"]).alias("least"),
+            )
+        )
+
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("qblock")
+    best, schema, columns = _best(k), "query_id long, vec_id long, score long", ["qids", "qflat", "least", "ids", "flat"]
+    lowest = F.lit(-(2**63)).cast("long")
     first_block = blocks.where(F.col("block") == F.lit(top)).select("ids", "flat", every)
-    best = _best(k, width, rotation, head)
-    schema = "query_id long, vec_id long, score long"
-    columns = ["qids", "qflat", "least", "ids", "flat"]
-    lowest = F.transform("qids", lambda _: F.lit(-(2**63)).cast("long"))
     seeds = materialize(
-        asked_blocks.withColumn("least", lowest).join(first_block, "qblock").select(columns).mapInArrow(best, schema),
+        gathered(placed.withColumn("least", lowest).withColumn("need", F.lit(0.0))).join(first_block, "qblock").select(columns).mapInArrow(best, schema),
         "seeds",
     )
     floors = seeds.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("have"))
-    lengths = asked.select("id", F.sqrt(length).alias("len"), F.pmod(F.xxhash64("id"), F.lit(max(1, count))).alias("qblock"), "v")
+    thresholds = (
+        placed.join(floors, placed["id"] == floors["query_id"], "left")
+        .withColumn("least", F.when(F.col("have") >= k, F.col("low")).otherwise(lowest))
+        .withColumn("len", F.sqrt(length))
+        .withColumn("need", F.when(F.col("len") > 0, F.col("least") / F.col("len")).otherwise(F.when(F.col("least") <= 0, F.lit(float("-inf"))).otherwise(F.lit(float("inf")))))
+    )
     queries_now = materialize(
-        lengths.join(floors, lengths["id"] == floors["query_id"], "left")
-        .withColumn("least", F.when(F.col("have") >= k, F.col("low")).otherwise(F.lit(-(2**63)).cast("long")))
-        .groupBy("qblock")
-        .agg(
-            F.collect_list(F.struct("id", "v", "least")).alias("q"),
-            F.min(F.when(F.col("len") > 0, F.col("least") / F.col("len")).otherwise(F.when(F.col("least") <= 0, F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))).alias("needs"),
-        )
-        .select(
-            "qblock",
-            "needs",
-            F.transform("q", lambda x: x["id"]).alias("qids"),
-            F.flatten(F.transform("q", lambda x: _padded(x["v"], width))).alias("qflat"),
-            F.transform("q", lambda x: x["least"]).alias("least"),
+        gathered(thresholds).mapInArrow(
+            _asked(rotation, head),
+            "qblock long, needs double, qids array<long>, qflat array<double>, least array<long>, qheads array<float>, qrest array<float>, qlens array<float>",
         ),
         "queries",
     )
@@ -224,9 +297,15 @@ def top_k_inner_products(
         .where(F.col("longest") * (1 + 1e-9) >= F.col("needs"))
         .select("block", "qblock")
     )
+    survivors = (
+        pairs.join(blocks.select("block", "heads", "rest", "lens"), "block")
+        .join(queries_now.select("qblock", "least", "qheads", "qrest", "qlens"), "qblock")
+        .mapInArrow(_survivors(head), "block long, qblock long, places array<int>")
+    )
     rest = (
-        pairs.join(blocks.select("block", "ids", "flat"), "block")
-        .join(queries_now.drop("needs"), "qblock")
+        survivors.join(blocks.select("block", "ids", "flat"), "block")
+        .mapInArrow(_cut, "qblock long, ids array<long>, flat array<double>")
+        .join(queries_now.select("qblock", "qids", "qflat", "least"), "qblock")
         .select(columns)
         .mapInArrow(best, schema)
     )
@@ -240,4 +319,4 @@ def top_k_inner_products(
 
 
 def _padded(v: Column, width: int) -> Column:
-    return F.concat(v, F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size(v)))
+    return F.concat(v, F.array_repeat(F.lit(0.0), F.lit(width) - F.size(v)))

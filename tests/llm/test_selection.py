@@ -142,6 +142,33 @@ def test_search_of_few_vectors(spark):
     assert top_k_inner_products(df, df.where("false")).count() == 0
 
 
+def test_search_of_huge_and_repeated_vectors(spark):
+    """Numbers whose products no float or long holds, equal lengths, repeated rows and
+    columns of clashing names."""
+    big = float(1 << 60)
+    rows = [(i, [float(3 * i), 4.0, -1.0]) for i in range(40)] + [(40, [big, 1.0, 0.0]), (41, [big, 2.0, 0.0]), (42, [3e38, 0.0, 0.0]), (43, [1e200, -1e200, 5.0]), (44, [-big, 0.0, 1.0])]
+    rows += [rows[3], rows[3]]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>").selectExpr("*", "1 AS id", "2 AS block", "3 AS score", "4 AS qblock")
+    ints = [(i, [int(x) for x in v]) for i, v in rows]
+    clip = lambda s: max(-(2**63), min(2**63 - 1, s))
+    for block in (4, 4096):
+        found = top_k_inner_products(df, df.where("vec_id % 4 = 0"), k=5, block=block).collect()
+        scores = {}
+        for q, v in ints:
+            if q % 4 == 0 and q not in scores:
+                scores[q] = sorted((-clip(sum(a * b for a, b in zip(v, x))), i) for i, x in ints if i != q)[:5]
+        assert sorted(map(tuple, found)) == sorted((q, r + 1, i, -s) for q, top in scores.items() for r, (s, i) in enumerate(top))
+
+
+def test_search_where_lengths_are_equal(spark):
+    rng = np.random.default_rng(6)
+    signs = rng.choice([-1, 1], (300, 16))
+    vectors = [(i, [int(c) for c in v * 7]) for i, v in enumerate(signs)]
+    df = spark.createDataFrame(vectors, "vec_id long, v array<long>")
+    found = top_k_inner_products(df, df.where("vec_id % 10 = 0"), k=5, block=32, query_block=8)
+    assert sorted(map(tuple, found.collect())) == brute_top(vectors, [v for v in vectors if v[0] % 10 == 0], 5)
+
+
 def test_quantised(spark):
     rows = [(0, [0.5, -0.001]), (1, None), (2, [1.0, None]), (3, [float("nan")]), (4, [float("inf")]), (5, [])]
     df = spark.createDataFrame(rows, "vec_id long, e array<float>").select("vec_id", quantised(F.col("e")).alias("v"))
