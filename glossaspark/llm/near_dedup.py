@@ -172,6 +172,11 @@ def near_duplicates(
     large-star and small-star. A pair at exactly 80 % meets in no band with a
     probability of ``(1 - 0.8**4)**32``, about 5e-8.
 
+    A pair is dropped before the check on full sets if fewer of its minima agree than
+    4.5 standard deviations below what ``percent`` % lets expect (at 80 %: fewer than 82
+    of 128), which loses a link at exactly 80 % with a probability of about 9e-6 for
+    each pair of documents.
+
     Documents with the same set are one node. A bucket first links each member with
     its smallest member only, then, for ``rounds`` rounds, members of other components
     with a drawn member. Members of one bucket that are then still in different
@@ -181,7 +186,8 @@ def near_duplicates(
 
     Returns one row per row of ``docs``: doc_id, n_shingles, component_id (smallest
     doc_id reachable, itself included), kept. Null and empty texts, and texts without
-    words, have no shingles and stand alone. Rows of one doc_id are one node. A null
+    words, have no shingles and stand alone, unless another row of their doc_id has
+    some. Rows of one doc_id are in one component, whatever their texts. A null
     doc_id stands alone: component_id is null and kept is true. An empty table gives
     an empty result; other columns of ``docs`` are ignored.
     """
@@ -195,13 +201,25 @@ def near_duplicates(
     )
     full = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     reps = materialize(full.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "reps")
+    # ids with several sets link the groups of these
+    several = full.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("z")).where("a <> z").select("doc_id")
+    bridges = (
+        full.join(several, "doc_id", "left_semi")
+        .select("doc_id", "set_key")
+        .distinct()
+        .join(reps, "set_key")
+        .where("doc_id <> rep")
+        .select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    )
     nodes = full.join(reps.select(F.col("set_key"), F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
 
     banded = nodes.select("doc_id", F.posexplode("bands").alias("band", "bh"))
     shared = banded.groupBy("bh").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("z")).where("c < z")
     members = materialize(banded.join(shared.select("bh", "c"), "bh").select("bh", "band", "doc_id", "c"), "members")
     wanted = members.select("doc_id").distinct()
-    sigs = materialize(signed.select("doc_id", "sig", "bands").where("sig IS NOT NULL").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sigs")
+    sigs = materialize(
+        signed.select("doc_id", "set_key", "sig", "bands").where("sig IS NOT NULL").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "set_key"]).drop("set_key"), "sigs"
+    )
     sets = materialize(
         slim.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, shingles array<long>"), "sets"
     )
@@ -238,7 +256,7 @@ def near_duplicates(
         return materialize(connected_components(links.unionByName(stars)), "components")
 
     stars = members.where("doc_id <> c").select(F.col("c").alias("a"), F.col("doc_id").alias("b")).distinct()
-    found = materialize(connected_components(materialize(confirmed(similar(stars)), "links")), "components")
+    found = materialize(connected_components(materialize(confirmed(similar(stars)).unionByName(bridges), "links")), "components")
     for salt in range(rounds):
         # other centres: a member drawn anew for each bucket that is still divided
         now = materialize(labelled(found), "labelled")
@@ -295,9 +313,14 @@ def near_duplicates(
         "set_key", F.coalesce("component", "rep").alias("component")
     )
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    # a row without words follows the rows of its id that have some
+    empty = signed.where("set_key IS NULL AND doc_id IS NOT NULL").select("doc_id").distinct()
+    filled = full.join(empty, "doc_id", "left_semi").join(labels, "set_key").groupBy("doc_id").agg(F.min("component").alias("named"))
     return (
         signed.select("doc_id", "n_shingles", "set_key")
         .join(labels, "set_key", "left")
+        .join(filled, "doc_id", "left")
+        .withColumn("component", F.coalesce("component", "named"))
         .select(
             "doc_id",
             "n_shingles",

@@ -59,16 +59,17 @@ def packed_batches(
     counts of hash ranges give each range its first number, so no bucket is sorted in
     one task.
 
-    Returns (doc_id, segment, n_tokens, bucket, width, batch, slot), a row for each
-    segment; batch counts from 0 in its bucket. Null and empty texts give one segment
+    Returns (doc_id, copy, segment, n_tokens, bucket, width, batch, slot), a row for
+    each segment; batch counts from 0 in its bucket, copy among rows alike in id and
+    text. Rows without id are told apart, and spread, by the hash of their text. Null and empty texts give one segment
     of no tokens. Repeated rows are segments each; null ids are allowed; an empty table
     gives an empty result; other columns are ignored.
     """
-    tokens = docs.select(F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("n"))
+    tokens = docs.select(F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("n"), F.xxhash64(text_col).alias("text_hash"))
     last = F.greatest(F.lit(0), F.ceil(F.col("n") / max_tokens).cast("int") - 1)
     segments = materialize(
-        tokens.select("doc_id", "n", F.explode(F.sequence(F.lit(0), last)).alias("segment")).select(
-            "doc_id", "segment", F.least(F.lit(max_tokens), F.col("n") - F.col("segment") * max_tokens).cast("int").alias("n_tokens")
+        tokens.select("doc_id", "n", "text_hash", F.explode(F.sequence(F.lit(0), last)).alias("segment")).select(
+            "doc_id", "text_hash", "segment", F.least(F.lit(max_tokens), F.col("n") - F.col("segment") * max_tokens).cast("int").alias("n_tokens")
         ),
         "segments",
     )
@@ -80,7 +81,7 @@ def packed_batches(
     bucket = F.size(F.filter(F.array(*[F.lit(w) for w in widths]), lambda w: w < F.col("n_tokens")))
     placed = (
         segments.withColumn("bucket", bucket)
-        .withColumn("hash", F.xxhash64(F.lit(seed), "doc_id", "segment"))
+        .withColumn("hash", F.xxhash64(F.lit(seed), "doc_id", "segment", "text_hash"))
         .withColumn("salt", F.pmod("hash", F.lit(salts)))
     )
     before = Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,14 +91,17 @@ def packed_batches(
         .select("bucket", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     )
     inside = Window.partitionBy("bucket", "salt").orderBy("hash", "doc_id", "segment")
+    alike = Window.partitionBy("bucket", "salt", "hash", "doc_id", "segment").orderBy("text_hash")
     width = F.get(F.array(*[F.lit(w) for w in widths]), F.col("bucket"))
     fits = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), width))).cast("long")
     return (
         placed.withColumn("number", F.row_number().over(inside) - 1)
+        .withColumn("copy", (F.row_number().over(alike) - 1).cast("int"))
         .join(offsets, ["bucket", "salt"])
         .withColumn("number", F.col("number") + F.col("offset"))
         .select(
             "doc_id",
+            "copy",
             "segment",
             "n_tokens",
             "bucket",

@@ -122,9 +122,10 @@ def mix_sources(
     """
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     sized = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("text_hash"))
         .withColumn("key", key)
-        .withColumn("hash", F.xxhash64(F.lit(seed), "doc_id", "key", "size"))
+        .withColumn("hash", F.xxhash64(F.lit(seed), "doc_id", "key", "size", "text_hash"))
+        .drop("text_hash")
         .withColumn("salt", F.pmod("hash", F.lit(salts)).cast("int")),
         "sized",
     )

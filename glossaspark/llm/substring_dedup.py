@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, delete_path, drop_scratch, gram_hashes, materialize, partitions, release, scratch_path
 
-#: Multiplier of window digests; that of the fingerprints differs.
-DIGEST = 0xD6E8FEB86659FD93
+#: Multipliers of the two halves of window digests; that of the fingerprints differs.
+DIGEST = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 def _tokens(text: str | None) -> list[bytes]:
@@ -123,6 +123,11 @@ class FingerprintIndex:
         self.runs = []
 
 
+def _digests(hashes: np.ndarray, window: int) -> np.ndarray:
+    """128-bit digest of each window, as pairs of longs."""
+    return np.stack([gram_hashes(hashes, window, factor) for factor in DIGEST], axis=1)
+
+
 def _windows(window: int, gram: int):
     """Digests of the windows whose fingerprint is among the given ones, each once for a
     document."""
@@ -137,13 +142,15 @@ def _windows(window: int, gram: int):
                     hashes = cache.of(_tokens(text.as_py()))
                     marks = shared.values.to_numpy(zero_copy_only=False).view(np.uint64)
                     hit = np.isin(window_fingerprints(hashes, window, gram), marks)
-                    found.append(np.unique(gram_hashes(hashes, window, DIGEST)[hit]))
+                    found.append(np.unique(_digests(hashes, window)[hit], axis=0))
+                both = np.concatenate(found).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate(found).view(np.int64)),
+                        pa.array(np.ascontiguousarray(both[:, 0])),
+                        pa.array(np.ascontiguousarray(both[:, 1])),
                         pa.array(np.repeat(np.array(ids, dtype=np.int64), [len(x) for x in found])),
                     ],
-                    ["digest", "doc_id"],
+                    ["digest", "digest2", "doc_id"],
                 )
 
     return run
@@ -160,8 +167,12 @@ def _removed(window: int):
                     tokens = _tokens(text.as_py())
                     total.append(len(tokens))
                     if digests.is_valid and len(tokens) >= window:
-                        marks = digests.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                        hit = np.isin(gram_hashes(cache.of(tokens), window, DIGEST), marks)
+                        marks = [digests.values.field(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(2)]
+                        here = _digests(cache.of(tokens), window)
+                        hit = np.isin(here[:, 0], marks[0])
+                        pairs = set(zip(*(m.tolist() for m in marks), strict=True))
+                        for i in np.flatnonzero(hit):
+                            hit[i] = tuple(here[i].tolist()) in pairs
                         edges = np.zeros(len(tokens) + 1, dtype=np.int64)
                         edges[: len(hit)] += hit
                         edges[window : window + len(hit)] -= hit
@@ -200,8 +211,9 @@ def remove_repeats(
     document with a smaller doc_id.
 
     The documents enter a :class:`FingerprintIndex` in batches by ascending doc_id.
-    Its hits are verified on 64-bit digests of the whole windows (an unequal pair
-    passes with a probability of 2**-64); documents with a hit give the digests of
+    Its hits are verified on 128-bit digests of the whole windows, made of 64-bit
+    hashes of their words (unequal windows pass where a word of each has the same
+    hash, or with a probability of 2**-128); documents with a hit give the digests of
     the windows there, and the smallest doc_id of each digest keeps it. Passages of
     ``many`` documents or more go through a join that can be split; the result is the
     same for any value.
@@ -249,16 +261,16 @@ def remove_repeats(
     marked = texts.join(shared, "doc_id")
 
     def windows(column: str) -> DataFrame:
-        return marked.where(F.size(column) > 0).select("doc_id", "text", column).mapInArrow(_windows(window, gram), "digest long, doc_id long")
+        return marked.where(F.size(column) > 0).select("doc_id", "text", column).mapInArrow(_windows(window, gram), "digest long, digest2 long, doc_id long")
 
     # digests of fewer than ``many`` documents: one sorted group holds them
-    first = Window.partitionBy("digest").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cold = windows("few").select("doc_id", "digest", F.first("doc_id").over(first).alias("owner"))
+    first = Window.partitionBy("digest", "digest2").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cold = windows("few").select("doc_id", "digest", "digest2", F.first("doc_id").over(first).alias("owner"))
     # others: owners by pre-aggregation, and a join that can be split
-    owners = windows("many").groupBy("digest").agg(F.min("doc_id").alias("owner"))
-    hot = windows("many").join(owners, "digest").select("doc_id", "digest", "owner")
-    again = cold.unionByName(hot).where("doc_id > owner").groupBy("doc_id").agg(F.collect_list("digest").alias("digests"))
-    nameless = slim.where("doc_id IS NULL").withColumn("digests", F.lit(None).cast("array<long>"))
+    owners = windows("many").groupBy("digest", "digest2").agg(F.min("doc_id").alias("owner"))
+    hot = windows("many").join(owners, ["digest", "digest2"]).select("doc_id", "digest", "digest2", "owner")
+    again = cold.unionByName(hot).where("doc_id > owner").groupBy("doc_id").agg(F.collect_list(F.struct("digest", "digest2")).alias("digests"))
+    nameless = slim.where("doc_id IS NULL").withColumn("digests", F.lit(None).cast("array<struct<digest:long,digest2:long>>"))
     return (
         texts.join(again, "doc_id", "left")
         .select("doc_id", "text", "digests")

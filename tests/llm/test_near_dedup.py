@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from oracle import DATA
 from pyspark.sql import functions as F
 
 from glossaspark.llm import near_dedup
@@ -83,6 +84,22 @@ def test_edge_rows(spark, edge_docs, no_docs):
     assert near_duplicates(no_docs).count() == 0
 
 
+def test_rows_of_one_id_are_in_one_component(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b), (2, b), (4, c), (5, c), (5, None), (6, ""), (7, b + " x"), (7, c + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(docs).collect()}
+    assert out == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (5, 1, False), (6, 6, True), (7, 1, False)}
+
+
+def test_registered_query_equals_brute_force(spark):
+    """All documents of the driver's table, every pair compared."""
+    from glossaspark.llm.queries import QUERIES
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert found(QUERIES["op5_minhash_near_dedup"](spark, DATA)) == brute(texts, 4)
+
+
 def test_one_document_of_each_group_stays(edge_docs):
     kept = distinct_documents(edge_docs)
     assert kept.columns == edge_docs.columns
