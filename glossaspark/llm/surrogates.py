@@ -37,6 +37,12 @@ FAMILY_CYRILLIC = "Иванов Петров Смирнов Кузнецов П
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra")
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr")
 TITLES = ("Dr", "Prof")
+#: What stands before a full name of any kind.
+CUES = (
+    "[Mm]y name is", "[Hh]er name is", "[Hh]is name is", "[Nn]ame:", "[Ff]rom:", "[Tt]o:", "[Aa]uthor:", "[Aa]ttn:", "[Pp]atient:", "[Cc]ustomer:", "[Cc]ontact:?",
+    "[Cc]all", "[Ww]rite to", "[Aa]sk for", "[Ss]igned,?", "[Ss]igned by", "[Dd]ear", "[Rr]egards,", "[Ss]incerely,", "[Ii]ch heiße", "[Mm]ein Name ist", "[Jj]e m'appelle", "[Mm]e llamo",
+    "[Мм]еня зовут",
+)
 VOWELS = ("aeiou", "аеиоуыэюя")
 CONSONANTS = ("bcdfghjklmnpqrstvwxyz", "бвгджзйклмнпрстфхцчшщ")
 #: Only for words that have no other letters.
@@ -49,6 +55,9 @@ _capital = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]*(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]*)
 NAME = (
     rf"(?P<titled>\b(?P<title>{_title})\b\.?[ ](?P<name>{_capital}(?:[ ]{_capital})?))"
     rf"|(?P<full>\b(?:{_given})[ ](?:{_family})\b)"
+    rf"|\b(?:{'|'.join(CUES)})\s(?P<cued>{_capital}[ ]{_capital}(?:[ ]{_capital})?)(?![\w-])"
+    rf"|(?P<addressed>(?<![\w-]){_capital}[ ]{_capital})(?=,?[ ][(<]?[A-Za-z0-9][\w.+-]*@)"
+    rf"|(?P<half>\b(?:{_given})[ ]{_capital})(?![\w-])"
 )
 MARKED = re.compile("[0-9@]|(?i:password|passwd|secret|token|api_?key)|AKIA")
 ENTITY = re.compile("|".join((EMAIL, CREDENTIAL, ADDRESS, PHONE, NATIONAL, CARD)))
@@ -198,9 +207,9 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             else:
                 found.append((start, end, "access", value))
     for m in NAMED.finditer(text):
-        start = m.start("name") if m["titled"] else m.start()
-        at = start
-        for kind, value, part in _name_parts(m["name"] or m["full"]):
+        group = next(g for g in ("name", "full", "cued", "addressed", "half") if m[g])
+        at = m.start(group)
+        for kind, value, part in _name_parts(m[group]):
             at = text.index(part, at)
             found.append((at, at + len(part), kind, value))
             at += len(part)
@@ -294,9 +303,13 @@ def _rewritten(key: bytes):
     return run
 
 
+#: Kinds whose surrogates can't avoid the entities of a corpus: closed lists and words.
+CLOSED = ("female", "male", "family", "female2", "male2", "family2", "word")
+
+
 def _collisions(known: DataFrame) -> DataFrame:
-    """Entities that must try again: their surrogate is their own value, or belongs to
-    another entity of the kind with a smaller value."""
+    """Entities whose surrogate is their own value, or belongs to another entity of the
+    kind with a smaller value."""
     owners = known.groupBy("kind", "surrogate").agg(F.min("value").alias("owner"), F.count("*").alias("n"))
     return (
         known.join(owners.where("n > 1 OR surrogate = owner"), ["kind", "surrogate"])
@@ -305,13 +318,22 @@ def _collisions(known: DataFrame) -> DataFrame:
     )
 
 
+def _met(known: DataFrame) -> DataFrame:
+    """Entities whose surrogate is an entity of the corpus itself."""
+    real = known.select("kind", F.col("value").alias("surrogate"))
+    return known.where(~F.col("kind").isin(*CLOSED)).join(real, ["kind", "surrogate"], "left_semi").select("kind", "value", "attempt")
+
+
 def retried(listed: DataFrame, key: bytes, rounds: int = 8) -> DataFrame:
     """(kind, value, attempt) of the entities whose first surrogate collides, each with
-    the first attempt that doesn't; usually empty. The checks cover all entities. An
-    entity that still collides after ``rounds`` further attempts stops the job."""
+    the first attempt that doesn't; usually empty. The checks cover all entities, and
+    what the corpus itself holds: a surrogate that is an entity there is tried again
+    too (but for kinds of :data:`CLOSED`). An entity that after ``rounds`` further
+    attempts still shares its surrogate, or keeps its value, stops the job; one whose
+    surrogate only occurs in the corpus stays distinct and is accepted."""
     known = materialize(listed.withColumn("attempt", F.lit(0)).select("kind", "value", "attempt", "surrogate"), "entities")
     for _ in range(rounds):
-        again = materialize(_collisions(known), "collisions")
+        again = materialize(_collisions(known).unionByName(_met(known)).distinct(), "collisions")
         if again.isEmpty():
             break
         tried = again.withColumn("attempt", F.col("attempt") + 1).mapInArrow(
@@ -340,8 +362,9 @@ def with_surrogates(
     """``docs`` with personal data in ``text_col`` replaced.
 
     Entities: e-mail addresses, phone numbers, IPv4 addresses, social security
-    numbers, card numbers with a right check digit, names (after a title, or a listed given and family name), access
-    keys and values assigned to passwords or tokens. Surrogates are keyed and keep kind
+    numbers, card numbers with a right check digit, names (after a title or a cue such
+    as "my name is", before an e-mail address, or a listed given name and another
+    capitalised word), access keys and values assigned to passwords or tokens. Surrogates are keyed and keep kind
     and format: digits stay digits, letters keep script and case, cards keep issuer and
     check digit, names keep gender (list, ending) and script. The same
     entity has the same surrogate in all documents and spellings; the distinct entities
