@@ -55,13 +55,20 @@ _capital = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]*(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]*)
 NAME = (
     rf"(?P<titled>\b(?P<title>{_title})\b\.?[ ](?P<name>{_capital}(?:[ ]{_capital})?))"
     rf"|(?P<full>\b(?:{_given})[ ](?:{_family})\b)"
-    rf"|\b(?:{'|'.join(CUES)})\s(?P<cued>{_capital}[ ]{_capital}(?:[ ]{_capital})?)(?![\w-])"
-    rf"|(?P<addressed>(?<![\w-]){_capital}[ ]{_capital})(?=,?[ ][(<]?[A-Za-z0-9][\w.+-]*@)"
     rf"|(?P<half>\b(?:{_given})[ ]{_capital})(?![\w-])"
 )
 MARKED = re.compile("[0-9@]|(?i:password|passwd|secret|token|api_?key)|AKIA")
 ENTITY = re.compile("|".join((EMAIL, CREDENTIAL, ADDRESS, PHONE, NATIONAL, CARD)))
 NAMED = re.compile(NAME)
+CAPITAL = re.compile(r"[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]*")
+#: Words that a name of :data:`NAME` begins with.
+HEADS = frozenset((*FEMALE_TITLES, *MALE_TITLES, *TITLES, *FEMALE, *MALE, *FEMALE_CYRILLIC, *MALE_CYRILLIC))
+RUN = re.compile(rf"(?<![\w-]){_capital}[ ]{_capital}(?:[ ]{_capital})?(?![\w-])")
+PAIR = re.compile(rf"(?<![\w-]){_capital}[ ]{_capital}")
+CUED = re.compile(rf"\b(?:{'|'.join(CUES)})\s\Z")
+ADDRESS_NEXT = re.compile(r",?[ ][(<]?[A-Za-z0-9][\w.+-]*@")
+#: The longest cue, and the character before it.
+CUE_SIZE = 24
 
 
 def _valid(digits: str) -> bool:
@@ -177,6 +184,29 @@ def _name_parts(text: str) -> list[tuple[str, str, str]]:
     return out
 
 
+def names(text: str) -> Iterator[tuple[int, str]]:
+    """(start, name) of the names of a text: after a title, of a listed given name and
+    another capitalised word, of two or three capitalised words after a cue, and of two
+    before an e-mail address. Only capitalised words are looked at."""
+    end = 0
+    for word in CAPITAL.finditer(text):
+        at = word.start()
+        if at < end:
+            continue
+        if word[0] in HEADS and (m := NAMED.match(text, at)):
+            group = next(g for g in ("name", "full", "half") if m[g])
+        elif text[word.end() : word.end() + 1] not in (" ", "-"):
+            continue
+        elif (m := RUN.match(text, at)) and CUED.search(text[max(0, at - CUE_SIZE) : at]):
+            group = 0
+        elif (m := PAIR.match(text, at)) and ADDRESS_NEXT.match(text, m.end()):
+            group = 0
+        else:
+            continue
+        end = m.end()
+        yield m.start(group), m[group]
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical value) of each entity of a text, in order. The
     canonical value is the same for all spellings of an entity. The parts of a name
@@ -206,10 +236,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                     found.append((start, end, "card", digits))
             else:
                 found.append((start, end, "access", value))
-    for m in NAMED.finditer(text):
-        group = next(g for g in ("name", "full", "cued", "addressed", "half") if m[g])
-        at = m.start(group)
-        for kind, value, part in _name_parts(m[group]):
+    for at, name in names(text):
+        for kind, value, part in _name_parts(name):
             at = text.index(part, at)
             found.append((at, at + len(part), kind, value))
             at += len(part)
