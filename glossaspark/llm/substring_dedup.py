@@ -123,9 +123,10 @@ class FingerprintIndex:
         self.runs = []
 
 
-def _digests(hashes: np.ndarray, window: int) -> np.ndarray:
-    """128-bit digest of each window, as pairs of longs."""
-    return np.stack([gram_hashes(hashes, window, factor) for factor in DIGEST], axis=1)
+def _digests(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """96-bit digest of each window, as a long and an int."""
+    first, second = (gram_hashes(hashes, window, factor) for factor in DIGEST)
+    return first, (second >> np.uint64(32)).astype(np.uint32)
 
 
 def _windows(window: int, gram: int):
@@ -142,13 +143,14 @@ def _windows(window: int, gram: int):
                     hashes = cache.of(_tokens(text.as_py()))
                     marks = shared.values.to_numpy(zero_copy_only=False).view(np.uint64)
                     hit = np.isin(window_fingerprints(hashes, window, gram), marks)
-                    found.append(np.unique(_digests(hashes, window)[hit], axis=0))
-                both = np.concatenate(found).view(np.int64)
+                    one, two = (d[hit] for d in _digests(hashes, window))
+                    one, at = np.unique(one, return_index=True)
+                    found.append((one, two[at]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.ascontiguousarray(both[:, 0])),
-                        pa.array(np.ascontiguousarray(both[:, 1])),
-                        pa.array(np.repeat(np.array(ids, dtype=np.int64), [len(x) for x in found])),
+                        pa.array(np.concatenate([x for x, _ in found]).view(np.int64)),
+                        pa.array(np.concatenate([x for _, x in found]).view(np.int32)),
+                        pa.array(np.repeat(np.array(ids, dtype=np.int64), [len(x) for x, _ in found])),
                     ],
                     ["digest", "digest2", "doc_id"],
                 )
@@ -167,12 +169,12 @@ def _removed(window: int):
                     tokens = _tokens(text.as_py())
                     total.append(len(tokens))
                     if digests.is_valid and len(tokens) >= window:
-                        marks = [digests.values.field(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(2)]
+                        marks = [digests.values.field(i).to_numpy(zero_copy_only=False).view(t) for i, t in enumerate((np.uint64, np.uint32))]
+                        order = np.argsort(marks[0])
+                        one, two = (m[order] for m in marks)  # a document gives each long once
                         here = _digests(cache.of(tokens), window)
-                        hit = np.isin(here[:, 0], marks[0])
-                        pairs = set(zip(*(m.tolist() for m in marks), strict=True))
-                        for i in np.flatnonzero(hit):
-                            hit[i] = tuple(here[i].tolist()) in pairs
+                        at = np.minimum(np.searchsorted(one, here[0]), len(one) - 1)
+                        hit = (one[at] == here[0]) & (two[at] == here[1])
                         edges = np.zeros(len(tokens) + 1, dtype=np.int64)
                         edges[: len(hit)] += hit
                         edges[window : window + len(hit)] -= hit
@@ -211,9 +213,9 @@ def remove_repeats(
     document with a smaller doc_id.
 
     The documents enter a :class:`FingerprintIndex` in batches by ascending doc_id.
-    Its hits are verified on 128-bit digests of the whole windows, made of 64-bit
-    hashes of their words (unequal windows pass where a word of each has the same
-    hash, or with a probability of 2**-128); documents with a hit give the digests of
+    Its hits are verified on 96-bit digests of the whole windows, made of 64-bit hashes
+    of their words: among 10**13 different windows the chance that any two agree is
+    below 0.001, unless words differ that have one hash; documents with a hit give the digests of
     the windows there, and the smallest doc_id of each digest keeps it. Passages of
     ``many`` documents or more go through a join that can be split; the result is the
     same for any value.
@@ -261,7 +263,7 @@ def remove_repeats(
     marked = texts.join(shared, "doc_id")
 
     def windows(column: str) -> DataFrame:
-        return marked.where(F.size(column) > 0).select("doc_id", "text", column).mapInArrow(_windows(window, gram), "digest long, digest2 long, doc_id long")
+        return marked.where(F.size(column) > 0).select("doc_id", "text", column).mapInArrow(_windows(window, gram), "digest long, digest2 int, doc_id long")
 
     # digests of fewer than ``many`` documents: one sorted group holds them
     first = Window.partitionBy("digest", "digest2").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -270,7 +272,7 @@ def remove_repeats(
     owners = windows("many").groupBy("digest", "digest2").agg(F.min("doc_id").alias("owner"))
     hot = windows("many").join(owners, ["digest", "digest2"]).select("doc_id", "digest", "digest2", "owner")
     again = cold.unionByName(hot).where("doc_id > owner").groupBy("doc_id").agg(F.collect_list(F.struct("digest", "digest2")).alias("digests"))
-    nameless = slim.where("doc_id IS NULL").withColumn("digests", F.lit(None).cast("array<struct<digest:long,digest2:long>>"))
+    nameless = slim.where("doc_id IS NULL").withColumn("digests", F.lit(None).cast("array<struct<digest:long,digest2:int>>"))
     return (
         texts.join(again, "doc_id", "left")
         .select("doc_id", "text", "digests")
