@@ -70,8 +70,10 @@ def valid_endpoint(url: Column) -> Column:
     ``/chat/completions``."""
     scheme, host = F.regexp_extract(url, r"^(https?)://", 1), F.regexp_extract(url, r"^https?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:@]*)", 1)
     path = F.regexp_extract(url, r"^https?://[^/?#]*([^?#]*)", 1)
-    local = F.lower(host).isin("localhost", "[::1]") | host.rlike(r"^127(?:\.[0-9]{1,3}){3}\z")
-    clean = ~url.rlike(r"[\x00-\x1f]|^\s|\s\z") & ~url.rlike(r"^https?://[^/?#]*@") & ~url.rlike(r"[?#].")
+    local = F.lower(host).isin("localhost", "[::1]") | host.rlike(r"^127(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}\z")
+    port = F.regexp_extract(url, r"^https?://(?:[^/?#@]*@)?(?:\[[^\]]*\]|[^/?#:@]*):([^/?#]*)", 1)
+    good_port = (port == "") | (port.rlike(r"^[0-9]{1,9}\z") & (port.try_cast("int") <= 65535))
+    clean = good_port & ~url.rlike(r"[\x00-\x1f]|^\s|\s\z") & ~url.rlike(r"^https?://[^/?#]*@") & ~url.rlike(r"[?#].")
     return F.coalesce(
         clean & (scheme != "") & (host != "") & F.rtrim(path, F.lit("/")).endswith("/chat/completions") & ((scheme == "https") | local),
         F.lit(False),

@@ -40,6 +40,23 @@ def fragment_consistent(kind: Column, header: Column, identifier: Column, conten
     return F.coalesce((F.length(content) > 0) & (choice == header) & (choice == identifier.isNull()), F.lit(False))
 
 
+def repeated(fragments: DataFrame) -> DataFrame:
+    """Segment ids and translation ids that several fragments have: (what, id, n)."""
+    ids = lambda what, c: fragments.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("id")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(what).alias("what"), "id", "n")
+    return ids("segment", "segment_id").unionByName(ids("translation", "translation_identifier"))
+
+
+def refused_if_repeated(fragments: DataFrame) -> DataFrame:
+    """The fragments; one whose segment or translation id another has stops the query."""
+    again = repeated(fragments)
+    out = fragments
+    for what, c in (("segment", "segment_id"), ("translation", "translation_identifier")):
+        marks = again.where(F.col("what") == what).select(F.col("id").alias(c), F.lit(True).alias("__again"))
+        stop = F.raise_error(F.concat(F.lit(f"several fragments have the {what} id "), F.col(c)))
+        out = out.join(marks, c, "left").withColumn("content", F.when(F.col("__again"), stop).otherwise(F.col("content"))).drop("__again")
+    return out
+
+
 def files(fragments: DataFrame, language: str, order: str = "ordinal") -> DataFrame:
     """One row per template file: what is said first, then choices below one header, in
     order, with the segment ids. A group is one file."""

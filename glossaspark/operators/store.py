@@ -59,3 +59,10 @@ def committed(current: DataFrame, outcomes: DataFrame, key: str, value: str, ord
         .withColumn(value, F.when(changed, F.col("__new")).otherwise(F.col(value)))
         .drop("__new", "__set")
     )
+
+
+def check_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df``, if it has exactly these columns in this order."""
+    if df.columns != list(columns):
+        raise ValueError(f"a store of the columns {', '.join(columns)} was expected, not {', '.join(df.columns)}")
+    return df

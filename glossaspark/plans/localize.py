@@ -101,5 +101,6 @@ def rendered(mappings: DataFrame, accepted: DataFrame, language: str) -> DataFra
         (c("kind") == "menu_choice").alias("requires_strings_header"),
         F.when(safe, content).otherwise(F.raise_error(F.concat(F.lit("unsafe translation of "), "segment_id"))).alias("content"),
         c("task_ordinal").alias("ordinal"),
+        "translation_identifier",
     )
-    return render.files(fragments, language)
+    return render.files(render.refused_if_repeated(fragments), language)

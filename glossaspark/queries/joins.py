@@ -507,3 +507,54 @@ def casefold_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths without regard to case, ties by the exact path."""
     rows = table(spark, sf_dir, "documents").select("source", F.expr(SORTED).alias("path"))
     return sequences.positions(rows.withColumn("folded", F.lower("path")), ["source"], ["folded", "path"]).select("source", "path", "position")
+
+
+@query("""
+WITH f AS (SELECT 'seg_' || CASE WHEN p_partkey % 50 = 7 THEN p_partkey - 1 ELSE p_partkey END AS s, CASE WHEN p_size % 3 > 0 THEN 'id_' || CASE WHEN p_partkey % 40 = 3 THEN p_partkey - 2 ELSE p_partkey END END AS t FROM part)
+SELECT 'segment' AS what, s AS id, count(*) AS n FROM f GROUP BY s HAVING count(*) > 1 UNION ALL SELECT 'translation', t, count(*) FROM f WHERE t IS NOT NULL GROUP BY t HAVING count(*) > 1
+""")
+def repeated_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that keep the files of a language from being assembled."""
+    key = F.col("p_partkey")
+    return render.repeated(
+        table(spark, sf_dir, "part").select(
+            F.concat(F.lit("seg_"), F.when(key % 50 == 7, key - 1).otherwise(key).cast("string")).alias("segment_id"),
+            F.when(F.col("p_size") % 3 > 0, F.concat(F.lit("id_"), F.when(key % 40 == 3, key - 2).otherwise(key).cast("string"))).alias("translation_identifier"),
+        )
+    )
+
+
+@query("""
+SELECT 's' || o_orderkey AS segment_id, CAST(CASE WHEN o_orderkey % 11 = 1 THEN 0 WHEN o_orderkey % 11 = 2 THEN 2 ELSE 1 END AS BIGINT) AS n,
+  CASE o_orderkey % 11 WHEN 1 THEN 'missing' WHEN 2 THEN 'repeated' WHEN 3 THEN 'task_id' WHEN 4 THEN 'source_sha256' WHEN 5 THEN 'proposal_id' WHEN 6 THEN 'target_language' WHEN 7 THEN 'proposal_id' END AS error FROM orders
+UNION ALL SELECT 'x' || o_orderkey, 1, 'unknown' FROM orders WHERE o_orderkey % 11 = 8
+""")
+def quality_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Translations with each fault: texts changed after their identity was computed, no
+    language, none at all."""
+    key = F.col("o_orderkey")
+    kind = "array<struct<index:int,kind:string,value:string>>"
+    segments = table(spark, sf_dir, "orders").select(
+        key.alias("k"),
+        F.concat(F.lit("s"), key.cast("string")).alias("segment_id"),
+        F.col("o_custkey").cast("string").alias("task_id"),
+        F.col("o_orderpriority").alias("batch_id"),
+        F.lit(1).alias("schema_version"),
+        F.lit(1).alias("source_schema_version"),
+        F.sha2("o_orderstatus", 256).alias("source_sha256"),
+        F.lit("schinese").alias("target_language"),
+        F.array().cast(kind).alias("protected_tokens"),
+    )
+    fault = F.col("k") % 11
+    right = segments.withColumn("target_text", F.concat(F.lit("said "), "segment_id"))
+    named = right.withColumn("proposal_id", quality.proposal_id())
+    wrong = (
+        named.where(fault != 1)
+        .withColumn("task_id", F.when(fault == 3, F.lit("none")).otherwise(F.col("task_id")))
+        .withColumn("source_sha256", F.when(fault == 4, F.lit("0")).otherwise(F.col("source_sha256")))
+        .withColumn("target_text", F.when(fault == 5, F.lit("changed")).otherwise(F.col("target_text")))
+        .withColumn("target_language", F.when(fault != 6, F.col("target_language")))
+        .withColumn("proposal_id", F.when(fault != 7, F.col("proposal_id")))
+    )
+    extra = named.where(fault == 8).withColumn("segment_id", F.concat(F.lit("x"), F.col("k").cast("string")))
+    return quality.coverage(segments.drop("k"), wrong.unionByName(wrong.where(fault == 2)).unionByName(extra))

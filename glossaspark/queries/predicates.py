@@ -45,11 +45,12 @@ def text_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents)
-SELECT doc_id, CAST(n AS INTEGER) AS line_no, CAST(length(regexp_extract(line, '^[ ]*')) AS INTEGER) AS indent FROM l
+SELECT doc_id, CAST(n AS INTEGER) AS line_no, CAST(CASE n % 4 WHEN 0 THEN CASE WHEN ltrim(line) LIKE chr(9) || '%' THEN 8 ELSE 4 END WHEN 2 THEN 6 ELSE 0 END AS INTEGER) AS indent FROM l
 """)
 def indent_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return rows.select("doc_id", "line_no", text.indent(F.col("line")).alias("indent"))
+    blanks = F.expr(r"CASE line_no % 4 WHEN 0 THEN ' \t' WHEN 1 THEN '\u3000  ' WHEN 2 THEN '\t  \u00a0' ELSE '' END")
+    return rows.select("doc_id", "line_no", text.indent(F.concat(blanks, F.ltrim("line"))).alias("indent"))
 
 
 @query(r"""

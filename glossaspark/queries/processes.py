@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import sending
 from ..sources import encoding, scripts, services, templates
+from ..sources.compatibility import presentation
 from ..storage import scratch_path
 from ..streaming import state_machine
 from . import states
@@ -115,6 +117,33 @@ def run_next_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("conv_id", "status", after.alias("batch_status"), first.alias("first_text"))
 
 
+@query("""
+SELECT CAST(conv_id AS VARCHAR) AS batch_id, CAST(CASE WHEN conv_id % 7 = 0 AND conv_id % 5 > 0 AND count(*) > 1 THEN 2 ELSE 1 END AS BIGINT) AS seq,
+  CASE WHEN conv_id % 5 = 0 THEN 'failed' WHEN conv_id % 7 = 0 AND count(*) > 1 THEN 'unknown' ELSE 'succeeded' END AS status FROM conversations GROUP BY conv_id
+""")
+def write_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches are claimed, sent and settled; a second run sends none of them, and the
+    unknown ones are asked for once more, without an answer."""
+    segment = F.struct("turn", F.concat(F.lit("t"), F.col("turn").cast("string")).alias("segment_id"), F.left("role", F.lit(3)).alias("source_text"))
+    batches = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(segment)).alias("segments"))
+    ready = batches.select(
+        F.col("conv_id").cast("string").alias("batch_id"), F.to_json(F.struct(F.col("conv_id").alias("number"), "segments")).alias("payload"), F.transform("segments", lambda s: s["segment_id"]).alias("segment_ids")
+    )
+    store = scratch_path(spark, "receipts")
+    sending.send(ready, store, echo, "one")
+    sending.send(ready, store, echo, "two")
+    sending.recover(ready, store, lambda payload: (504, ""), "three")
+    return sending.receipts(spark, store).select("batch_id", "seq", "status")
+
+
+@query("""
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'ready' WHEN 2 THEN 'uncertain' ELSE 'blocked' END AS tone FROM pages
+""")
+def status_presentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.expr("element_at(array('source_ready', 'packaged_requires_import', 'uncertain', 'not_renpy'), CAST(page_id % 4 AS INT) + 1)")
+    return table(spark, sf_dir, "pages").select("page_id", presentation(found)["tone"].alias("tone"))
+
+
 def _stream_oracle() -> str:
     from .registry import ORACLES
 

@@ -49,6 +49,37 @@ def status() -> Column:
     )
 
 
+def presentation(found: Column) -> Column:
+    """What a user is shown for a status: (tone, next_step)."""
+    shown = {
+        "source_ready": ("ready", "choose the SDK, the service and a new output folder"),
+        "packaged_requires_import": ("blocked", "keep the folder; packed games are not opened here"),
+        "uncertain": ("uncertain", "choose the folder of the game, or its game folder, and check again"),
+        "not_renpy": ("blocked", "choose a project with a game folder"),
+    }
+    out = F.lit(None).cast("struct<tone:string,next_step:string>")
+    for name, (tone, step) in shown.items():
+        out = F.when(found == name, F.struct(F.lit(tone).alias("tone"), F.lit(step).alias("next_step"))).otherwise(out)
+    return out
+
+
+class Unbounded(ValueError):
+    """A folder that is too deep or holds too many entries."""
+
+
+def inspected(spark: SparkSession, folder: str, **bounds: int) -> DataFrame:
+    """Report of a selected folder, with ``issue``. The folder may be the ``game`` folder
+    itself. One beyond the bounds, or that can't be read, is uncertain."""
+    root = os.path.abspath(os.path.expanduser(folder))
+    if os.path.basename(root).casefold() == "game":
+        root = os.path.dirname(root)
+    try:
+        return report(listing(spark, root, **bounds)).withColumn("issue", F.lit(None).cast("string"))
+    except (Unbounded, OSError) as error:
+        nothing = report(spark.createDataFrame([], LISTED))
+        return nothing.withColumn("status", F.lit("uncertain")).withColumn("issue", F.lit(str(error)))
+
+
 def listing(spark: SparkSession, root: str, max_depth: int = 12, max_entries: int = 50_000) -> DataFrame:
     """Entries below a folder of the driver, bounded in depth and number; links are
     listed and not followed. Raises when a bound is reached: a partial listing would
@@ -62,7 +93,7 @@ def listing(spark: SparkSession, root: str, max_depth: int = 12, max_entries: in
             link, is_dir = entry.is_symlink(), entry.is_dir(follow_symlinks=False)
             rows.append((path, is_dir, link, depth))
             if len(rows) > max_entries or (is_dir and depth >= max_depth):
-                raise ValueError(f"{root} is deeper than {max_depth} levels or has more than {max_entries} entries")
+                raise Unbounded(f"{root} is deeper than {max_depth} levels or has more than {max_entries} entries")
             if is_dir and not link:
                 open_folders.append((path, depth + 1))
     return spark.createDataFrame(rows, LISTED)

@@ -199,3 +199,40 @@ def test_localization_from_scripts_to_files(spark, tmp_path):
     other = localize.task(segments, "en", "german", batch_size=3).first()["task_id"]
     assert other != requests.first()["task_id"]
     assert echo(json.dumps({"number": 5, "segments": []}))[0] == 400
+
+
+def test_a_claimed_batch_is_not_sent_again(spark, tmp_path):
+    from glossaspark.plans import sending
+
+    batches = spark.createDataFrame([("a", "{}", ["s"]), ("b", "{}", ["s"])], "batch_id string, payload string, segment_ids array<string>")
+    good = '{"id": "r", "choices": [{"message": {"content": "{\\"translations\\": [{\\"segment_id\\": \\"s\\", \\"target_text\\": \\"t\\"}]}"}}]}'
+    status = lambda store: {r["batch_id"]: r["status"] for r in sending.receipts(spark, store).collect()}
+
+    def broken(payload):
+        raise OSError("the run ends here")
+
+    store = str(tmp_path / "store")
+    with pytest.raises(Exception, match="ends here"):
+        sending.send(batches, store, broken, "one")
+    assert status(store) == {"a": "unknown", "b": "unknown"}
+    sending.send(batches, store, lambda p: (200, good), "two", retry=True)
+    assert status(store) == {"a": "unknown", "b": "unknown"}
+    sending.recover(batches, store, lambda p: (400, ""), "three")
+    assert status(store) == {"a": "failed", "b": "failed"}
+    sending.send(batches, store, lambda p: (200, good), "four")
+    assert status(store) == {"a": "failed", "b": "failed"}
+    sending.send(batches, store, lambda p: (200, good), "five", retry=True)
+    assert status(store) == {"a": "succeeded", "b": "succeeded"}
+
+
+def test_repeated_fragments_and_other_columns_are_refused(spark):
+    from glossaspark.operators import render, store
+
+    rows = [("a.rpy", "s1", False, "x", 0, "t1"), ("a.rpy", "s2", False, "y", 1, "t1")]
+    df = spark.createDataFrame(rows, "template_file string, segment_id string, requires_strings_header boolean, content string, ordinal int, translation_identifier string")
+    with pytest.raises(Exception, match="translation id t1"):
+        render.files(render.refused_if_repeated(df), "french").collect()
+    assert render.files(render.refused_if_repeated(df.where("ordinal = 0")), "french").count() == 1
+    assert store.check_columns(df, df.columns) is df
+    with pytest.raises(ValueError, match="expected"):
+        store.check_columns(df, ["segment_id", "template_file"])

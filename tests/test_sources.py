@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossaspark.__main__ import main
+from glossaspark.functions import paths
 from glossaspark.sources import archives, compatibility, encoding, events, projects, publish, scripts, templates
 
 SCRIPT = '''define aoi = Character("Aoi")
@@ -251,6 +252,21 @@ def test_listing_is_bounded(spark, tmp_path):
         (tmp_path / f"f{i}").touch()
     with pytest.raises(ValueError):
         compatibility.listing(spark, str(tmp_path), max_entries=3)
+    found = compatibility.inspected(spark, str(tmp_path), max_entries=3).first()
+    assert found["status"] == "uncertain" and "more than 3 entries" in found["issue"]
+
+
+def test_the_game_folder_itself_may_be_selected(spark, tmp_path):
+    (tmp_path / "Game").mkdir()
+    (tmp_path / "Game" / "script.rpy").write_text("label a:\n")
+    for folder in (tmp_path, tmp_path / "Game"):
+        assert compatibility.inspected(spark, str(folder)).first()["status"] == "source_ready"
+
+
+def test_endpoints(spark):
+    rows = {"https://a.example/v1/chat/completions": True, "http://127.0.0.1:99999/chat/completions": False, "http://127.999.1.1/chat/completions": False, "http://127.0.0.1:8080/chat/completions": True, "https://a.example:x/chat/completions": False}
+    df = spark.createDataFrame([(u,) for u in rows], "u string")
+    assert {r["u"]: r["ok"] for r in df.select("u", paths.valid_endpoint(F.col("u")).alias("ok")).collect()} == rows
 
 
 def test_publish(spark, tmp_path):
