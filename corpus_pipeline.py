@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossaspark.llm.common import materialize
+from glossaspark.llm.common import drop_scratch, materialize
 from glossaspark.llm.near_dedup import distinct_documents
 from glossaspark.llm.packing import packed_batches
 from glossaspark.llm.quality_rules import clean_documents
@@ -67,5 +67,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        after = materialize(stage(spark, docs, sf_dir), name)
+        drop_scratch(docs)  # the table of the stage before
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
