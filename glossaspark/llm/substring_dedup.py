@@ -169,12 +169,10 @@ def _removed(window: int):
                     tokens = _tokens(text.as_py())
                     total.append(len(tokens))
                     if digests.is_valid and len(tokens) >= window:
-                        marks = [digests.values.field(i).to_numpy(zero_copy_only=False).view(t) for i, t in enumerate((np.uint64, np.uint32))]
-                        order = np.argsort(marks[0])
-                        one, two = (m[order] for m in marks)  # a document gives each long once
-                        here = _digests(cache.of(tokens), window)
-                        at = np.minimum(np.searchsorted(one, here[0]), len(one) - 1)
-                        hit = (one[at] == here[0]) & (two[at] == here[1])
+                        marks = np.sort(digests.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                        here = gram_hashes(cache.of(tokens), window, DIGEST[0])
+                        at = np.minimum(np.searchsorted(marks, here), len(marks) - 1)
+                        hit = marks[at] == here
                         edges = np.zeros(len(tokens) + 1, dtype=np.int64)
                         edges[: len(hit)] += hit
                         edges[window : window + len(hit)] -= hit
@@ -215,8 +213,9 @@ def remove_repeats(
     The documents enter a :class:`FingerprintIndex` in batches by ascending doc_id.
     Its hits are verified on 96-bit digests of the whole windows, made of 64-bit hashes
     of their words: among 10**13 different windows the chance that any two agree is
-    below 0.001, unless words differ that have one hash; documents with a hit give the digests of
-    the windows there, and the smallest doc_id of each digest keeps it. Passages of
+    below 0.001, unless words differ that have one hash; the windows of one document are
+    told apart by the first 64 bits. Documents with a hit give the digests of the
+    windows there, and the smallest doc_id of each digest keeps it. Passages of
     ``many`` documents or more go through a join that can be split; the result is the
     same for any value.
 
@@ -267,12 +266,13 @@ def remove_repeats(
 
     # digests of fewer than ``many`` documents: one sorted group holds them
     first = Window.partitionBy("digest", "digest2").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cold = windows("few").select("doc_id", "digest", "digest2", F.first("doc_id").over(first).alias("owner"))
+    cold = windows("few").select("doc_id", "digest", F.first("doc_id").over(first).alias("owner"))
     # others: owners by pre-aggregation, and a join that can be split
     owners = windows("many").groupBy("digest", "digest2").agg(F.min("doc_id").alias("owner"))
-    hot = windows("many").join(owners, ["digest", "digest2"]).select("doc_id", "digest", "digest2", "owner")
-    again = cold.unionByName(hot).where("doc_id > owner").groupBy("doc_id").agg(F.collect_list(F.struct("digest", "digest2")).alias("digests"))
-    nameless = slim.where("doc_id IS NULL").withColumn("digests", F.lit(None).cast("array<struct<digest:long,digest2:int>>"))
+    hot = windows("many").join(owners, ["digest", "digest2"]).select("doc_id", "digest", "owner")
+    # within one document the first half tells its windows apart
+    again = cold.unionByName(hot).where("doc_id > owner").groupBy("doc_id").agg(F.collect_list("digest").alias("digests"))
+    nameless = slim.where("doc_id IS NULL").withColumn("digests", F.lit(None).cast("array<long>"))
     return (
         texts.join(again, "doc_id", "left")
         .select("doc_id", "text", "digests")
