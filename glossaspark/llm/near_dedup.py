@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, drop_scratch, gram_hashes, materialize, mix
+from .common import WordHashes, drop_scratch, gram_hashes, materialize, mix, salted_join
 from .components import connected_components
 
 #: Members of a bucket that are compared in one piece of work.
@@ -214,8 +214,11 @@ def near_duplicates(
     nodes = full.join(reps.select(F.col("set_key"), F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
 
     banded = nodes.select("doc_id", F.posexplode("bands").alias("band", "bh"))
-    shared = banded.groupBy("bh").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("z")).where("c < z")
-    members = materialize(banded.join(shared.select("bh", "c"), "bh").select("bh", "band", "doc_id", "c"), "members")
+    shared = materialize(
+        banded.groupBy("bh").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("z"), F.count("*").alias("n")).where("c < z").drop("z"), "shared"
+    )
+    members = materialize(salted_join(banded, shared, "bh", "doc_id").select("bh", "band", "doc_id", "c"), "members")
+    drop_scratch(shared)
     wanted = members.select("doc_id").distinct()
     sigs = materialize(
         signed.select("doc_id", "set_key", "sig", "bands").where("sig IS NOT NULL").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "set_key"]).drop("set_key"), "sigs"
@@ -260,37 +263,40 @@ def near_duplicates(
     for salt in range(rounds):
         # other centres: a member drawn anew for each bucket that is still divided
         now = materialize(labelled(found), "labelled")
-        drawn = (
+        drawn = materialize(
             now.groupBy("bh")
             .agg(
                 F.min("comp").alias("lo"),
                 F.max("comp").alias("hi"),
                 F.min_by(F.struct("doc_id", "comp"), F.xxhash64(F.lit(salt), "bh", "doc_id")).alias("centre"),
+                F.count("*").alias("n"),
             )
             .where("lo < hi")
-            .select("bh", "centre")
+            .select("bh", "centre", "n"),
+            "drawn",
         )
         pairs = (
-            now.join(drawn, "bh")
+            salted_join(now, drawn, "bh", "doc_id")
             .where(F.col("comp") != F.col("centre.comp"))
             .select(F.least("doc_id", "centre.doc_id").alias("a"), F.greatest("doc_id", "centre.doc_id").alias("b"))
             .distinct()
         )
         links = materialize(confirmed(similar(pairs)), "links")
-        drop_scratch(now)
+        drop_scratch(now, drawn)
         if links.isEmpty():
             break
         found = grown(found, links)
         drop_scratch(links)
 
     now = materialize(labelled(found), "labelled")
-    mixed = (
+    mixed = materialize(
         now.groupBy("bh")
         .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
         .where("lo < hi")
-        .select("bh", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        .select("bh", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "n"),
+        "mixed",
     )
-    apart = now.join(mixed, "bh")
+    apart = salted_join(now, mixed, "bh", "doc_id")
     sketches = sets.join(apart.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(
         _sketches(seed), "doc_id long, sketch binary"
     )
@@ -307,7 +313,7 @@ def near_duplicates(
     pairs = blocked.mapInArrow(_cross_pairs(bands, _least_equal(SKETCH, percent)), "a long, b long").distinct()
     more = materialize(confirmed(materialize(pairs, "pairs")), "links")
     final = found if more.isEmpty() else grown(found, more)
-    drop_scratch(sets, sigs, members, now, details)
+    drop_scratch(sets, sigs, members, now, mixed, details)
 
     labels = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component")

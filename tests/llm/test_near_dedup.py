@@ -7,6 +7,7 @@ from oracle import DATA
 from pyspark.sql import functions as F
 
 from glossaspark.llm import near_dedup
+from glossaspark.llm.common import materialize, salted_join
 from glossaspark.llm.components import connected_components
 from glossaspark.llm.near_dedup import distinct_documents, near_duplicates
 
@@ -124,3 +125,15 @@ def test_connected_components(spark):
     out = {r["node"]: r["component"] for r in connected_components(df).distinct().collect()}
     assert out == {x: root(x) for a, b in edges if a != b for x in (a, b)}
     assert connected_components(df.where(F.lit(False))).count() == 0
+
+
+def test_a_hot_key_is_dealt_over_several_tasks(spark):
+    many = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 500).cast("long").alias("k"))
+    one = materialize(many.where("k < 400").groupBy("k").agg(F.max("id").alias("top"), F.count("*").alias("n")), "one")
+    out = salted_join(many, one, "k", "id")
+    assert out.columns == ["k", "id", "top"]
+    plain = many.join(one.drop("n"), "k")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, plain.collect()))
+    assert "salts" in out._jdf.queryExecution().toString()
+    none = materialize(one.where("false"), "one")
+    assert salted_join(many, none, "k", "id").count() == 0
