@@ -29,11 +29,13 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
         host.alias("host"),
         text.alias("text"),
         F.xxhash64(F.col(id_col), host, text).alias("row_key"),
+        F.xxhash64(text).alias("text_key"),
     )
     split = base.select(
         "doc_id",
         "host",
         "row_key",
+        "text_key",
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         words(F.col("text")).alias("w"),
         F.filter(F.split("text", "\n", -1), lambda x: x.rlike(HAS_WORD)).alias("l"),
@@ -63,6 +65,7 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
         "doc_id",
         "host",
         "row_key",
+        "text_key",
         F.monotonically_increasing_id().alias("row_id"),
         F.size("w").cast("long").alias("n_words"),
         "word_chars",
@@ -89,9 +92,13 @@ def _judged(
     if max_host_docs is not None:
         over |= F.col("n_docs") > max_host_docs
     rows = materialize(_measured(docs, id_col, text_col, host_col), "measured")
-    per_host = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
+    # copies in a host are one document: a line isn't frequent because its text was copied
+    firsts = rows.groupBy("host", "text_key").agg(F.min("row_id").alias("row_id"))
+    per_host = firsts.groupBy("host").agg(F.count("*").alias("host_docs"))
     counted = (
-        rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+        rows.select("row_id", "host", "lines")
+        .join(firsts.select("row_id"), "row_id", "left_semi")
+        .select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
         .groupBy("host", "h")
         .agg(F.count("*").alias("n_docs"))
         .where(F.col("n_docs") > min_host_docs)
@@ -151,8 +158,8 @@ def quality_rules(
     task. Returns, for each row: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, n_lost_words, n_lost_lines (words and lines over the limits),
     base_failed, kept. Null and empty texts have no words and fail. Rows without a
-    host are one host. Repeated rows count each. An empty table gives an empty
-    result; other columns are ignored.
+    host are one host. Rows of a host with the same text are one document of the
+    counts. An empty table gives an empty result; other columns are ignored.
     """
     judged, _ = _judged(docs, id_col, text_col, host_col, min_words, max_repeat_percent, max_host_percent, min_host_docs, min_left_percent, max_host_docs)
     return judged.select(

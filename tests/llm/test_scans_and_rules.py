@@ -125,6 +125,8 @@ def test_pipeline_removes_lines_by_count_in_large_hosts(spark):
     assert len(clean) == len(rows)
     assert not [i for i in range(99) if line in clean[i]]  # 9.9 % of the host
     assert sum(line in t for t in clean.values()) == 30  # at the limit
+    copies = spark.createDataFrame([(i, words(0, 60), "large") for i in range(80)], docs.schema)
+    assert corpus_pipeline.quality(spark, docs.union(copies), "").where("doc_id < 80 AND length(text) > 0").count() == 160
 
 
 def test_quality_edge_rows(edge_docs, no_docs):
