@@ -49,9 +49,9 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, row: str) -> DataFrame:
-    """Inner join of ``many`` with ``one``, a written table of one row per key that counts
-    the rows of ``many`` in ``n``; ``n`` doesn't come along.
+def salted_join(many: DataFrame, one: DataFrame, key: str, row: str, how: str = "inner") -> DataFrame:
+    """Inner or left join of ``many`` with ``one``, a written table of one row per key that
+    counts the rows of ``many`` in ``n``; ``n`` doesn't come along.
 
     A key with more than a quarter of a partition's share of all rows is dealt over
     several tasks by a hash of the column ``row``. Such keys are fewer than four times the
@@ -61,14 +61,14 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, row: str) -> DataFram
     total, most = one.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     share = max(1, int(total) // (4 * partitions(many.sparkSession)))
     if most <= share:
-        return many.join(one.drop("n"), key)
+        return many.join(one.drop("n"), key, how)
     salts = F.ceil(F.col("n") / share).cast("int")
     hot = F.broadcast(one.where(F.col("n") > share).select(key, salts.alias("salts")))
     return (
         many.join(hot, key, "left")
         .withColumn("salt", F.coalesce(F.pmod(F.xxhash64(row), F.col("salts")).cast("int"), F.lit(0)))
         .drop("salts")
-        .join(one.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n"), [key, "salt"])
+        .join(one.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n"), [key, "salt"], how)
         .drop("salt")
     )
 

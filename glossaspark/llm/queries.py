@@ -11,6 +11,7 @@ import corpus_pipeline
 
 from . import secret_scan
 from .common import scratch_path
+from .filter_audit import text_filter_audit
 from .near_dedup import near_duplicates
 from .packing import packed_batches
 from .quality_rules import quality_rules
@@ -237,6 +238,54 @@ FROM t
 """
 
 
+@_query
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_filter_interaction_audit"] = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 100 THEN 1 ELSE 0 END AS fa,
+         CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 1 ELSE 0 END AS fb,
+         CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 1 ELSE 0 END AS fc,
+         CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 1 ELSE 0 END AS fd,
+         CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 1 ELSE 0 END AS fe
+  FROM w LEFT JOIN l USING (doc_id)
+), h AS (
+  SELECT part, good, toxic, fa, fb, fc, fd, fe, count(*) AS n FROM f GROUP BY ALL
+), x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x
+), s AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS filter, substr(filter_order, 1, step - 1) AS earlier FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), v AS (
+  SELECT part, good, toxic, n, fa + fb + fc + fd + fe AS fails, filter_order, step, filter,
+         CASE filter WHEN 'A' THEN fa WHEN 'B' THEN fb WHEN 'C' THEN fc WHEN 'D' THEN fd ELSE fe END AS failing,
+         greatest(fa * CAST(contains(earlier, 'A') AS INTEGER), fb * CAST(contains(earlier, 'B') AS INTEGER), fc * CAST(contains(earlier, 'C') AS INTEGER),
+                  fd * CAST(contains(earlier, 'D') AS INTEGER), fe * CAST(contains(earlier, 'E') AS INTEGER)) AS gone
+  FROM h, s
+), r AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter,
+         coalesce(sum(n) FILTER (gone = 0 AND failing = 0), 0) AS kept, coalesce(sum(n) FILTER (gone = 0 AND failing = 1), 0) AS removed,
+         coalesce(sum(n) FILTER (gone = 1 AND failing = 1), 0) AS redundant, coalesce(sum(n) FILTER (failing = 1 AND fails = 1), 0) AS unique_fails,
+         coalesce(sum(n) FILTER (gone = 0 AND failing = 1 AND good = 1), 0) AS good_lost, coalesce(sum(n) FILTER (gone = 0 AND failing = 1 AND toxic = 1), 0) AS toxic_lost
+  FROM v GROUP BY part, filter_order, step, filter
+)
+SELECT part, filter_order, step, filter, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM r
+"""
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
