@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, drop_scratch, gram_hashes, materialize, mix, salted_join
 from .components import connected_components
+from .set_groups import SetGroups
 
 #: Members of a bucket that are compared in one piece of work.
 BLOCK = 1024
@@ -199,19 +200,8 @@ def near_duplicates(
         ),
         "signatures",
     )
-    full = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    reps = materialize(full.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "reps")
-    # ids with several sets link the groups of these
-    several = full.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("z")).where("a <> z").select("doc_id")
-    bridges = (
-        full.join(several, "doc_id", "left_semi")
-        .select("doc_id", "set_key")
-        .distinct()
-        .join(reps, "set_key")
-        .where("doc_id <> rep")
-        .select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    )
-    nodes = full.join(reps.select(F.col("set_key"), F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
+    groups = SetGroups.of(signed)
+    nodes, bridges = groups.nodes, groups.bridges
 
     banded = nodes.select("doc_id", F.posexplode("bands").alias("band", "bh"))
     shared = materialize(
@@ -315,25 +305,7 @@ def near_duplicates(
     final = found if more.isEmpty() else grown(found, more)
     drop_scratch(sets, sigs, members, now, mixed, details)
 
-    labels = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "set_key", F.coalesce("component", "rep").alias("component")
-    )
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    # a row without words follows the rows of its id that have some
-    empty = signed.where("set_key IS NULL AND doc_id IS NOT NULL").select("doc_id").distinct()
-    filled = full.join(empty, "doc_id", "left_semi").join(labels, "set_key").groupBy("doc_id").agg(F.min("component").alias("named"))
-    return (
-        signed.select("doc_id", "n_shingles", "set_key")
-        .join(labels, "set_key", "left")
-        .join(filled, "doc_id", "left")
-        .withColumn("component", F.coalesce("component", "named"))
-        .select(
-            "doc_id",
-            "n_shingles",
-            component.alias("component_id"),
-            F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
-        )
-    )
+    return groups.components(final)
 
 
 def distinct_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

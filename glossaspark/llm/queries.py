@@ -12,6 +12,7 @@ import corpus_pipeline
 from . import secret_scan
 from .common import scratch_path
 from .filter_audit import text_filter_audit
+from .metric_join import jaccard_join
 from .near_dedup import near_duplicates
 from .packing import packed_batches
 from .quality_rules import quality_rules
@@ -286,6 +287,11 @@ FROM r
 """
 
 
+@_query
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
