@@ -41,6 +41,30 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def _components_oracle(shingle: int, percent: int, more: str) -> str:
+    """Every pair that shares a shingle is counted, components by all that is reachable."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({lower}, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + {shingle} - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {shingle} + 1, 1) + 1)) AS p FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), b AS (
+  SELECT x.doc_id AS u, y.doc_id AS v, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id
+), e AS (
+  SELECT u, v FROM b JOIN n a ON a.doc_id = u JOIN n z ON z.doc_id = v WHERE 100 * shared >= {percent} * (a.n + z.n - shared)
+), l AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e
+), r(u, v) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u
+), c AS (SELECT u AS doc_id, min(v) AS component_id FROM r GROUP BY u)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id{more} FROM c LEFT JOIN n USING (doc_id)
+"""
+
+
+ORACLES["op5_minhash_near_dedup"] = _components_oracle(4, 80, ", doc_id = component_id AS kept")
+
+
 @_query
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(_table(spark, sf_dir, "documents"), window=13)
@@ -292,6 +316,9 @@ def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
 
+ORACLES["op12_ngram_jaccard_join"] = _components_oracle(3, 90, ", doc_id = component_id AS kept")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
