@@ -21,6 +21,7 @@ from .separator_scan import separator_scan, write_token_files
 from .source_mix import mix_sources
 from .substring_dedup import remove_repeats
 from .surrogates import with_surrogates
+from .token_alignment import align_tokens
 from .topk_search import quantised, top_k_inner_products
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -319,6 +320,15 @@ def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op12_ngram_jaccard_join"] = _components_oracle(3, 90, ", doc_id = component_id AS kept")
 
 
+#: Vocabularies of the alignment; any byte-level and any sentencepiece file will do.
+BYTE_LEVEL, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@_query
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(_table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
