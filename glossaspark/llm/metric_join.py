@@ -16,7 +16,7 @@ from .components import connected_components
 from .near_dedup import shingle_set
 from .set_groups import SetGroups
 
-#: Members, and shingles, of a region that are compared in one piece.
+#: Members, and shingles, that are compared in one piece.
 MEMBERS = 1024
 SHINGLES = 1 << 20
 #: Columns of the incidence matrix that are multiplied at once.
@@ -129,33 +129,34 @@ def _smallest(near: np.ndarray) -> np.ndarray:
 
 
 def _compared(percent: int):
-    """Links within a block of a region, or between two blocks: a tree for each group
-    of linked members in place of all its pairs."""
+    """Links within a block of a region, between two blocks, or within each of several
+    small regions: a tree for each group of linked members in place of all its pairs."""
     width = 1 - percent / 100 + SLACK
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, v = [], []
-            lo, hi = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for i, members in enumerate(batch.column(2)):
-                m = members.values
-                doc, comp, block, far = (m.field(k).to_numpy(zero_copy_only=False) for k in ("doc", "comp", "block", "far"))
-                sets = [x.values.to_numpy(zero_copy_only=False) for x in m.field("shingles")]
-                size = np.array([len(s) for s in sets])
-                x, y = np.flatnonzero(block == lo[i]), np.flatnonzero(block == hi[i])
-                if not len(x) or not len(y):
-                    continue
-                both = _overlaps([sets[k] for k in x], [sets[k] for k in y])
-                linked = (100 + percent) * both.astype(np.int64) >= percent * (size[x][:, None] + size[y][None, :])
-                linked &= (comp[x][:, None] != comp[y][None, :]) & (np.abs(far[x][:, None] - far[y][None, :]) <= width)
-                near = np.zeros((len(doc), len(doc)), dtype=bool)
-                near[np.ix_(x, y)] = linked
-                first = _smallest(near | near.T)
-                joined = np.flatnonzero(first != np.arange(len(doc)))
-                u.append(doc[joined])
-                v.append(doc[first[joined]])
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+    def run(key: tuple, members: pa.Table) -> pa.Table:
+        lo, hi = key[1].as_py(), key[2].as_py()
+        members = members.sort_by("region")
+        region, doc, comp, block, far = (members.column(k).to_numpy() for k in ("region", "doc_id", "comp", "block", "far"))
+        sets = [x.values.to_numpy(zero_copy_only=False) for x in members.column("shingles")]
+        size = np.array([len(s) for s in sets])
+        ends = np.flatnonzero(np.append(region[1:] != region[:-1], True)) + 1
+        u, v = [], []
+        for first, last in zip([0, *ends[:-1]], ends, strict=True):
+            mine = np.arange(first, last)
+            x, y = mine[block[mine] == lo], mine[block[mine] == hi]
+            if not len(x) or not len(y):
+                continue
+            both = _overlaps([sets[k] for k in x], [sets[k] for k in y])
+            linked = (100 + percent) * both.astype(np.int64) >= percent * (size[x][:, None] + size[y][None, :])
+            linked &= (comp[x][:, None] != comp[y][None, :]) & (np.abs(far[x][:, None] - far[y][None, :]) <= width)
+            near = np.zeros((len(mine), len(mine)), dtype=bool)
+            near[np.ix_(x - first, y - first)] = linked
+            tree = _smallest(near | near.T)
+            joined = np.flatnonzero(tree != np.arange(len(mine)))
+            u.append(doc[mine[joined]])
+            v.append(doc[mine[tree[joined]]])
+        found = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (u, v)]
+        return pa.table([pa.array(x, pa.int64()) for x in found], ["u", "v"])
 
     return run
 
@@ -249,7 +250,7 @@ def jaccard_join(
     apart = leaves[0]
     for more in leaves[1:]:
         apart = apart.unionByName(more)
-    more = materialize(_block_pairs(_undecided(apart.select("region", "doc_id", "far"), found, percent), sets).mapInArrow(_compared(percent), "u long, v long").distinct(), "links")
+    more = materialize(_links_inside(_undecided(apart.select("region", "doc_id", "far"), found, percent), sets, percent).distinct(), "links")
     final = found if more.isEmpty() else _grown(found, more)
     drop_scratch(sets, *leaves)
     return groups.components(final)
@@ -300,18 +301,21 @@ def _split(regions: DataFrame, large: DataFrame, sets: DataFrame, pivots: int, p
     return split, rest
 
 
-def _block_pairs(regions: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (x, y, members) of the blocks of each region; x = y where there is one."""
+def _links_inside(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) within the regions. Small regions share a group of about ``SHINGLES``
+    shingles; the blocks of a large one meet in a group for each two of them."""
     weighed = materialize(regions.join(sets, "doc_id"), "weighed")
-    sizes = materialize(
-        weighed.groupBy("region").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum(F.size("shingles")) / SHINGLES)).cast("int").alias("blocks")), "sizes"
-    )
-    member = F.struct(F.col("doc_id").alias("doc"), "comp", "block", "far", "shingles")
-    return (
-        salted_join(weighed, sizes, "region", "doc_id")
+    blocks = F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum(F.size("shingles")) / SHINGLES)).cast("int")
+    sizes = materialize(weighed.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("weight"), blocks.alias("blocks")), "sizes")
+    parcels = int(sizes.where("blocks = 1").agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]) // SHINGLES + 1
+    parcel = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("region"), F.lit(parcels))).otherwise(F.col("region"))
+    members = (
+        salted_join(weighed, sizes.drop("weight"), "region", "doc_id")
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .groupBy("region", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-        .agg(F.collect_list(member).alias("members"))
-        .select("x", "y", "members")
+    )
+    return (
+        members.select("region", "doc_id", "comp", "block", "far", "shingles", parcel.alias("parcel"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+        .groupBy("parcel", "x", "y")
+        .applyInArrow(_compared(percent), "u long, v long")
     )

@@ -14,7 +14,7 @@ from ..storage import scratch_path
 from .common import drop_scratch, materialize
 
 #: Bytes of text in a bucket of the token table, about; their tokens are sorted in one task.
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 1 << 20
 #: Pairs of ids whose counts are broadcast: the most frequent, whatever the input.
 BROADCAST_PAIRS = 1 << 17
 
