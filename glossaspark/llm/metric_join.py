@@ -19,6 +19,8 @@ from .set_groups import SetGroups
 #: Members, and shingles, that are compared in one piece.
 MEMBERS = 1024
 SHINGLES = 1 << 20
+#: Shingles of small regions that share a task's group.
+PARCEL = 1 << 17
 #: Columns of the incidence matrix that are multiplied at once.
 COLUMNS = 4096
 #: Allowance for rounding where distances are compared.
@@ -219,14 +221,18 @@ def jaccard_join(
     stars = salted_join(held, cells, "anchor", "doc_id").where("doc_id <> pivot").select("pivot", "doc_id").distinct()
     stars = materialize(stars, "stars")
     wanted = stars.select("doc_id").union(stars.select("pivot")).distinct()
-    hashed = slim.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, set_key binary, shingles array<long>")
-    nodes = groups.reps.withColumnRenamed("rep", "doc_id")
-    sets = materialize(hashed.join(nodes, ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"]).drop("set_key"), "sets")
+    # the list of ids grows with the documents: it is never broadcast
+    hashed = slim.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, set_key binary, shingles array<long>")
+    if not groups.full.groupBy("doc_id").count().where("count > 1").isEmpty():
+        # of the rows of an id those of its nodes
+        nodes = groups.reps.withColumnRenamed("rep", "doc_id")
+        hashed = hashed.join(nodes, ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"])
+    sets = materialize(hashed.select("doc_id", "shingles", F.size("shingles").alias("width")), "sets")
 
     # level 1: the distances of all members of a region to its pivot
     centres = materialize(stars.groupBy("pivot").agg(F.count("*").alias("n")).join(sets.select(F.col("doc_id").alias("pivot"), F.col("shingles").alias("of_pivot")), "pivot"), "pivots")
     far = materialize(
-        salted_join(stars.join(sets, "doc_id"), centres, "pivot", "doc_id").select("pivot", "doc_id", _distance(F.col("shingles"), F.col("of_pivot")).alias("far")), "distances"
+        salted_join(stars.join(sets.drop("width"), "doc_id"), centres, "pivot", "doc_id").select("pivot", "doc_id", _distance(F.col("shingles"), F.col("of_pivot")).alias("far")), "distances"
     )
     links = far.where(_close(F.col("far"), percent)).select(F.col("doc_id").alias("u"), F.col("pivot").alias("v"))
     found = materialize(connected_components(links.unionByName(groups.bridges)), "components")
@@ -304,18 +310,15 @@ def _split(regions: DataFrame, large: DataFrame, sets: DataFrame, pivots: int, p
 def _links_inside(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) within the regions. Small regions share a group of about ``SHINGLES``
     shingles; the blocks of a large one meet in a group for each two of them."""
-    weighed = materialize(regions.join(sets, "doc_id"), "weighed")
-    blocks = F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum(F.size("shingles")) / SHINGLES)).cast("int")
-    sizes = materialize(weighed.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("weight"), blocks.alias("blocks")), "sizes")
-    parcels = int(sizes.where("blocks = 1").agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]) // SHINGLES + 1
+    weighed = materialize(regions.join(sets.select("doc_id", "width"), "doc_id"), "weighed")
+    blocks = F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum("width") / SHINGLES)).cast("int")
+    sizes = materialize(weighed.groupBy("region").agg(F.count("*").alias("n"), F.sum("width").alias("weight"), blocks.alias("blocks")), "sizes")
+    parcels = int(sizes.where("blocks = 1").agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]) // PARCEL + 1
     parcel = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("region"), F.lit(parcels))).otherwise(F.col("region"))
     members = (
         salted_join(weighed, sizes.drop("weight"), "region", "doc_id")
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("region", "doc_id", "comp", "block", "far", parcel.alias("parcel"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
     )
-    return (
-        members.select("region", "doc_id", "comp", "block", "far", "shingles", parcel.alias("parcel"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-        .groupBy("parcel", "x", "y")
-        .applyInArrow(_compared(percent), "u long, v long")
-    )
+    return members.join(sets.drop("width"), "doc_id").groupBy("parcel", "x", "y").applyInArrow(_compared(percent), "u long, v long")
