@@ -308,7 +308,7 @@ def _split(regions: DataFrame, large: DataFrame, sets: DataFrame, pivots: int, p
 
 
 def _links_inside(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) within the regions. Small regions share a group of about ``SHINGLES``
+    """Links (u, v) within the regions. Small regions share a group of about ``PARCEL``
     shingles; the blocks of a large one meet in a group for each two of them."""
     weighed = materialize(regions.join(sets.select("doc_id", "width"), "doc_id"), "weighed")
     blocks = F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum("width") / SHINGLES)).cast("int")
