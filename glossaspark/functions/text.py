@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let, sums_before
+
 #: What ends a line, as in Python's splitlines.
 LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 #: Control characters that a text doesn't hold.
@@ -13,6 +15,8 @@ CONTROLS = "[\\x00-\\x08\\x0b\\x0e-\\x1f]"
 TOKEN = r"(?s)\\.|\[\[|\{\{|\[[^\]]*\]|\{[^}]*\}"
 #: White space, as in Python's strip.
 SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Characters of a piece of a text that spans are compared with.
+PIECE = 256
 LANGUAGE = r"^[A-Za-z][A-Za-z0-9_-]*\z"
 
 
@@ -37,25 +41,28 @@ def tokens(text: Column) -> Column:
 
     ``\\x`` and doubled opening brackets are escapes, ``[...]`` interpolations, ``{...}``
     text tags; an opening bracket without its end is text. The gaps between the
-    matches give the offsets.
+    matches give the offsets, as sums of the lengths before, so the work is linear in the text.
     """
-    found, gaps = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.split(text, TOKEN, -1)
     kind = lambda v: (
         F.when(v.startswith("\\") | v.isin("[[", "{{"), "escape").when(v.startswith("["), "interpolation").otherwise("text_tag")
     )
     empty = F.array().cast("array<struct<index:int,kind:string,value:string,start:int,end:int>>")
 
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + F.length(part["gap"])
-        end = start + F.length(part["value"])
-        row = F.struct(
-            F.size(state["out"]).alias("index"), kind(part["value"]).alias("kind"), part["value"].alias("value"), start.alias("start"), end.alias("end")
-        )
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(row)).alias("out"))
+    def placed(parts: Column, before: Column) -> Column:
+        def token(part: Column, i: Column) -> Column:
+            start = F.get(before, i) + F.length(part["gap"])
+            return F.struct(i.alias("index"), kind(part["value"]).alias("kind"), part["value"].alias("value"), start.alias("start"), (start + F.length(part["value"])).alias("end"))
+
+        return F.transform(parts, token)
 
-    parts = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(parts, start, step, lambda s: s["out"])).otherwise(empty)
+    def measured(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda p: F.length(p["gap"]) + F.length(p["value"]))
+        return let(sizes, lambda n: let(sums_before(n), lambda before: placed(parts, before)))
+
+    found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    # the last gap has no match after it
+    parts = F.filter(F.zip_with(found, F.split(text, TOKEN, -1), lambda v, g: F.struct(v.alias("value"), g.alias("gap"))), lambda p: p["value"].isNotNull())
+    return let(parts, lambda p: F.when(F.size(p) > 0, measured(p)).otherwise(empty))
 
 
 def token_references(spans: Column) -> Column:
@@ -66,20 +73,23 @@ def token_references(spans: Column) -> Column:
 def spans_fit(text: Column, spans: Column) -> Column:
     """Offsets are increasing, don't overlap, lie inside the text and hold the value;
     indexes count from 0."""
-    step = lambda s, t: F.struct(
-        (
-            s["ok"]
-            & (t["index"] == s["n"])
-            & (t["start"] >= s["end"])
-            & (t["end"] > t["start"])
-            & (t["end"] <= F.length(text))
-            & (F.substring(text, t["start"] + 1, t["end"] - t["start"]) == t["value"])
-        ).alias("ok"),
-        (s["n"] + 1).alias("n"),
-        t["end"].alias("end"),
-    )
-    start = F.struct(F.lit(True).alias("ok"), F.lit(0).alias("n"), F.lit(0).alias("end"))
-    return F.aggregate(spans, start, step, lambda s: s["ok"])
+
+    def held(pieces: Column, t: Column) -> Column:
+        first, last = (F.floor(x / PIECE).cast("int") for x in (t["start"], t["end"] - 1))
+        near = F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
+        return F.substring(near, t["start"] - first * PIECE + 1, t["end"] - t["start"]) == t["value"]
+
+    def fits(pieces: Column, given: Column, size: Column) -> Column:
+        ordered = F.transform(
+            given,
+            lambda t, i: (t["index"] == i) & (t["start"] >= F.coalesce(F.get(given, i - 1)["end"], F.lit(0))) & (t["end"] > t["start"]) & (t["end"] <= size),
+        )
+        every = lambda flags: F.aggregate(flags, F.lit(True), lambda ok, x: ok & x)
+        return F.when(every(ordered), every(F.transform(given, lambda t: held(pieces, t)))).otherwise(every(ordered))
+
+    # the text is cut once, a value is compared with the pieces around it
+    cut = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return let(cut, lambda pieces: let(spans, lambda given: let(F.length(text), lambda size: fits(pieces, given, size))))
 
 
 def indent(line: Column, tab: int = 4) -> Column:

@@ -28,7 +28,8 @@ def compare_and_set(
     """Outcome of setting ``value`` where the stored one must be ``expected``: committed,
     stale, missing, or refused by ``allowed`` (a predicate of before, after and attempt).
 
-    The attempts of a call are made by ``order``. The first allowed one that changes the
+    The attempts of a call are made by ``order``, equal ones by a hash of their value, so
+    that a tie has one winner. The first allowed one that changes the
     value of a key wins; what comes after it expected a value that is no longer stored
     and is stale. Winners are found by pre-aggregation, so a key that very many
     attempts want makes no large task. :func:`committed` gives the store after them.
@@ -43,15 +44,20 @@ def compare_and_set(
     )
     judged = attempts.join(stored, key, "left").withColumn("outcome", outcome)
     changes = (F.col("outcome") == "committed") & ~F.col("__stored").eqNullSafe(F.col(value))
-    first = judged.where(changes).groupBy(key).agg(F.min(order).alias("__winner"))
-    late = (F.col("outcome") != "missing") & (F.col(order) > F.col("__winner"))
+    first = judged.where(changes).groupBy(key).agg(F.min(_place(order, value)).alias("__winner"))
+    late = (F.col("outcome") != "missing") & (_place(order, value) > F.col("__winner"))
     return judged.join(first, key, "left").withColumn("outcome", F.when(late, "stale").otherwise(F.col("outcome"))).drop("__stored", "__known", "__winner")
 
 
+def _place(order: str, value: str) -> Column:
+    """Place of an attempt among those of its key."""
+    return F.struct(F.col(order), F.xxhash64(value))
+
+
 def committed(current: DataFrame, outcomes: DataFrame, key: str, value: str, order: str, version: str) -> DataFrame:
     """The store after :func:`compare_and_set`: winners take the place of the rows they
     expected, with the next ``version``; equal writes keep theirs."""
-    won = outcomes.where("outcome = 'committed'").groupBy(key).agg(F.max_by(value, order).alias("__new"), F.lit(True).alias("__set"))
+    won = outcomes.where("outcome = 'committed'").groupBy(key).agg(F.max_by(value, _place(order, value)).alias("__new"), F.lit(True).alias("__set"))
     changed = F.col("__set").isNotNull() & ~F.col("__new").eqNullSafe(F.col(value))
     return (
         current.join(won, key, "left")

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..domains import TASK_MOVES
 from ..operators import state, store
+from ..operators.versioned import VersionedStore
 from ..sources.compatibility import classify, status
 from ..sources.events import valid_progress
+from ..storage import scratch_path
 from .registry import query, table
 
 STATUS = "CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'signup' THEN 'paused' WHEN 'error' THEN 'failed' ELSE 'completed' END"
@@ -131,9 +133,13 @@ def cas_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checkpoint_attempts(spark, sf_dir).select("event_id", "outcome")
 
 
-def _checkpoint_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _checkpoint_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = F.expr("element_at(array('pending', 'running', 'paused', 'failed', 'completed'), CAST(event_id % 5 AS INT) + 1)")
-    attempts = _events(spark, sf_dir).select("event_id", "user_id", F.col("s").alias("v"), expected.alias("expected"))
+    return _events(spark, sf_dir).select("event_id", "user_id", F.col("s").alias("v"), expected.alias("expected"))
+
+
+def _checkpoint_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attempts = _checkpoint_tries(spark, sf_dir)
     return store.compare_and_set(_latest(spark, sf_dir, STATUS), attempts, "user_id", "v", "expected", "event_id", lambda a, b, _: state.task_move_allowed(a, b))
 
 
@@ -143,9 +149,14 @@ WITH c AS ({LATEST}), a AS (SELECT event_id, user_id, s AS r, {STATES}[event_id
 SELECT c.user_id, coalesce(x.r, c.v) AS v, CASE WHEN x.r IS NULL THEN 1 ELSE 2 END AS version FROM c LEFT JOIN x USING (user_id)
 """)
 def checkpoint_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The store after the attempts: one winner for each version."""
-    stored = _latest(spark, sf_dir, STATUS).withColumn("version", F.lit(1))
-    return store.committed(stored, _checkpoint_attempts(spark, sf_dir), "user_id", "v", "event_id", "version")
+    """The store that one session makes and another one commits the attempts to, read
+    again: one winner for each version."""
+    path = scratch_path(spark, "checkpoints")
+    VersionedStore(spark, path, "user_id", "v").create(_latest(spark, sf_dir, STATUS))
+    other = spark.newSession()
+    attempts = _checkpoint_tries(other, sf_dir)
+    VersionedStore(other, path, "user_id", "v").compare_and_set(attempts, "expected", "event_id", lambda a, b, _: state.task_move_allowed(a, b))
+    return VersionedStore(spark, path, "user_id", "v").snapshot()
 
 
 @query(f"""
@@ -155,12 +166,33 @@ a AS (SELECT e.event_id, e.user_id, e.r, CASE WHEN e.event_id % 3 < 2 THEN c.v E
 """)
 def cas_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two thirds of the attempts know the stored receipt, the others expect their own."""
+    attempts, stored = _receipt_tries(spark, sf_dir)
+    allowed = lambda a, b, n: state.receipt_move_allowed(a, b, n % 3 == 0)
+    return store.compare_and_set(stored, attempts, "user_id", "v", "expected", "event_id", allowed).select("event_id", "outcome")
+
+
+def _receipt_tries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     receipts = _provider_receipts(spark, sf_dir)
     stored = receipts.where("user_id % 5 <> 0").groupBy("user_id").agg(F.max_by("r", F.struct("ts", "event_id")).alias("v"))
     known = receipts.join(stored, "user_id", "left").withColumn("expected", F.when(F.col("event_id") % 3 < 2, F.col("v")).otherwise(F.col("r")))
-    attempts = known.select("event_id", "user_id", F.col("r").alias("v"), "expected")
+    return known.select("event_id", "user_id", F.col("r").alias("v"), "expected"), stored
+
+
+@query(f"""
+WITH e AS ({RECEIPTS}), c AS (SELECT user_id, arg_max(r, (epoch_us(ts), event_id)) AS v FROM e WHERE user_id % 5 <> 0 GROUP BY user_id),
+a AS (SELECT e.event_id, e.user_id, e.r, CASE WHEN e.event_id % 3 < 2 THEN c.v ELSE e.r END AS expected FROM e LEFT JOIN c USING (user_id))
+{CAS.replace("MAY", MAY_FOLLOW)}, x AS (SELECT user_id, arg_min(r, event_id) AS r FROM w WHERE event_id = winner GROUP BY user_id)
+SELECT c.user_id, coalesce(x.r, c.v).status AS status, coalesce(x.r, c.v).reference AS reference, CASE WHEN x.r IS NULL THEN 1 ELSE 2 END AS version FROM c LEFT JOIN x USING (user_id)
+""")
+def receipt_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts as another session finds them after the attempts."""
+    path = scratch_path(spark, "receipts")
+    attempts, stored = _receipt_tries(spark, sf_dir)
+    held = VersionedStore(spark, path, "user_id", "v")
+    held.create(stored)
     allowed = lambda a, b, n: state.receipt_move_allowed(a, b, n % 3 == 0)
-    return store.compare_and_set(stored, attempts, "user_id", "v", "expected", "event_id", allowed).select("event_id", "outcome")
+    held.compare_and_set(attempts, "expected", "event_id", allowed)
+    return VersionedStore(spark.newSession(), path, "user_id", "v").snapshot(2).select("user_id", "v.status", "v.reference", "version")
 
 
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'retry_failed_batch' WHEN 'P' THEN 'run' ELSE 'none' END AS action FROM orders")
