@@ -1,43 +1,19 @@
-"""Small file sets with exact names, written whole or not at all.
-
-For translated projects: a few files with a byte order mark, which Spark's own sinks
-don't write. Large tables go through ``DataFrame.write``.
-"""
+"""Translated files of a project, written whole or not at all."""
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import safe_template
+from . import snapshots
 
 
-def publish(files: DataFrame, root: str, most_files: int = 10_000) -> list[str]:
-    """Write (relative_path, content) below a new folder ``root`` of the driver: staged
-    beside it, renamed at the end, removed on failure. Rows are fetched one partition
-    at a time; more than ``most_files`` are refused."""
-    if os.path.exists(root):
-        raise FileExistsError(root)
+def publish(files: DataFrame, root: str) -> None:
+    """Write (relative_path, content) with a byte order mark below a new folder ``root``
+    that all executors share: tasks write the files, nothing passes through the driver."""
     inner = F.regexp_replace("relative_path", "^game/tl/[^/]+/", "")
     if not files.where(~safe_template(inner) | ~F.col("relative_path").startswith("game/tl/")).isEmpty():
         raise ValueError("a path leaves the output folder")
-    if files.limit(most_files + 1).count() > most_files:
-        raise ValueError(f"more than {most_files} files")
-    parent = os.path.dirname(os.path.abspath(root))
-    stage, written = tempfile.mkdtemp(prefix=".stage-", dir=parent), []
-    try:
-        for row in files.select("relative_path", "content").toLocalIterator():
-            path = os.path.join(stage, row["relative_path"])
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(path, "x", encoding="utf-8-sig", newline="\n") as f:
-                f.write(row["content"])
-            written.append(row["relative_path"])
-        os.rename(stage, root)
-    except BaseException:
-        shutil.rmtree(stage, ignore_errors=True)
-        raise
-    return sorted(written)
+    marked = F.concat(F.unhex(F.lit("EFBBBF")), F.encode("content", "UTF-8"))
+    snapshots.write(files.select("relative_path", marked.alias("content")), root)

@@ -223,7 +223,10 @@ def test_limits_only_tighten(tmp_path):
     path.write_bytes(packed({"a.rpy": b"x" * 100}))
     with pytest.raises(archives.ArchiveError):
         list(archives.read_archive(str(path), archives.LIMITS | {"file_bytes": 50}))
-    assert archives._Reader({"path": str(path), "entries": str(10**9)}).limits["entries"] == 50_000
+    assert archives._Reader({"path": str(path), "entries": "7"}).limits["entries"] == 7
+    for wider in ({"entries": 10**9}, {"file_bytes": 0}, {"total_bytes": -1}, {"index_bytes": "x"}, {"entries": True}):
+        with pytest.raises(archives.ArchiveError):
+            archives.limits_of(wider)
 
 
 @pytest.mark.parametrize(
@@ -271,7 +274,8 @@ def test_endpoints(spark):
 
 def test_publish(spark, tmp_path):
     files = spark.createDataFrame([("game/tl/fr/a.rpy", "x\ny\n"), ("game/tl/fr/sub/b.rpy", "z")], "relative_path string, content string")
-    assert publish.publish(files, str(tmp_path / "out")) == ["game/tl/fr/a.rpy", "game/tl/fr/sub/b.rpy"]
+    publish.publish(files, str(tmp_path / "out"))
+    assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.rpy")) == ["game/tl/fr/a.rpy", "game/tl/fr/sub/b.rpy"]
     assert (tmp_path / "out/game/tl/fr/a.rpy").read_bytes() == b"\xef\xbb\xbfx\ny\n"
     with pytest.raises(FileExistsError):
         publish.publish(files, str(tmp_path / "out"))
