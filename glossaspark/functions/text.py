@@ -89,7 +89,8 @@ def spans_fit(text: Column, spans: Column) -> Column:
 
     # the text is cut once, a value is compared with the pieces around it
     cut = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
-    return let(cut, lambda pieces: let(spans, lambda given: let(F.length(text), lambda size: fits(pieces, given, size))))
+    bound = F.struct(cut.alias("pieces"), spans.alias("given"), F.length(text).alias("size"))
+    return let(bound, lambda b: fits(b["pieces"], b["given"], b["size"]))
 
 
 def indent(line: Column, tab: int = 4) -> Column:

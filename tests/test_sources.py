@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import random
 import zlib
 
 import pytest
@@ -33,16 +34,57 @@ label start:
 '''
 
 
-def kinds(text):
-    return [(k, n, s, sp, t) for k, n, s, sp, t in scripts.parse(text) if k != "character"]
+def parsed(spark, *texts, **settings):
+    df = spark.createDataFrame([(f"{i}", t, "utf-8", "0" * 64) for i, t in enumerate(texts)], "path string, text string, encoding string, sha256 string")
+    found = scripts.rows(df, **settings).select("source_file", "kind", "line_number", "scene", "speaker", "source_text")
+    return sorted(map(tuple, found.collect()), key=lambda r: (int(r[0]), r[2], r[1]))
 
 
-def test_extraction_rules():
-    rows = kinds(SCRIPT)
+def test_extraction_rules(spark):
+    every = [r[1:] for r in parsed(spark, SCRIPT)]
+    rows = [r for r in every if r[0] != "character"]
     assert [r[0] for r in rows] == ["dialogue", "narration", "menu_choice", "dialogue", "menu_choice", "narration", "warning"]
     assert rows[0] == ("dialogue", 3, "start", "aoi", "Good [player_name]. {color=#f00}Hear it?{/color}")
     assert rows[4][4] == "Wait"
-    assert [r for r in scripts.parse(SCRIPT) if r[0] == "character"] == [("character", 1, "aoi", None, "Aoi")]
+    assert [r for r in every if r[0] == "character"] == [("character", 1, "aoi", None, "Aoi")]
+
+
+@pytest.mark.parametrize(
+    ("script", "wanted"),
+    [
+        ('label a:\n  """x\nlabel b:\n  "t"\n', [("warning", 2, None), ("narration", 4, "b")]),  # a label ends an open quote
+        ('label a:\n  python:\n    x\n    """y"""\n  "t"\n', [("warning", 4, None), ("narration", 5, "a")]),  # quotes warn inside blocks
+        ('label a:\n    "t"\n  # c\n\n"u"\n    "v"\n', [("narration", 2, "a")]),  # comments close nothing, "u" closes the label
+        ('label a:\n  menu:\n    "c":\n      "t"\n  "d":\n', [("menu_choice", 3, "a"), ("narration", 4, "a"), ("narration", 5, "a")]),
+        ('label a:\n  python:\n    menu:\n      "c":\n  "d"\n', [("narration", 5, "a")]),
+        ('label a:\n  show "x"\n  e "a" "b"\n  show "a" "b"\n  $ "q"\n', [("warning", 3, None)]),
+        ('label .l.m(x, y=1): # c\n\t\u00e9va @happy "t"\n', [("dialogue", 2, ".l.m")]),
+        ('"t"\n', []),
+        ("", []),
+    ],
+)
+def test_scopes(spark, script, wanted):
+    assert [(r[1], r[2], r[3]) for r in parsed(spark, script)] == wanted
+
+
+def test_ranges_of_any_size_give_the_same_rows(spark):
+    """Random scripts, cut anywhere: inside of labels, blocks, menus and open quotes."""
+    rng = random.Random(8)
+    pieces = ["label a:", "label .b(x):", "menu:", "python:", "init python early:", '"Hi"', 'aoi "x"', '"Go":', '"Go" if x("1"):', "$ z", '"""', 'e """open', "\'\'\'", "# c", "", 'foo "a" "b"', 'define e = Character("E")']
+    line = lambda: rng.choice(["", "    ", "        ", "\t", "            "]) + rng.choice(pieces)
+    texts = ["label z:\n" + "\n".join(line() for _ in range(rng.randrange(80))) for _ in range(60)]
+    whole = parsed(spark, *texts)
+    assert len(whole) > 200
+    for size in (1, 3, 16):
+        assert parsed(spark, *texts, size=size) == whole
+
+
+def test_one_script_is_the_work_of_many_ranges(spark):
+    script = "label a:\n" + "".join(f'    "line {i}"\n' for i in range(50_000)) + "    menu:\n" + "".join(f'        "choice {i}":\n            "t"\n' for i in range(5000))
+    rows = parsed(spark, script)
+    assert [r[1] for r in rows].count("menu_choice") == 5000 and [r[1] for r in rows].count("narration") == 55_000
+    df = spark.createDataFrame([("a", script, "utf-8", "0")], "path string, text string, encoding string, sha256 string")
+    assert scripts._ranges(df, scripts.RANGE).count() == 15
 
 
 @pytest.mark.parametrize(
@@ -55,8 +97,9 @@ def test_extraction_rules():
         ('"#in"', [(0, 5, "#in")]),
     ],
 )
-def test_literals(code, wanted):
-    assert scripts.literals(code) == wanted
+def test_literals(spark, code, wanted):
+    df = spark.createDataFrame([(code,), (None,)], "c string").select(scripts.string_literals(F.col("c")).alias("x"))
+    assert sorted(([tuple(t) for t in r["x"]] if r["x"] is not None else None for r in df.collect()), key=lambda x: x is None) == [wanted, None]
 
 
 def test_ids_follow_place_among_equals_and_not_lines(spark):
