@@ -9,7 +9,7 @@ from ..plans import sending
 from ..sources import encoding, scripts, services, templates
 from ..sources.compatibility import presentation
 from ..storage import scratch_path
-from ..streaming import state_machine
+from ..streaming import stability, state_machine
 from . import states
 from .registry import query, table
 
@@ -172,3 +172,25 @@ def state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+
+@query("""
+WITH e AS (SELECT *, event_type IN ('view', 'click', 'signup') AS good, min(epoch_us(ts)) OVER (PARTITION BY user_id) + 864000500000 AS until FROM events),
+r AS (SELECT *, sum(CASE WHEN good THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e),
+s AS (SELECT user_id, epoch_us(ts) AS t, until, good, min(CASE WHEN good THEN epoch_us(ts) END) OVER (PARTITION BY user_id, run) AS since FROM r),
+f AS (SELECT user_id, min(until) AS until, min(CASE WHEN good AND t - since >= 172800000000 AND t <= until THEN t END) AS ended,
+        arg_min(since, CASE WHEN good AND t - since >= 172800000000 AND t <= until THEN t END) AS since FROM s GROUP BY user_id)
+SELECT user_id, CASE WHEN ended IS NULL THEN 'deadline' ELSE 'stable' END AS outcome, CASE WHEN ended IS NOT NULL THEN since END AS run_start, coalesce(ended, until) AS ended
+FROM f WHERE ended IS NOT NULL OR until < (SELECT max(epoch_us(ts)) FROM events)
+""")
+def stability_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users stable for two days, or not within ten, as a stream."""
+    own = stability.session(spark)
+    schema = own.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = own.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").selectExpr("user_id", "CAST(ts AS TIMESTAMP) AS ts", "event_type IN ('view', 'click', 'signup') AS good")
+    out = scratch_path(spark, "stable")
+    found = stability.stable(events.withWatermark("ts", "0 seconds"), "user_id", "ts", "good", 172_800, 864_000.5)
+    run = found.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "stream")).outputMode("append").trigger(availableNow=True).start(out)
+    run.awaitTermination()
+    rows = spark.read.schema(found.schema).parquet(out)
+    return rows.select(F.col("key").alias("user_id"), "outcome", F.unix_micros("run_start").alias("run_start"), F.unix_micros("ended").alias("ended"))

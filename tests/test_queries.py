@@ -33,6 +33,6 @@ def test_rest_imports_nothing_of_the_training_operators():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_query_pairs_all_rows(spark, name):
-    if name != "state_stream":  # it runs as a stream
+    if name not in ("state_stream", "stability_stream"):  # they run as streams
         plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
