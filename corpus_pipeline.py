@@ -27,8 +27,9 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go, and lines that too many documents of a source hold."""
-    return _recounted(clean_documents(docs, max_host_docs=LINE_DOCS))
+    """Rejected documents go, and lines that too many documents of a source hold; copies of
+    a text, which the next stage removes, count once."""
+    return _recounted(clean_documents(docs, max_host_docs=LINE_DOCS, texts_once=True))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,22 +87,14 @@ def _judged(
     min_host_docs: int,
     min_left_percent: int,
     max_host_docs: int | None,
+    texts_once: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     over = F.col("n_docs") * 100 > F.col("host_docs") * max_host_percent
     if max_host_docs is not None:
         over |= F.col("n_docs") > max_host_docs
     rows = materialize(_measured(docs, id_col, text_col, host_col), "measured")
-    # copies in a host are one document: a line isn't frequent because its text was copied
-    firsts = rows.groupBy("host", "text_key").agg(F.min("row_id").alias("row_id"))
-    per_host = firsts.groupBy("host").agg(F.count("*").alias("host_docs"))
-    counted = (
-        rows.select("row_id", "host", "lines")
-        .join(firsts.select("row_id"), "row_id", "left_semi")
-        .select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-        .groupBy("host", "h")
-        .agg(F.count("*").alias("n_docs"))
-        .where(F.col("n_docs") > min_host_docs)
-    )
+    held, per_host = _documents_of_lines(rows, texts_once)
+    counted = held.groupBy("host", "h").agg(F.sum("n").alias("n_docs")).where(F.col("n_docs") > min_host_docs)
     # written first: Spark then knows its size and broadcasts it only when small
     frequent = materialize(
         counted.join(per_host, "host").where(over).select("host", "h"),
@@ -129,6 +121,28 @@ def _judged(
     return judged, frequent
 
 
+def _documents_of_lines(rows: DataFrame, texts_once: bool) -> tuple[DataFrame, DataFrame]:
+    """(host, h, n): documents by host and line, to be summed; and (host, host_docs).
+
+    A document is a doc_id, and a row where that is null; with ``texts_once`` it is a text."""
+    lines = F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")
+    if texts_once:
+        firsts = rows.groupBy("host", "text_key").agg(F.min("row_id").alias("row_id"))
+        once = rows.select("row_id", "host", "lines").join(firsts.select("row_id"), "row_id", "left_semi")
+        return once.select("host", lines).groupBy("host", "h").agg(F.count("*").alias("n")), firsts.groupBy("host").agg(F.count("*").alias("host_docs"))
+    repeated = materialize(rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    single, several = rows, None
+    if not repeated.isEmpty():
+        # rows of one id are one document: their lines are made distinct by id
+        single = rows.join(repeated, "doc_id", "left_anti")
+        several = rows.join(repeated, "doc_id", "left_semi")
+    held, hosts = single.select("host", lines).groupBy("host", "h").agg(F.count("*").alias("n")), single.groupBy("host").agg(F.count("*").alias("n"))
+    if several is not None:
+        held = held.unionByName(several.select("host", "doc_id", lines).distinct().groupBy("host", "h").agg(F.count("*").alias("n")))
+        hosts = hosts.unionByName(several.select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("n")))
+    return held, hosts.groupBy("host").agg(F.sum("n").alias("host_docs"))
+
+
 def quality_rules(
     docs: DataFrame,
     *,
@@ -158,8 +172,8 @@ def quality_rules(
     task. Returns, for each row: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, n_lost_words, n_lost_lines (words and lines over the limits),
     base_failed, kept. Null and empty texts have no words and fail. Rows without a
-    host are one host. Rows of a host with the same text are one document of the
-    counts. An empty table gives an empty result; other columns are ignored.
+    host are one host. Rows of one doc_id are one document of the counts, rows without
+    doc_id one each. An empty table gives an empty result; other columns are ignored.
     """
     judged, _ = _judged(docs, id_col, text_col, host_col, min_words, max_repeat_percent, max_host_percent, min_host_docs, min_left_percent, max_host_docs)
     return judged.select(
@@ -168,12 +182,14 @@ def quality_rules(
 
 
 def clean_documents(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits: int | None
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", texts_once: bool = False, **limits: int | None
 ) -> DataFrame:
     """The documents that :func:`quality_rules` keeps, with all their columns and
-    without the lines over the limits."""
+    without the lines over the limits. ``texts_once``: rows of a host with the same text
+    are one document of the counts, for input whose copies a later stage removes; a group of
+    copies then isn't rejected as a whole for the lines that it shares with itself."""
     settings = {"min_words": 50, "max_repeat_percent": 50, "max_host_percent": 10, "min_host_docs": 10, "min_left_percent": 50, "max_host_docs": None} | limits
-    judged, _ = _judged(docs, id_col, text_col, host_col, **settings)
+    judged, _ = _judged(docs, id_col, text_col, host_col, **settings, texts_once=texts_once)
     verdict = materialize(
         judged.where("kept").select(F.col("row_key").alias("__key"), F.col("lost_lines").alias("__lost")).dropDuplicates(["__key"]),
         "verdict",

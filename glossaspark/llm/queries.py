@@ -113,10 +113,10 @@ WITH d AS (
   FROM (SELECT rid, unnest([p, p + 1, p + 2]) AS q FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, g) AS n FROM g) WHERE n >= 2)
   GROUP BY rid
 ), x AS (
-  SELECT rid, host, md5(t) AS th, unnest(list_transform(l, lambda y: trim(regexp_replace(lower(y), '[\x20\x09-\x0D]+', ' ', 'g')))) AS line FROM w
+  SELECT rid, host, coalesce('d' || doc_id, 'r' || rid) AS doc, unnest(list_transform(l, lambda y: trim(regexp_replace(lower(y), '[\x20\x09-\x0D]+', ' ', 'g')))) AS line FROM w
 ), f AS (
-  SELECT host, line FROM (SELECT host, line, count(DISTINCT th) AS n FROM x GROUP BY host, line)
-  JOIN (SELECT host, count(DISTINCT md5(t)) AS docs FROM d GROUP BY host) USING (host)
+  SELECT host, line FROM (SELECT host, line, count(DISTINCT doc) AS n FROM x GROUP BY host, line)
+  JOIN (SELECT host, count(DISTINCT coalesce('d' || doc_id, 'r' || rid)) AS docs FROM d GROUP BY host) USING (host)
   WHERE n > 30 OR n > 10 AND n * 100 > docs * 10
 ), y AS (
   SELECT rid, sum(len(string_split(line, ' '))) AS words_lost, count(*) AS lines_lost FROM x JOIN f USING (host, line) GROUP BY rid

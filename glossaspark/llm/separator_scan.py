@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -102,13 +103,30 @@ def _search(separator: int):
     return run
 
 
+def arrow_store(file: str) -> tuple[arrow_fs.FileSystem, str]:
+    """File system and path of a URI: local and mounted disks, HDFS, and the object stores
+    that Arrow reads."""
+    # Hadoop writes file:/x where Arrow wants file:///x
+    return arrow_fs.FileSystem.from_uri("file:///" + file[5:].lstrip("/") if file.startswith("file:") else file.replace("s3a://", "s3://", 1))
+
+
+def _readable(folder: str) -> bool:
+    """Whether byte ranges below the folder can be read."""
+    try:
+        store, inside = arrow_store(folder)
+        return store.get_file_info(inside).type != arrow_fs.FileType.NotFound
+    except (OSError, ValueError):  # a scheme that Arrow lacks, or no client for it here
+        return False
+
+
 def _search_ranges(separator: int):
     """Blocks by place: a task reads their byte ranges one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, block, offset, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with open("/" + file.removeprefix("file:").lstrip("/"), "rb") as f:
+                store, inside = arrow_store(file)
+                with store.open_input_file(inside) as f:
                     f.seek(offset)
                     data = f.read(size)
                 if len(data) != size:
@@ -141,7 +159,8 @@ def separator_scan(spark: SparkSession, path: str, *, separator: int = 50256, bl
     )
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").withColumn("length", even)
     block = F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / step).cast("int"))).alias("block")
-    if store.getUri().getScheme() == "file":
+    # whole files only where no range can be read, as in a mount table of Hadoop's own
+    if _readable(store.makeQualified(root).toString()):
         offset = F.col("block").cast("long") * step
         blocks = files.select("path", "length", block).select(
             "path", "block", offset.alias("offset"), F.least(F.lit(step).cast("long"), F.col("length") - offset).alias("size")

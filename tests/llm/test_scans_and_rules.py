@@ -129,6 +129,39 @@ def test_pipeline_removes_lines_by_count_in_large_hosts(spark):
     assert corpus_pipeline.quality(spark, docs.union(copies), "").where("doc_id < 80 AND length(text) > 0").count() == 160
 
 
+def test_lines_count_distinct_documents(spark):
+    """Copies are documents of their own, rows of one id are one document."""
+    words = lambda i, n: " ".join(f"u{i}x{j}" for j in range(n))
+    line = "the same line in forty documents"
+    alike = [(i, words(0, 60) + "\n" + line, "a") for i in range(40)]
+    apart = [(100 + i, words(100 + i, 60) + "\n" + line, "b") for i in range(40)]
+    one_id = [(500, words(500 + i, 60) + "\n" + line, "c") for i in range(40)] + [(600, words(600, 60), "c")]
+    no_id = [(None, words(700 + i, 60) + "\n" + line, "d") for i in range(40)]
+    docs = spark.createDataFrame(alike + apart + one_id + no_id, "doc_id long, text string, source string").repartition(4)
+    rows = quality_rules(docs, max_host_docs=30).collect()
+    lost = lambda pick: {r["n_lost_words"] for r in rows if pick(r["doc_id"])}
+    assert lost(lambda i: i is not None and i < 100) == {60 + 6}  # all of it is in 40 documents
+    assert lost(lambda i: i is not None and 100 <= i < 500) == {6} and lost(lambda i: i is None) == {6}
+    assert lost(lambda i: i in (500, 600)) == {0}
+    kept = {r["doc_id"] for r in clean_documents(docs, max_host_docs=30, texts_once=True).collect()}
+    assert set(range(40)) <= kept  # as the pipeline counts them
+
+
+def test_separator_scan_of_another_scheme(spark, tmp_path):
+    """Through a mount table of Hadoop's, which Arrow doesn't know, and through a URI that it does."""
+    import numpy as np
+
+    from glossaspark.llm.separator_scan import _readable, arrow_store
+
+    ids = np.random.default_rng(3).integers(0, 9, 5000).astype("<u2")
+    ids.tofile(tmp_path / "a.bin")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.t.link./in", f"file://{tmp_path}")
+    local, mounted = (sorted(map(tuple, separator_scan(spark, p, separator=7, block_tokens=64).collect())) for p in (f"file://{tmp_path}", "viewfs://t/in"))
+    assert local == mounted and len(local) > 400
+    assert _readable(f"file:{tmp_path}") and not _readable("viewfs://t/in") and not _readable(f"file:{tmp_path}/none")
+    assert arrow_store(f"file:{tmp_path}/a.bin")[1] == f"{tmp_path}/a.bin"
+
+
 def test_quality_edge_rows(edge_docs, no_docs):
     rows = quality_rules(edge_docs).collect()
     assert len(rows) == edge_docs.count()
