@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,11 +12,13 @@ def unique_match(left: DataFrame, right: DataFrame, keys: list[str], order: str)
     """Right rows matched to the left row with the same keys.
 
     A key that several left rows share matches nothing; of several right rows the first
-    by ``order`` takes the left one. Counts are pre-aggregated; a key is a row after that.
+    by ``order`` takes the left one. Both sides are pre-aggregated, so a key that very many
+    rows share is a row before anything is sorted or joined.
     """
     single = left.groupBy(*keys).agg(F.count("*").alias("__n"), *[F.first(c).alias(c) for c in left.columns if c not in keys])
-    first = right.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("__rank = 1")
-    return single.where("__n = 1").drop("__n").join(first.drop("__rank"), keys)
+    rest = [c for c in right.columns if c not in keys]
+    first = right.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("__first")).select(*keys, *[F.col(f"__first.{c}").alias(c) for c in rest])
+    return single.where("__n = 1").drop("__n").join(first, keys)
 
 
 def unmatched(rows: DataFrame, matched: DataFrame, key: str | list[str]) -> DataFrame:
@@ -65,3 +67,19 @@ def repeated_keys(df: DataFrame, *keys: str) -> DataFrame:
 def stable_distinct(df: DataFrame, key: str, order: str) -> DataFrame:
     """Distinct keys with the place where each came first."""
     return df.groupBy(key).agg(F.min(order).alias("first_at"))
+
+
+def _above(path: Column) -> Column:
+    """The folders above a path, from the outermost in."""
+    parts = F.split(path, "/", -1)
+    ends = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(ends, lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+
+
+def contained(paths: DataFrame, roots: DataFrame, group: str, path: str, root: str) -> DataFrame:
+    """Pairs (group, path, root) of which one is the other or lies below it. Both sides
+    are given once; each name is joined with the folders above the other, by equality, so a
+    group of very many paths isn't paired with all its roots."""
+    below = paths.select(group, path, F.explode(F.concat(_above(F.col(path)), F.array(path))).alias(root)).join(roots, [group, root])
+    above = roots.select(group, root, F.explode(_above(F.col(root))).alias(path)).join(paths, [group, path])
+    return below.select(group, path, root).unionByName(above.select(group, path, root))

@@ -49,18 +49,37 @@ def overlaps(df: DataFrame, group: str, start: str, size: str) -> DataFrame:
     return df.withColumn("overlaps", F.coalesce(F.col(start) < prior, F.lit(False)))
 
 
+def lagged(df: DataFrame, group: str, order: list[str], values: dict[str, str]) -> DataFrame:
+    """``df`` with the values of the row before in its group, by alias, and ``__first`` for
+    the first row. Ranges are sorted apart, and one begins with the last row of the range before it."""
+    parted = in_ranges(df, [group, *order])
+    held = F.struct(*[F.col(v).alias(a) for a, v in values.items()])
+    inside = Window.partitionBy(group, "__piece").orderBy(*order)
+    ends = parted.groupBy(group, "__piece").agg(F.max_by(held, F.struct(*order)).alias("__end"))
+    start = ends.select(F.col(group).alias("__group"), F.col("__piece").alias("__at"), F.lag("__end").over(Window.partitionBy(group).orderBy("__piece")).alias("__start"))
+    same = F.col(group).eqNullSafe(F.col("__group")) & (F.col("__piece") == F.col("__at"))
+    last = F.coalesce(F.lag(held).over(inside), "__start")
+    found = parted.join(start, same).withColumn("__last", last)
+    return found.withColumns({a: F.col(f"__last.{a}") for a in values} | {"__first": F.col("__last").isNull()}).drop("__piece", "__group", "__at", "__start", "__last")
+
+
 def change_points(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
     """Rows whose value differs from the row before; the first row is one."""
-    last = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn("__row", F.row_number().over(last)).withColumn("__last", F.lag(value).over(last)).where(
-        (F.col("__row") == 1) | ~F.col(value).eqNullSafe(F.col("__last"))
-    ).drop("__row", "__last")
+    rows = lagged(df, group, order, {"__before": value})
+    return rows.where(F.col("__first") | ~F.col(value).eqNullSafe(F.col("__before"))).drop("__first", "__before")
 
 
 def carried(df: DataFrame, group: str, order: str, value: Column, alias: str) -> DataFrame:
-    """The last value that isn't null, up to each row."""
-    so_far = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(alias, F.last(value, ignorenulls=True).over(so_far))
+    """The last value that isn't null, up to each row. Ranges are filled apart, and one
+    begins with what the ranges before it end with."""
+    parted = in_ranges(df.withColumn("__value", value), [group, order])
+    so_far = Window.partitionBy(group, "__piece").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = parted.groupBy(group, "__piece").agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.struct(order))).alias("__end"))
+    earlier = Window.partitionBy(group).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    start = ends.select(F.col(group).alias("__group"), F.col("__piece").alias("__at"), F.last("__end", ignorenulls=True).over(earlier).alias("__start"))
+    same = F.col(group).eqNullSafe(F.col("__group")) & (F.col("__piece") == F.col("__at"))
+    filled = F.coalesce(F.last("__value", ignorenulls=True).over(so_far), "__start")
+    return parted.join(start, same).withColumn(alias, filled).drop("__value", "__piece", "__group", "__at", "__start")
 
 
 def _micros(name: str) -> Column:
@@ -70,11 +89,8 @@ def _micros(name: str) -> Column:
 def stable_runs(df: DataFrame, group: str, order: list[str], time: str, good: Column, least_seconds: float) -> DataFrame:
     """Runs of consecutive rows that satisfy ``good`` and last ``least_seconds`` or more:
     (group, run_start, run_end, n). A row that fails ends a run."""
-    rows = Window.partitionBy(group).orderBy(*order)
-    broken = F.sum(F.when(good, 0).otherwise(1)).over(rows.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    runs = df.withColumn("__run", broken).where(good).groupBy(group, "__run").agg(
-        F.min(time).alias("run_start"), F.max(time).alias("run_end"), F.count("*").alias("n")
-    )
+    numbered = running_sum(df, [group], order, F.when(good, 0).otherwise(1), "__run")
+    runs = numbered.where(good).groupBy(group, "__run").agg(F.min(time).alias("run_start"), F.max(time).alias("run_end"), F.count("*").alias("n"))
     long_enough = _micros("run_end") - _micros("run_start") >= int(least_seconds * 1_000_000)
     return runs.where(long_enough).drop("__run")
 

@@ -55,6 +55,42 @@ def recover(batches: DataFrame, store: str, lookup: services.Backend, run: str)
     return _settled(asked.join(unknown, "batch_id"), batches, store, f"{run}-answers")
 
 
+def drive(batches: DataFrame, store: str, backend: services.Backend, lookup: services.Backend, run: str, most_attempts: int = 2) -> DataFrame:
+    """Send, ask and retry until each batch has succeeded or failed ``most_attempts`` times;
+    returns the receipts with their ``attempts``.
+
+    An unknown batch is asked for and never sent again while it is unknown. All batches go
+    through a round together, so ``2 * most_attempts + 2`` rounds settle them; a service that
+    still leaves one open after these stops the loop, with all receipts stored. Names of
+    rounds begin with ``run``, which can't be used twice.
+    """
+    if not 1 <= most_attempts <= 5:
+        raise ValueError("a batch is sent 1 to 5 times")
+    spark = batches.sparkSession
+    for step in range(2 * most_attempts + 2):
+        tries = attempts(spark, store)
+        open_ = batches.join(tries, "batch_id", "left").where(F.col("status").isNull() | (F.col("status") == "unknown") | ((F.col("status") == "failed") & (F.col("attempts") < most_attempts)))
+        if open_.isEmpty():
+            return tries
+        if not open_.where("status = 'unknown'").isEmpty():
+            recover(batches, store, lookup, f"{run}-{step}-asked")
+        send(open_.where("status IS NULL OR status = 'failed'").select(*batches.columns), store, backend, f"{run}-{step}-sent", retry=True)
+    raise RuntimeError("batches are still open: the service does not settle them")
+
+
+def attempts(spark: SparkSession, store: str) -> DataFrame:
+    """The latest receipt of each batch with the number of times it was claimed."""
+    latest = receipts(spark, store)
+    try:
+        rows = spark.read.schema(RECEIPTS).option("recursiveFileLookup", "true").parquet(store)
+    except Exception as error:  # nothing is stored yet
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return latest.withColumn("attempts", F.lit(0).cast("long"))
+    claims = rows.where((F.col("status") == "unknown") & (F.col("error") == UNANSWERED)).groupBy("batch_id").agg(F.count("*").alias("attempts"))
+    return latest.join(claims, "batch_id", "left").withColumn("attempts", F.coalesce("attempts", F.lit(0)))
+
+
 def _settled(answers: DataFrame, batches: DataFrame, store: str, name: str) -> DataFrame:
     judged = answers.join(batches.select("batch_id", "segment_ids"), "batch_id").withColumn(
         "status", services.outcome(F.col("http_status"), services.reply_items(F.col("body")), F.col("segment_ids"))

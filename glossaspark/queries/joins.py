@@ -239,13 +239,12 @@ WITH p AS (SELECT DISTINCT split_part(url, '/', 3) AS host, regexp_replace(regex
 SELECT p.host, p.path, r.root FROM p JOIN r ON p.host = r.host AND (p.path = r.root OR starts_with(p.path, r.root || '/') OR starts_with(r.root, p.path || '/'))
 """)
 def path_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths and the roots above them. Roots of the same host only, so the join has an
-    equal key beside the prefix test."""
+    """Paths and the roots above or below them, of the same host."""
     pages = table(spark, sf_dir, "pages").select(
         F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), F.regexp_replace(F.regexp_replace("url", "^https?://[^/]+", ""), r"\?.*$", "").alias("path")
     ).distinct()
     roots = pages.select("host", F.concat(F.lit("/"), F.split_part("path", F.lit("/"), F.lit(2))).alias("root")).distinct()
-    return pages.join(roots, "host").where(paths.contains_path(F.col("root"), F.col("path"))).select("host", "path", "root")
+    return matching.contained(pages, roots, "host", "path", "root")
 
 
 @query("""

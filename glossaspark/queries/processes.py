@@ -88,7 +88,7 @@ def echo(payload: str) -> tuple[int, str]:
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segment = F.struct("turn", F.concat(F.lit("t"), F.col("turn").cast("string")).alias("segment_id"), F.left("role", F.lit(3)).alias("source_text"))
+    segment = F.struct("turn", F.concat(F.lit("t"), F.col("turn").cast("string")).alias("segment_id"), F.col("role").alias("source_text"))
     batches = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(segment)).alias("segments"))
     payload = F.to_json(F.struct(F.col("conv_id").alias("number"), "segments"))
     sent = services.submitted(batches.select(F.col("conv_id").cast("string").alias("batch_id"), payload.alias("payload")), echo)
@@ -106,7 +106,7 @@ def provider_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT conv_id, status, CASE status WHEN 'succeeded' THEN 'completed' WHEN 'failed' THEN 'failed' ELSE 'running' END AS batch_status, CASE WHEN status = 'succeeded' THEN first END AS first_text
-FROM (SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN 'failed' WHEN conv_id % 7 = 0 AND count(*) > 1 THEN 'unknown' ELSE 'succeeded' END AS status, arg_min('<' || left(role, 3) || '>', turn) AS first FROM conversations GROUP BY conv_id)
+FROM (SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN 'failed' WHEN conv_id % 7 = 0 AND count(*) > 1 THEN 'unknown' ELSE 'succeeded' END AS status, arg_min('<' || role || '>', turn) AS first FROM conversations GROUP BY conv_id)
 """)
 def run_next_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One batch of each task is sent and its receipt applied: an unknown outcome leaves
@@ -117,6 +117,14 @@ def run_next_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("conv_id", "status", after.alias("batch_status"), first.alias("first_text"))
 
 
+def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segment = F.struct("turn", F.concat(F.lit("t"), F.col("turn").cast("string")).alias("segment_id"), F.col("role").alias("source_text"))
+    batches = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(segment)).alias("segments"))
+    return batches.select(
+        F.col("conv_id").cast("string").alias("batch_id"), F.to_json(F.struct(F.col("conv_id").alias("number"), "segments")).alias("payload"), F.transform("segments", lambda s: s["segment_id"]).alias("segment_ids")
+    )
+
+
 @query("""
 SELECT CAST(conv_id AS VARCHAR) AS batch_id, CAST(CASE WHEN conv_id % 7 = 0 AND conv_id % 5 > 0 AND count(*) > 1 THEN 2 ELSE 1 END AS BIGINT) AS seq,
   CASE WHEN conv_id % 5 = 0 THEN 'failed' WHEN conv_id % 7 = 0 AND count(*) > 1 THEN 'unknown' ELSE 'succeeded' END AS status FROM conversations GROUP BY conv_id
@@ -124,11 +132,7 @@ SELECT CAST(conv_id AS VARCHAR) AS batch_id, CAST(CASE WHEN conv_id % 7 = 0 AND
 def write_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches are claimed, sent and settled; a second run sends none of them, and the
     unknown ones are asked for once more, without an answer."""
-    segment = F.struct("turn", F.concat(F.lit("t"), F.col("turn").cast("string")).alias("segment_id"), F.left("role", F.lit(3)).alias("source_text"))
-    batches = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(segment)).alias("segments"))
-    ready = batches.select(
-        F.col("conv_id").cast("string").alias("batch_id"), F.to_json(F.struct(F.col("conv_id").alias("number"), "segments")).alias("payload"), F.transform("segments", lambda s: s["segment_id"]).alias("segment_ids")
-    )
+    ready = _batches(spark, sf_dir)
     store = scratch_path(spark, "receipts")
     sending.send(ready, store, echo, "one")
     sending.send(ready, store, echo, "two")
@@ -136,6 +140,24 @@ def write_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sending.receipts(spark, store).select("batch_id", "seq", "status")
 
 
+def _answered(payload: str) -> tuple[int, str]:
+    """What the service says of a batch whose answer was garbled."""
+    import json
+
+    batch = json.loads(payload)
+    return echo(json.dumps(batch | {"number": 1}))
+
+
+@query("""
+SELECT CAST(conv_id AS VARCHAR) AS batch_id, CASE WHEN conv_id % 5 = 0 THEN 'failed' ELSE 'succeeded' END AS status, CAST(CASE WHEN conv_id % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS attempts
+FROM conversations GROUP BY conv_id
+""")
+def send_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All batches until they are settled: refused ones are sent twice, garbled ones asked for."""
+    ready = _batches(spark, sf_dir)
+    return sending.drive(ready, scratch_path(spark, "receipts"), echo, _answered, "loop").select("batch_id", "status", "attempts")
+
+
 @query("""
 SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'ready' WHEN 2 THEN 'uncertain' ELSE 'blocked' END AS tone FROM pages
 """)

@@ -225,6 +225,66 @@ def test_a_claimed_batch_is_not_sent_again(spark, tmp_path):
     assert status(store) == {"a": "succeeded", "b": "succeeded"}
 
 
+def test_the_loop_sends_each_claim_once(spark, tmp_path):
+    """A refused batch is sent twice, an unknown one is asked for, one that is never settled stops the loop."""
+    import os
+    import uuid
+
+    from glossaspark.plans import sending
+
+    good = '{"id": "r", "choices": [{"message": {"content": "{\\"translations\\": [{\\"segment_id\\": \\"s\\", \\"target_text\\": \\"t\\"}]}"}}]}'
+    calls = str(tmp_path / "calls")
+    os.mkdir(calls)
+
+    def backend(payload):
+        open(f"{calls}/{payload}-{uuid.uuid4().hex}", "x").close()
+        return {"ok": (200, good), "no": (400, ""), "lost": (504, "")}[payload]
+
+    batches = spark.createDataFrame([(x, x, ["s"]) for x in ("ok", "no", "lost")], "batch_id string, payload string, segment_ids array<string>")
+    told = lambda df: {r["batch_id"]: (r["status"], r["attempts"]) for r in df.collect()}
+    out = sending.drive(batches, str(tmp_path / "a"), backend, lambda p: (200, good), "a", most_attempts=3)
+    assert told(out) == {"ok": ("succeeded", 1), "no": ("failed", 3), "lost": ("succeeded", 1)}
+    assert sorted(n.split("-")[0] for n in os.listdir(calls)) == ["lost", "no", "no", "no", "ok"]
+    again = sending.drive(batches, str(tmp_path / "a"), backend, lambda p: (200, good), "b", most_attempts=3)
+    assert told(again) == told(out) and len(os.listdir(calls)) == 5
+    with pytest.raises(RuntimeError, match="still open"):
+        sending.drive(batches.where("batch_id = 'lost'"), str(tmp_path / "b"), backend, lambda p: (504, ""), "c", most_attempts=1)
+    assert told(sending.attempts(spark, str(tmp_path / "b"))) == {"lost": ("unknown", 1)}
+    with pytest.raises(ValueError, match="1 to 5"):
+        sending.drive(batches, str(tmp_path / "c"), backend, backend, "d", most_attempts=6)
+
+
+def test_ranges_of_a_hot_group(spark):
+    """One group with most rows, null groups and values, equal times, on ranges of any cut."""
+    rng = random.Random(6)
+    rows = [(rng.choice((1, 1, 1, 2, None)), i // 2, i, rng.choice(("a", "b", None))) for i in range(600)]
+    rows += [(7, 0, 1000, "a")]
+    df = spark.createDataFrame(rows, "g int, t int, i int, v string").repartition(5)
+    groups = {}
+    for r in sorted(rows, key=lambda r: (r[1], r[2])):
+        groups.setdefault(r[0], []).append(r)
+    changes = {r[2] for g in groups.values() for p, r in zip([None, *g], g, strict=False) if p is None or p[3] != r[3]}
+    found = sequences.change_points(df, "g", ["t", "i"], "v")
+    assert found.columns == df.columns and {r["i"] for r in found.collect()} == changes
+    seen, wanted = {}, {}
+    for r in sorted(rows, key=lambda r: r[2]):
+        seen[r[0]] = r[3] if r[3] is not None else seen.get(r[0])
+        wanted[r[2]] = seen[r[0]]
+    assert {r["i"]: r["x"] for r in sequences.carried(df, "g", "i", F.col("v"), "x").collect()} == wanted
+
+
+def test_containment_equals_all_pairs(spark):
+    from glossaspark.operators import matching
+
+    rng = random.Random(9)
+    name = lambda: "/".join(rng.choice(["", "a", "b"]) for _ in range(rng.randrange(1, 6)))
+    names, roots = {name() for _ in range(150)}, {name() for _ in range(60)}
+    df = lambda xs, c: spark.createDataFrame([(1, x) for x in xs] + [(2, "z")], f"h int, {c} string")
+    found = matching.contained(df(names, "p"), df(roots, "r"), "h", "p", "r").collect()
+    below = lambda a, b: a == b or b.startswith(a + "/") or a.startswith(b + "/")
+    assert sorted((r["h"], r["p"], r["r"]) for r in found) == sorted([(1, p, r) for p in names for r in roots if below(p, r)] + [(2, "z", "z")])
+
+
 def test_repeated_fragments_and_other_columns_are_refused(spark):
     from glossaspark.operators import render, store
 
