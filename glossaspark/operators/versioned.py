@@ -1,8 +1,9 @@
 """A keyed table with durable versions and one winner for each of them.
 
-A version is a manifest that names, for each bucket of the keys, the folder with its
-rows. A commit writes new folders for the buckets that change and then its manifest, whose
-name only one writer can take. Whoever loses the race reads the winner's version and
+A version is a manifest that names, for each bucket of the keys, the folders with its
+rows. A commit writes folders for the buckets that it touches and then its manifest, whose
+name only one writer can take. New keys are added as one more folder of a bucket, and folders are merged
+when a bucket has :data:`RUNS` of them, so what a commit reads doesn't grow with their number. Whoever loses the race reads the winner's version and
 judges its attempts again. Folders that no manifest names are never read, so a writer
 that dies before its manifest leaves the last version as it was.
 """
@@ -22,6 +23,10 @@ from ..storage import delete_path
 from . import store
 
 
+#: Folders of a bucket that are merged.
+RUNS = 8
+
+
 class LostRace(RuntimeError):
     """Other writers took every version that this one tried to make."""
 
@@ -83,7 +88,7 @@ class VersionedStore:
         """Drop all but the last ``keep`` versions, and the folders that only they name. Not to be
         called while a writer is at work."""
         kept = self.versions()[-keep:]
-        named = {f for v in kept for f in self._manifest(v)["folders"].values()}
+        named = {f for v in kept for folders in self._manifest(v)["folders"].values() for f in folders}
         folder = self._hadoop(f"{self.path}/data")
         fs = self._fs(folder)
         for v in self.versions()[:-keep]:
@@ -94,7 +99,7 @@ class VersionedStore:
 
     # -- one commit ---------------------------------------------------------------
 
-    def _commit(self, attempts: DataFrame, tries: int, judge: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame | None]]) -> DataFrame:
+    def _commit(self, attempts: DataFrame, tries: int, judge: Callable) -> DataFrame:
         bucketed = attempts.withColumn("__bucket", self._bucket())
         touched = sorted(r[0] for r in bucketed.select("__bucket").distinct().collect())  # at most ``buckets``
         for _ in range(tries):
@@ -103,16 +108,16 @@ class VersionedStore:
             old = self._rows(manifest | {"folders": {str(b): f for b, f in manifest["folders"].items() if int(b) in touched}})
             outcomes, new = judge(old, attempts)
             decided = self._kept(outcomes, "outcomes")
-            if new is None or decided.where(self._changes(decided)).isEmpty():
+            if decided.where(self._changes(decided)).isEmpty():
                 return decided
-            folders = manifest["folders"] | self._written(new(decided))
-            if self._take(manifest | {"folders": folders}, number + 1):
+            rows, added = new(decided)
+            if self._take(manifest | {"folders": self._placed(manifest, rows, added)}, number + 1):
                 return decided
         raise LostRace(f"{tries} versions of {self.path} went to other writers")
 
     def _set(self, old, attempts, expected, order, allowed):
         outcomes = store.compare_and_set(old, attempts, self.key, self.value, expected, order, allowed)
-        return outcomes, lambda decided: store.committed(old, decided, self.key, self.value, order, "version")
+        return outcomes, lambda decided: (store.committed(old, decided, self.key, self.value, order, "version"), False)
 
     def _add(self, old, rows):
         spread = rows.groupBy(self.key).agg(F.min(self.value).alias("__lo"), F.max(self.value).alias("__hi"))
@@ -120,9 +125,8 @@ class VersionedStore:
         outcome = F.when(F.col("__lo").eqNullSafe(F.col("__hi")), F.col("outcome")).otherwise("conflict")
         outcomes = told.join(spread, self.key).withColumn("outcome", outcome).drop("__lo", "__hi")
 
-        def new(decided: DataFrame) -> DataFrame:
-            added = decided.where("outcome = 'insert'").groupBy(self.key).agg(F.min(self.value).alias(self.value)).withColumn("version", F.lit(1))
-            return old.unionByName(added)
+        def new(decided: DataFrame) -> tuple[DataFrame, bool]:
+            return decided.where("outcome = 'insert'").groupBy(self.key).agg(F.min(self.value).alias(self.value)).withColumn("version", F.lit(1)), True
 
         return outcomes, new
 
@@ -141,17 +145,27 @@ class VersionedStore:
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    def _written(self, rows: DataFrame) -> dict[str, str]:
-        """Folder of each bucket."""
+    def _written(self, rows: DataFrame) -> dict[str, list[str]]:
+        """The folder of each bucket of ``rows``."""
         made = uuid.uuid4().hex
         path = f"{self.path}/data/{made}"
         rows.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(path)
         names = [f.getPath().getName() for f in self._fs(self._hadoop(path)).listStatus(self._hadoop(path))]
-        return {n.split("=")[1]: f"data/{made}/{n}" for n in names if n.startswith("bucket=")}
+        return {n.split("=")[1]: [f"data/{made}/{n}"] for n in names if n.startswith("bucket=")}
+
+    def _placed(self, manifest: dict, rows: DataFrame, added: bool) -> dict[str, list[str]]:
+        """Folders of all buckets once ``rows`` are written: beside those of their buckets if they
+        are ``added``, or in their place."""
+        before, fresh = manifest["folders"], self._written(rows)
+        if not added:
+            return before | fresh
+        folders = before | {b: [*before.get(b, []), *f] for b, f in fresh.items()}
+        full = {b: f for b, f in folders.items() if len(f) >= RUNS}
+        return folders | self._written(self._rows(manifest | {"folders": full})) if full else folders
 
     def _rows(self, manifest: dict) -> DataFrame:
         schema = f"`{self.key}` {manifest['types']['key']}, `{self.value}` {manifest['types']['value']}, version int"
-        folders = [f"{self.path}/{f}" for f in manifest["folders"].values()]
+        folders = [f"{self.path}/{f}" for runs in manifest["folders"].values() for f in runs]
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def _manifest(self, version: int | None = None) -> dict:

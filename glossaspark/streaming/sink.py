@@ -5,33 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..operators import store
+from ..operators.versioned import LostRace, VersionedStore
 
 
 def append_once(path: str, key: str, payload: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: appends keys that aren't stored, skips equal ones and stops
-    at another payload for a stored key. Each batch writes its own folder, and replaces
-    it when the batch is tried again, so a retry adds nothing twice. The store is laid
-    out in ``buckets`` folders by the hash of the key, and a batch reads those of its
-    keys only."""
+    """For ``foreachBatch``: adds keys that aren't stored to a :class:`VersionedStore`, skips
+    equal ones and stops at another payload for a stored key. A batch is one version, taken
+    whole or not at all, so one that is tried again finds its own keys and adds nothing. It reads the buckets
+    of its keys only, and these are merged as they grow: the files that it reads don't grow with the number
+    of batches."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        touched = [r[0] for r in batch.select("bucket").distinct().collect()]
-        try:
-            found = spark.read.option("basePath", path).parquet(path)
-            stored = found.where((F.col("batch") != number) & F.col("bucket").isin(touched)).select(key, payload)
-        except Exception as error:  # nothing is stored yet
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            stored = spark.createDataFrame([], batch.select(key, payload).schema)
-        once = batch.groupBy(key).agg(F.min(payload).alias(payload), F.max(payload).alias("__max"))
-        same = F.when(F.col(payload).eqNullSafe(F.col("__max")), F.col(payload)).otherwise(F.raise_error(F.lit("one key, two payloads")))
-        rows = store.upserted(stored, once.select(key, same.alias(payload)), key, payload)
-        placed = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
+        held = VersionedStore(batch.sparkSession, path, key, payload, buckets)
+        rows = batch.select(key, payload)
+        if not held.versions():
+            try:
+                held.create(rows.where("false"))
+            except LostRace:  # another writer has just begun the store
+                pass
+        refused = held.insert_once(rows).where("outcome = 'conflict'").first()
+        if refused:
+            raise ValueError(f"another payload is stored for {refused[key]}")
 
     return write

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glossaspark.domains import TASK_MOVES
 from glossaspark.functions import identity, paths, text
 from glossaspark.operators import sequences, state, store
+from glossaspark.operators.versioned import VersionedStore
 from glossaspark.plans import localize
 from glossaspark.queries.processes import echo
 from glossaspark.sources import templates
@@ -138,9 +139,26 @@ def test_sink_adds_nothing_twice(spark, tmp_path):
     write(batch((1, "a"), (1, "a"), (2, "b")), 0)
     write(batch((2, "b"), (3, "c")), 1)
     write(batch((2, "b"), (3, "c")), 1)
-    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    held = VersionedStore(spark, str(tmp_path / "t"), "k", "v")
+    stored = lambda: sorted((r["k"], r["v"]) for r in held.snapshot().collect())
+    assert stored() == [(1, "a"), (2, "b"), (3, "c")]
     with pytest.raises(Exception, match="another payload"):
-        write(batch((1, "x")), 2)
+        write(batch((1, "x"), (4, "d")), 2)
+    with pytest.raises(Exception, match="another payload"):
+        write(batch((5, "x"), (5, "y")), 2)
+    assert stored() == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_sink_reads_as_many_files_after_many_batches(spark, tmp_path):
+    write = sink.append_once(str(tmp_path / "t"), "k", "v", buckets=1)
+    held = VersionedStore(spark, str(tmp_path / "t"), "k", "v", 1)
+    runs = []
+    for n in range(12):
+        write(spark.createDataFrame([(n, "a"), (100 + n, "b")], "k int, v string"), n)
+        runs.append(len(held._manifest()["folders"]["0"]))
+    assert max(runs) < 8 and runs[-1] < 8 and held.snapshot().count() == 24
+    held.vacuum()
+    assert held.snapshot().count() == 24
 
 
 SCRIPT = 'define aoi = Character("Aoi")\nlabel start:\n    aoi "Hi [name]!"\n    "Wind."\n    menu:\n        "Go":\n            "On."\n'
