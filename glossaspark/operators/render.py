@@ -15,6 +15,12 @@ def fits_literal(target: Column, quote: Column) -> Column:
     return ~target.rlike(r"[\x00\r\n]") & ~rest.contains("\\") & ~rest.contains(quote)
 
 
+def literal_stands(literals: Column, start: Column, end: Column, body: Column) -> Column:
+    """The code still holds one string literal, the recorded one at the recorded place."""
+    first = F.get(literals, F.lit(0))
+    return F.coalesce((F.size(literals) == 1) & (first["start"] == start) & (first["end"] == end) & (first["body"] == body), F.lit(False))
+
+
 def tokens_kept(source: Column, target: Column) -> Column:
     values = lambda c: F.transform(text.tokens(c), lambda t: t["value"])
     return values(source) == values(target)

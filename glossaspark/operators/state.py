@@ -141,3 +141,45 @@ def next_batch(batches: DataFrame, key: str, index: str, status: str) -> DataFra
     """First batch of each task in state pending, running or failed."""
     first = [F.min(F.when(F.col(status) == s, F.col(index))).alias(f"first_{s}") for s in ("pending", "running", "failed")]
     return batches.groupBy(key).agg(*first)
+
+
+def batch_error(status: Column, attempts: Column, proposals: Column, segments: Column, error: Column) -> Column:
+    """The first rule that a stored batch breaks, or null."""
+    return (
+        F.when((status == "completed") & (proposals != segments), "completed_count")
+        .when((status != "completed") & (proposals > 0), "early_proposals")
+        .when((status == "running") & (attempts < 1), "running_without_attempt")
+        .when((status == "failed") & (F.coalesce(error, F.lit("")) == ""), "failed_without_error")
+    )
+
+
+def checkpoint_errors(tasks: DataFrame, batches: DataFrame, key: str) -> DataFrame:
+    """(key, error) of stored tasks (key, status) with their batches (key, batch_index, status,
+    attempts, proposals, segments, error): the error of the first batch that has one, else
+    the first rule that task and batches break together; null for a good one.
+
+    A task is completed when all its batches are, and only then; failed when one is, and only
+    then; a paused one has no running batch, a pending one only pending batches without attempts.
+    Batches are pre-aggregated, so a task of very many is a row before the join.
+    """
+    wrong = batch_error(F.col("status"), F.col("attempts"), F.col("proposals"), F.col("segments"), F.col("error"))
+    some = lambda c: F.coalesce(F.max(c.cast("int")), F.lit(0)) == 1
+    is_ = lambda s: F.col("status") == s
+    facts = batches.withColumn("__wrong", wrong).groupBy(key).agg(
+        F.min(F.when(F.col("__wrong").isNotNull(), F.struct("batch_index", "__wrong")))["__wrong"].alias("__batch"),
+        some(~is_("completed")).alias("__open"),
+        some(is_("failed")).alias("__failed"),
+        some(is_("running")).alias("__running"),
+        some(~is_("pending") | (F.col("attempts") != 0)).alias("__begun"),
+    )
+    fact = lambda name: F.coalesce(F.col(name), F.lit(False))
+    error = (
+        F.when(F.col("__batch").isNotNull(), F.col("__batch"))
+        .when(is_("completed") & fact("__open"), "completed_with_open_batches")
+        .when(~is_("completed") & ~fact("__open"), "all_batches_completed")
+        .when(is_("failed") & ~fact("__failed"), "failed_without_failed_batch")
+        .when(~is_("failed") & fact("__failed"), "failed_batch")
+        .when(is_("paused") & fact("__running"), "paused_with_running_batch")
+        .when(is_("pending") & fact("__begun"), "pending_but_begun")
+    )
+    return tasks.join(facts, key, "left").select(key, error.alias("error"))

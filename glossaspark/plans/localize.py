@@ -93,7 +93,8 @@ def rendered(mappings: DataFrame, accepted: DataFrame, language: str) -> DataFra
     """Files of a language from mappings and accepted translations."""
     c = F.col
     rows = mappings.join(accepted.select("segment_id", "target_text", c("ordinal").alias("task_ordinal")), "segment_id")
-    safe = render.fits_literal(c("target_text"), F.substring("source_code", c("literal_start") + 1, F.lit(1))) & render.tokens_kept(c("source_text"), c("target_text"))
+    stands = render.literal_stands(scripts.string_literals(c("source_code")), c("literal_start"), c("literal_end"), c("source_text"))
+    safe = stands & render.fits_literal(c("target_text"), F.substring("source_code", c("literal_start") + 1, F.lit(1))) & render.tokens_kept(c("source_text"), c("target_text"))
     content = render.fragment(c("kind"), c("source_file"), c("line_number"), c("source_code"), c("literal_start"), c("literal_end"), c("target_text"), F.lit(language), c("translation_identifier"))
     fragments = rows.select(
         "template_file",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..domains import LANGUAGE_NAMES, STAGE_PERCENT
 from ..functions import paths, records, text
 from ..operators import quality, render, state, tasks
+from ..sources.scripts import string_literals
 from .registry import query, table
 
 #: File names and folders in every class, spread over the documents.
@@ -264,6 +265,24 @@ def render_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", render.fits_literal(target, F.lit('"')).alias("fits"), render.tokens_kept(name, target).alias("tokens_kept"))
 
 
+@query("""
+SELECT p_partkey, p_size % 5 NOT IN (1, 2, 3, 4) AS stands FROM part
+""")
+def literal_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded literals against code that has gained a string, moved, changed, or become a comment."""
+    size, name = F.col("p_size") % 5, F.col("p_name")
+    said = F.concat(F.lit('aoi "'), name, F.lit('"'))
+    code = (
+        F.when(size == 1, F.concat(said, F.lit(" 'more'")))
+        .when(size == 2, F.concat(F.lit(" "), said))
+        .when(size == 3, F.concat(F.lit('aoi "'), name, F.lit('x"')))
+        .when(size == 4, F.concat(F.lit("# "), said))
+        .otherwise(F.concat(said, F.lit(" # 'comment'")))
+    )
+    stands = render.literal_stands(string_literals(code), F.lit(4), F.length(name) + 6, name)
+    return table(spark, sf_dir, "part").select("p_partkey", stands.alias("stands"))
+
+
 @query("""
 SELECT doc_id, 'low_confidence' AS outcome FROM (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN nfc_normalize(text) ELSE ' ' || text END AS t FROM documents) WHERE nfc_normalize(t) = nfc_normalize(text)
 """)

@@ -317,3 +317,32 @@ SELECT source AS project, count(*) FILTER (c = 'source') AS sources, count(*) FI
 def compat_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = table(spark, sf_dir, "documents").select(F.col("source").alias("project"), classify(F.expr(CLASSES)).alias("c"))
     return kinds.groupBy("project").agg(F.count_if(F.col("c") == "source").alias("sources"), F.count_if(F.col("c") == "archive").alias("archives"))
+
+
+STORED = """
+SELECT l_orderkey, l_linenumber, CASE l_partkey % 9 WHEN 0 THEN 'running' WHEN 1 THEN 'failed' WHEN 2 THEN 'pending' ELSE CASE WHEN l_orderkey % 3 = 0 THEN 'pending' ELSE 'completed' END END AS status,
+  CASE WHEN l_orderkey % 3 = 0 AND l_partkey % 9 > 1 THEN 0 ELSE l_suppkey % 3 END AS attempts, CASE WHEN l_partkey % 9 > 2 AND l_orderkey % 3 > 0 THEN 4 - CAST(l_partkey % 50 = 3 AS INTEGER) ELSE CAST(l_partkey % 40 = 1 AS INTEGER) END AS proposals,
+  4 AS segments, CASE WHEN l_suppkey % 4 > 0 THEN 'HTTP 400' END AS error FROM lineitem
+"""
+TASKS = "SELECT o_orderkey, CASE o_custkey % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'paused' WHEN 3 THEN 'failed' ELSE 'completed' END AS status FROM orders"
+
+
+@query(f"""
+WITH b AS ({STORED}), w AS (
+  SELECT *, CASE WHEN status = 'completed' AND proposals <> segments THEN 'completed_count' WHEN status <> 'completed' AND proposals > 0 THEN 'early_proposals'
+    WHEN status = 'running' AND attempts < 1 THEN 'running_without_attempt' WHEN status = 'failed' AND error IS NULL THEN 'failed_without_error' END AS wrong FROM b
+), f AS (
+  SELECT l_orderkey, arg_min(wrong, lpad(CAST(l_linenumber AS VARCHAR), 5, '0') || wrong) AS batch, bool_or(status <> 'completed') AS o, bool_or(status = 'failed') AS failed,
+    bool_or(status = 'running') AS running, bool_or(status <> 'pending' OR attempts <> 0) AS begun FROM w GROUP BY l_orderkey
+), t AS ({TASKS})
+SELECT o_orderkey, CASE WHEN batch IS NOT NULL THEN batch WHEN status = 'completed' AND coalesce(o, false) THEN 'completed_with_open_batches' WHEN status <> 'completed' AND NOT coalesce(o, false) THEN 'all_batches_completed'
+  WHEN status = 'failed' AND NOT coalesce(failed, false) THEN 'failed_without_failed_batch' WHEN status <> 'failed' AND coalesce(failed, false) THEN 'failed_batch'
+  WHEN status = 'paused' AND coalesce(running, false) THEN 'paused_with_running_batch' WHEN status = 'pending' AND coalesce(begun, false) THEN 'pending_but_begun' END AS error
+FROM t LEFT JOIN f ON l_orderkey = o_orderkey
+""")
+def checkpoint_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored tasks and their batches, held against all rules of a checkpoint."""
+    lines = spark.sql(STORED.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+    tasks = spark.sql(TASKS.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    batches = lines.withColumnsRenamed({"l_orderkey": "o_orderkey", "l_linenumber": "batch_index"})
+    return state.checkpoint_errors(tasks, batches, "o_orderkey")

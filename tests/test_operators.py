@@ -314,3 +314,30 @@ def test_repeated_fragments_and_other_columns_are_refused(spark):
     assert store.check_columns(df, df.columns) is df
     with pytest.raises(ValueError, match="expected"):
         store.check_columns(df, ["segment_id", "template_file"])
+
+
+def test_rules_of_a_checkpoint(spark):
+    """Each rule broken alone, in the order in which they are told."""
+    good = {"status": "completed", "attempts": 1, "proposals": 2, "segments": 2, "error": None}
+    cases = [
+        ("completed", [good], None),
+        ("completed", [], None),
+        ("running", [], "all_batches_completed"),
+        ("completed", [good | {"proposals": 1}], "completed_count"),
+        ("running", [good | {"status": "pending"}], "early_proposals"),
+        ("running", [good | {"status": "running", "proposals": 0, "attempts": 0}], "running_without_attempt"),
+        ("failed", [good | {"status": "failed", "proposals": 0, "error": ""}], "failed_without_error"),
+        ("failed", [good, good | {"status": "failed", "proposals": 0, "error": "e"}], None),
+        ("failed", [good, good | {"status": "pending", "proposals": 0}], "failed_without_failed_batch"),
+        ("completed", [good | {"status": "pending", "proposals": 0}], "completed_with_open_batches"),
+        ("running", [good | {"status": "failed", "proposals": 0, "error": "e"}], "failed_batch"),
+        ("paused", [good | {"status": "running", "proposals": 0}], "paused_with_running_batch"),
+        ("paused", [good | {"status": "pending", "proposals": 0}], None),
+        ("pending", [good | {"status": "pending", "proposals": 0, "attempts": 1}], "pending_but_begun"),
+        ("pending", [good | {"status": "pending", "proposals": 0, "attempts": 0}], None),
+        ("failed", [good | {"proposals": 3}, good | {"status": "pending"}], "completed_count"),
+    ]
+    tasks = spark.createDataFrame([(i, s) for i, (s, *_) in enumerate(cases)], "k int, status string")
+    rows = [(i, n, b["status"], b["attempts"], b["proposals"], b["segments"], b["error"]) for i, (_, batches, _) in enumerate(cases) for n, b in enumerate(batches)]
+    batches = spark.createDataFrame(rows, "k int, batch_index int, status string, attempts int, proposals int, segments int, error string")
+    assert {r["k"]: r["error"] for r in state.checkpoint_errors(tasks, batches, "k").collect()} == {i: c[2] for i, c in enumerate(cases)}
