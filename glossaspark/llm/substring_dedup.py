@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, delete_path, drop_scratch, gram_hashes, materialize, partitions, release, scratch_path
+from .common import WordHashes, delete_path, drop_scratch, gram_hashes, materialize, mix, partitions, release, scratch_path
 
 #: Multipliers of the two halves of window digests; that of the fingerprints differs.
 DIGEST = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -123,10 +123,23 @@ class FingerprintIndex:
         self.runs = []
 
 
-def _digests(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """96-bit digest of each window, as a long and an int."""
-    first, second = (gram_hashes(hashes, window, factor) for factor in DIGEST)
-    return first, (second >> np.uint64(32)).astype(np.uint32)
+def _digests(hashes: np.ndarray, window: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96-bit digests of the windows that start ``at`` these words, as longs and ints."""
+
+    def of(factor: int) -> np.ndarray:
+        if 4 * len(at) > len(hashes):
+            return gram_hashes(hashes, window, factor)[at]
+        out = hashes[at]
+        for i in range(1, window):
+            out = out * np.uint64(factor) + hashes[at + i]
+        return mix(out)
+
+    return of(DIGEST[0]), (of(DIGEST[1]) >> np.uint64(32)).astype(np.uint32)
+
+
+def _among(values: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted marks, of which there is at least one."""
+    return marks[np.minimum(np.searchsorted(marks, values), len(marks) - 1)] == values
 
 
 def _windows(window: int, gram: int):
@@ -141,9 +154,9 @@ def _windows(window: int, gram: int):
                 found, ids = [], piece.column(0).to_pylist()
                 for text, shared in zip(piece.column(1), piece.column(2), strict=True):
                     hashes = cache.of(_tokens(text.as_py()))
-                    marks = shared.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                    hit = np.isin(window_fingerprints(hashes, window, gram), marks)
-                    one, two = (d[hit] for d in _digests(hashes, window))
+                    marks = np.sort(shared.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                    hit = np.flatnonzero(_among(window_fingerprints(hashes, window, gram), marks))
+                    one, two = _digests(hashes, window, hit)
                     one, at = np.unique(one, return_index=True)
                     found.append((one, two[at]))
                 yield pa.RecordBatch.from_arrays(
@@ -171,8 +184,7 @@ def _removed(window: int):
                     if digests.is_valid and len(tokens) >= window:
                         marks = np.sort(digests.values.to_numpy(zero_copy_only=False).view(np.uint64))
                         here = gram_hashes(cache.of(tokens), window, DIGEST[0])
-                        at = np.minimum(np.searchsorted(marks, here), len(marks) - 1)
-                        hit = marks[at] == here
+                        hit = _among(here, marks)
                         edges = np.zeros(len(tokens) + 1, dtype=np.int64)
                         edges[: len(hit)] += hit
                         edges[window : window + len(hit)] -= hit
