@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..domains import STAGE_PERCENT
@@ -22,33 +22,36 @@ def valid_progress(stage: Column, message: Column, done: Column, total: Column)
     return stage.isin(*STAGE_PERCENT) & text.checked_string(message, 2000) & counts
 
 
+def line_error(line: Column, e: Column) -> Column:
+    """What is wrong with a line and its event, apart from its place in the run; null for a good one."""
+    keys = F.json_object_keys(line)
+    allowed = F.array(*[F.lit(k) for k in PROGRESS])
+    progress = e["type"] == "progress"
+    good = valid_progress(e["stage"], e["message"], e["completed_batches"], e["total_batches"])
+    return (
+        F.when(F.octet_length(line) > MOST_BYTES, "line_too_long")
+        .when(keys.isNull(), "no_object")
+        .when(~records.is_integer(line, "schema_version") | (e["schema_version"] != VERSION), "version")
+        .when(progress & (F.size(F.array_except(keys, allowed)) > 0), "unknown_fields")
+        .when(progress & ~F.coalesce(good, F.lit(False)), "progress")
+        .when(F.coalesce(~progress & ~e["type"].isin(*ENDS), F.lit(True)), "type")
+    )
+
+
 def parsed(lines: DataFrame) -> DataFrame:
     """Events of (run, line_no, line) with ``error``: line_too_long, no_object,
     unknown_fields, version, progress, type, or after_end for what follows a run's
     terminal event; null for a good line. A run is one process's output."""
-    e = F.from_json("line", SCHEMA)
-    allowed = F.array(*[F.lit(k) for k in PROGRESS])
-    rows = lines.withColumn("e", e).withColumn("keys", F.json_object_keys("line"))
-    ends = F.col("e.type").isin(*ENDS)
-    before = Window.partitionBy("run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    error = (
-        F.when(F.octet_length("line") > MOST_BYTES, "line_too_long")
-        .when(F.col("keys").isNull(), "no_object")
-        .when(~records.is_integer(F.col("line"), "schema_version") | (F.col("e.schema_version") != VERSION), "version")
-        .when((F.col("e.type") == "progress") & (F.size(F.array_except("keys", allowed)) > 0), "unknown_fields")
-        .when(
-            (F.col("e.type") == "progress")
-            & ~F.coalesce(valid_progress(F.col("e.stage"), F.col("e.message"), F.col("e.completed_batches"), F.col("e.total_batches")), F.lit(False)),
-            "progress",
-        )
-        .when(F.coalesce((F.col("e.type") != "progress") & ~ends, F.lit(True)), "type")
-        .when(F.coalesce(F.max(ends.cast("int")).over(before), F.lit(0)) == 1, "after_end")
-    )
-    return rows.withColumn("error", error).select("run", "line_no", "e.*", "error")
+    rows = lines.withColumn("e", F.from_json("line", SCHEMA)).withColumn("error", line_error(F.col("line"), F.col("e")))
+    end = F.min(F.when(F.col("error").isNull() & F.col("e.type").isin(*ENDS), F.col("line_no"))).alias("end_no")
+    ends = rows.groupBy("run").agg(end)
+    late = F.coalesce(F.col("line_no") > F.col("end_no"), F.lit(False))
+    return rows.join(ends, "run").withColumn("error", F.when(late, "after_end").otherwise(F.col("error"))).select("run", "line_no", "e.*", "error")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Events of files of lines; each file is a run."""
-    numbered = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("run"), F.col("value"))
+    """Events of finished files of lines; each file is a run and read whole. For files that grow, and large ones, see
+    :mod:`glossaspark.streaming.event_lines`."""
+    numbered = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("run"), F.col("value"))
     rows = numbered.select("run", F.posexplode(F.split(F.regexp_replace("value", "\\r?\\n\\z", ""), "\\r?\\n", -1)).alias("line_no", "line"))
     return parsed(rows)
