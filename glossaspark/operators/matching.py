@@ -53,6 +53,18 @@ def set_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return left.join(right, key, "full").where("in_a IS NULL OR in_b IS NULL").select(key, F.when(F.col("in_a"), "a").otherwise("b").alias("side"))
 
 
+def replaced(rows: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+    """``rows`` with those of ``updates`` (same columns) in place of the ones of their key. An
+    update for a key that isn't there stops the query; so does a repeated one."""
+    rest = [c for c in rows.columns if c != key]
+    one = F.when(F.count("*") == 1, F.first(F.struct(*rest))).otherwise(F.raise_error(F.concat(F.lit("updated twice: "), F.col(key).cast("string"))))
+    new = updates.groupBy(key).agg(one.alias("__new"))
+    joined = rows.select(key, F.struct(*rest).alias("__old")).join(new, key, "full")
+    absent = F.raise_error(F.concat(F.lit("nothing to update: "), F.col(key).cast("string")))
+    held = F.when(F.col("__old").isNull(), absent).otherwise(F.coalesce("__new", "__old"))
+    return joined.select(key, held.alias("__held")).select(key, *[F.col("__held")[c].alias(c) for c in rest]).select(*rows.columns)
+
+
 def changed(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
     """Keys that were added, removed or changed between two snapshots."""
     joined = before.select(key, F.col(value).alias("__old")).join(after.select(key, F.col(value).alias("__new")), key, "full")

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from ..storage import written
 
 
+def exceeds(rows: DataFrame, limit: int) -> bool:
+    """Whether there are more than ``limit`` rows. The scan takes partitions a few at a time and ends at the first
+    row beyond the limit; ``limit`` + 1 empty rows at most reach the driver."""
+    return len(rows.select(F.lit(1)).take(limit + 1)) > limit
+
+
 def with_ordinal(df: DataFrame, key: str, alias: str = "ordinal", pieces: int = 64) -> DataFrame:
     """Number rows from 0 by an ordered key, without one task for all of them.
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Callable
+
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import services
+from ..sources.snapshots import file_system
 
 RECEIPTS = "batch_id string, seq long, status string, error string, body string"
 UNANSWERED = "the service has not answered yet"
@@ -36,7 +42,8 @@ def send(batches: DataFrame, store: str, backend: services.Backend, run: str, re
     An ``unknown`` receipt is stored for each before anything is sent. Where a run ends
     between the two, the receipt stays unknown and the batch isn't sent again: only
     :func:`recover` settles it. ``run`` names the run and can't be used twice. A task
-    that is tried again inside a run sends its batches again, with the same payload.
+    that Spark tries again, in a stage tried again or beside another attempt, finds the marks of the first
+    one and leaves its batches unknown (:func:`fence`).
     """
     spark = batches.sparkSession
     known = receipts(spark, store).select("batch_id", "seq", "status")
@@ -44,10 +51,29 @@ def send(batches: DataFrame, store: str, backend: services.Backend, run: str, re
     open_ = batches.select("batch_id").distinct().join(known, "batch_id", "left").where(free)
     next_seq = F.coalesce(F.col("seq") + 1, F.lit(0))
     claims = _stored(open_.withColumn("seq", next_seq).withColumn("status", F.lit("unknown")).withColumn("error", F.lit(UNANSWERED)).withColumn("body", F.lit(None)), store, f"{run}-claims")
-    sent = services.submitted(batches.join(claims.select("batch_id"), "batch_id", "left_semi"), backend)
+    sent = services.submitted(batches.join(claims.select("batch_id"), "batch_id", "left_semi"), backend, fence(f"{store}/_fences/{run}"))
     return _settled(sent.join(claims.select("batch_id", "seq"), "batch_id"), batches, store, f"{run}-answers")
 
 
+def fence(folder: str) -> Callable[[str], bool]:
+    """A test for tasks: whether this attempt is the only one that has come to send a batch.
+
+    Each attempt writes a mark of its own for the batch and then lists all marks. A later attempt sees the
+    earlier mark and doesn't send; of two at once at least one sees both, so at most one sends and perhaps none,
+    which :func:`recover` finds out. The store's listing must show what was written before it.
+    """
+
+    def alone(batch_id: str) -> bool:
+        store, base = file_system(folder)
+        place = f"{base}/{hashlib.sha256(batch_id.encode()).hexdigest()}"
+        store.create_dir(place, recursive=True)
+        with store.open_output_stream(f"{place}/{uuid.uuid4().hex}"):
+            pass
+        return len(store.get_file_info(arrow_fs.FileSelector(place))) == 1
+
+    return alone
+
+
 def recover(batches: DataFrame, store: str, lookup: services.Backend, run: str) -> DataFrame:
     """Ask the service for the outcome of the batches whose receipt is unknown."""
     unknown = receipts(batches.sparkSession, store).where("status = 'unknown'").select("batch_id", "seq")
@@ -95,5 +121,6 @@ def _settled(answers: DataFrame, batches: DataFrame, store: str, name: str) -> D
     judged = answers.join(batches.select("batch_id", "segment_ids"), "batch_id").withColumn(
         "status", services.outcome(F.col("http_status"), services.reply_items(F.col("body")), F.col("segment_ids"))
     )
-    error = F.when(F.col("status") != "succeeded", F.concat(F.lit("HTTP "), F.col("http_status").cast("string")))
+    refused = F.coalesce(F.concat(F.lit("HTTP "), F.col("http_status").cast("string")), F.lit("another attempt has begun to send it"))
+    error = F.when(F.col("status") != "succeeded", refused)
     return _stored(judged.withColumn("error", error).withColumn("seq", F.col("seq") + 1), store, name)

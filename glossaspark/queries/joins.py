@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.unicode import path_key
-from ..operators import matching, quality, render, sequences, store, tasks
+from ..operators import digest_tree, matching, quality, render, sequences, store, tasks
 from ..sources.projects import by_parts
+from ..storage import scratch_path
 from .registry import query, table
 
 LINES = """
@@ -212,6 +213,35 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.changed(before, after, "doc_id", "h")
 
 
+@query("""
+WITH a AS (SELECT concat(coalesce(source, ''), '/', coalesce(lang, ''), '/', doc_id) AS path, sha256(text) AS h, doc_id, source, text FROM documents), b AS (SELECT path, CASE WHEN source = (SELECT min(source) FROM documents) AND doc_id % 4 = 0 THEN sha256(concat(text, ' ')) ELSE h END AS h FROM a WHERE source <> (SELECT max(source) FROM documents) OR doc_id % 5 > 0 OR source IS NULL)
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.path = b.path WHERE a.h IS DISTINCT FROM b.h
+""")
+def staged_export_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stored snapshots of an export, compared by branches of folders: one source is edited, one loses files."""
+    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"))
+    docs = table(spark, sf_dir, "documents").select(path.alias("path"), "doc_id", "source", "text")
+    first, last = docs.agg(F.min("source"), F.max("source")).first()
+    edited = (F.col("source") == first) & (F.col("doc_id") % 4 == 0)
+    gone = F.coalesce((F.col("source") == last) & (F.col("doc_id") % 5 == 0), F.lit(False))
+    before, after = scratch_path(spark, "export-before"), scratch_path(spark, "export-after")
+    digest_tree.store(docs.select("path", F.sha2("text", 256).alias("digest")), before)
+    after_text = F.when(edited, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
+    digest_tree.store(docs.where(~gone).select("path", F.sha2(after_text, 256).alias("digest")), after)
+    return digest_tree.changes(spark, before, after)
+
+
+@query("""
+SELECT o_orderkey, coalesce(s, o_orderstatus) AS status FROM orders LEFT JOIN (SELECT l_orderkey, CASE WHEN count(*) FILTER (l_linestatus = 'O') > 0 THEN 'running' ELSE 'completed' END AS s FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey) ON l_orderkey = o_orderkey
+""")
+def batch_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses of batches replaced by id."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    lines = table(spark, sf_dir, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    open_ = F.when(F.count_if(F.col("l_linestatus") == "O") > 0, "running").otherwise("completed")
+    return matching.replaced(orders, lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(open_.alias("status")), "o_orderkey")
+
+
 EXTENTS = "SELECT l_orderkey, l_suppkey * 7 % 90 AS start, CAST(l_quantity AS BIGINT) % 9 + 1 AS size FROM lineitem"
 
 

@@ -312,11 +312,13 @@ def compat_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT source AS project, count(*) FILTER (c = 'source') AS sources, count(*) FILTER (c = 'archive') AS archives FROM (SELECT source, CASE WHEN starts_with(path, 'tl/') AND regexp_matches(lower(path), '\\.rpym?c?$') THEN 'translation' WHEN regexp_matches(lower(path), '\\.rpym?$') THEN 'source' WHEN lower(path) LIKE '%.rpa' THEN 'archive' END AS c FROM (SELECT source, {CLASSES} AS path FROM documents)) GROUP BY source
+SELECT source AS project, count(*) FILTER (c = 'source') AS sources, count(*) FILTER (c = 'compiled') AS compiled, count(*) FILTER (c = 'archive') AS archives, count(*) FILTER (c = 'translation') AS translations
+FROM (SELECT source, CASE WHEN starts_with(path, 'tl/') AND regexp_matches(lower(path), '\\.rpym?c?$') THEN 'translation' WHEN regexp_matches(lower(path), '\\.rpym?$') THEN 'source' WHEN regexp_matches(lower(path), '\\.rpym?c$') THEN 'compiled' WHEN lower(path) LIKE '%.rpa' THEN 'archive' END AS c FROM (SELECT source, {CLASSES} AS path FROM documents)) GROUP BY source
 """)
 def compat_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = table(spark, sf_dir, "documents").select(F.col("source").alias("project"), classify(F.expr(CLASSES)).alias("c"))
-    return kinds.groupBy("project").agg(F.count_if(F.col("c") == "source").alias("sources"), F.count_if(F.col("c") == "archive").alias("archives"))
+    count = lambda kind, name: F.count_if(F.col("c") == kind).alias(name)
+    return kinds.groupBy("project").agg(count("source", "sources"), count("compiled", "compiled"), count("archive", "archives"), count("translation", "translations"))
 
 
 STORED = """

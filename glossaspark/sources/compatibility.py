@@ -63,6 +63,18 @@ def presentation(found: Column) -> Column:
     return out
 
 
+def summary(found: Column) -> Column:
+    """One sentence on a status, in the language of its users."""
+    # The sentences that a report shows.
+    told = {
+        "source_ready": "发现可读的 Ren'Py 源脚本；当前 source-only 流程可以继续。",
+        "packaged_requires_import": "已识别为 Ren'Py 成品结构；当前自动流程不能直接继续，且不会反编译编译脚本。",
+        "uncertain": "发现部分 Ren'Py 线索，但证据不足或扫描不完整；已安全停止。",
+        "not_renpy": "没有发现足以确认 Ren'Py 项目的证据。",
+    }
+    return F.create_map(*[F.lit(x) for pair in told.items() for x in pair])[found]
+
+
 class Unbounded(ValueError):
     """A folder that is too deep or holds too many entries."""
 
@@ -117,4 +129,4 @@ def report(entries: DataFrame) -> DataFrame:
         F.coalesce(F.bool_or(is_launcher(F.col("path")) & ~F.col("is_dir")), F.lit(False)).alias("launcher"),
         F.coalesce(F.bool_or((F.lower("path") == "renpy") & F.col("is_dir")), F.lit(False)).alias("runtime"),
     )
-    return counts.withColumn("status", status())
+    return counts.withColumn("status", status()).withColumn("summary", summary(F.col("status")))

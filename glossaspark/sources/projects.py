@@ -18,7 +18,8 @@ def files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     rows = reader.load(root)
     base = F.regexp_replace(F.regexp_replace(F.lit(root), "^file:/*", "/"), "/+$", "")
     whole = F.regexp_replace("path", "^file:/*", "/")
-    return rows.select(F.substring(whole, F.length(base) + 2, F.length(whole)).alias("path"), "content")
+    inner = F.when(whole == base, F.regexp_extract(whole, "[^/]*$", 0)).otherwise(F.substring(whole, F.length(base) + 2, F.length(whole)))
+    return rows.select(inner.alias("path"), "content")
 
 
 def by_parts(path: Column) -> Column:
@@ -47,9 +48,22 @@ def scan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 
 def scripts(spark: SparkSession, root: str) -> DataFrame:
-    """Decoded scripts (path, text, encoding, has_bom, size_bytes, sha256) of a project."""
-    found = files(spark, root, "*.[rR][pP][yY]*")
-    return decoded_files(found.where(~paths.ignored(F.col("path")) & paths.suffix(F.col("path")).isin(".rpy", ".rpym")))
+    """Decoded scripts (path, text, encoding, has_bom, size_bytes, sha256) of a project, or
+    the one script that ``root`` is, under its own name and with any ending. A folder without scripts is an error."""
+    found = files(spark, root, "*.[rR][pP][yY]*") if _is_folder(spark, root) else files(spark, root)
+    wanted = found.where((F.col("path") == _name(root)) | (~paths.ignored(F.col("path")) & paths.suffix(F.col("path")).isin(".rpy", ".rpym")))
+    if wanted.select("path").isEmpty():
+        raise ValueError(f"there are no scripts below {root}")
+    return decoded_files(wanted)
+
+
+def _is_folder(spark: SparkSession, root: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+
+
+def _name(root: str) -> str:
+    return root.rstrip("/").rsplit("/", 1)[-1]
 
 
 def translatable(path: Column) -> Column:

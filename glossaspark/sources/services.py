@@ -21,13 +21,15 @@ REPLY = "struct<id:string,choices:array<struct<message:struct<content:string>>>>
 CONTENT = "array<struct<segment_id:string,target_text:string>>"
 
 
-def submitted(batches: DataFrame, backend: Backend) -> DataFrame:
-    """``batches`` (batch_id, payload) with http_status and body of each reply."""
+def submitted(batches: DataFrame, backend: Backend, may_send: Callable[[str], bool] | None = None) -> DataFrame:
+    """``batches`` (batch_id, payload) with http_status and body of each reply, both null
+    for a batch that ``may_send`` withholds."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            replies = [backend(p) for p in frame["payload"]]
-            yield frame.assign(http_status=[r[0] for r in replies], body=[r[1] for r in replies])
+            replies = [backend(p) if may_send is None or may_send(b) else (None, None) for b, p in zip(frame["batch_id"], frame["payload"])]
+            status = pd.array([r[0] for r in replies], dtype="Int32")
+            yield frame.assign(http_status=status, body=[r[1] for r in replies])
 
     return batches.select("batch_id", "payload").mapInPandas(run, "batch_id string, payload string, http_status int, body string")
 

@@ -31,6 +31,8 @@ class SnapshotError(ValueError):
 
 def file_system(path: str) -> tuple[arrow_fs.FileSystem, str]:
     """The file system of a path or URI, and the path there."""
+    if path.startswith("file:"):
+        return arrow_fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
     return arrow_fs.FileSystem.from_uri(path) if "://" in path else (arrow_fs.LocalFileSystem(), path)
 
 
