@@ -63,6 +63,8 @@ NAMED = re.compile(NAME)
 CAPITAL = re.compile(r"[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]*")
 #: Words that a name of :data:`NAME` begins with.
 HEADS = frozenset((*FEMALE_TITLES, *MALE_TITLES, *TITLES, *FEMALE, *MALE, *FEMALE_CYRILLIC, *MALE_CYRILLIC))
+#: A whole word that begins with a capital, as all parts of names do.
+WHOLE = re.compile(r"\b[A-ZÀ-ÖØ-ÞА-ЯЁ]\w*")
 RUN = re.compile(rf"(?<![\w-]){_capital}[ ]{_capital}(?:[ ]{_capital})?(?![\w-])")
 PAIR = re.compile(rf"(?<![\w-]){_capital}[ ]{_capital}")
 CUED = re.compile(rf"\b(?:{'|'.join(CUES)})\s\Z")
@@ -210,8 +212,8 @@ def names(text: str) -> Iterator[tuple[int, str]]:
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical value) of each entity of a text, in order. The
     canonical value is the same for all spellings of an entity. The parts of a name
-    count wherever the same text has them, also alone."""
-    found, parts = [], {}
+    count wherever the same text has them, also alone or, with three letters and more, in capitals."""
+    found, parts, capitals = [], {}, {}
     if MARKED.search(text):
         for m in ENTITY.finditer(text):
             start, end = m.start(), m.end()
@@ -242,21 +244,24 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             found.append((at, at + len(part), kind, value))
             at += len(part)
             if len(part) > 1:  # initials are no mention
-                parts |= {form: (kind, value) for form in ((value, value + "а") if kind == "family2" else (part,))}
+                forms = (value, value + "а") if kind == "family2" else (part,)
+                parts |= {form: (kind, value) for form in forms}
+                capitals |= {form.upper(): (kind, value) for form in forms if len(form) > 2 and len(form.upper()) == len(form)}
     found.sort()
     out, end = [], 0
     for e in found:
         if e[0] >= end:
             out.append(e)
             end = e[1]
-    return _with_mentions(text, out, parts) if parts else out
+    return _with_mentions(text, out, capitals | parts) if parts else out
 
 
 def _with_mentions(text: str, found: list[tuple[int, int, str, str]], parts: dict[str, tuple[str, str]]) -> list[tuple[int, int, str, str]]:
     """Entities, and between them the words that are parts of a name of the text."""
     out, k = [], 0
-    mention = re.compile(rf"\b(?:{'|'.join(sorted(map(re.escape, parts), key=len, reverse=True))})\b")
-    for m in mention.finditer(text):
+    for m in WHOLE.finditer(text):
+        if m[0] not in parts:
+            continue
         while k < len(found) and found[k][1] <= m.start():
             out.append(found[k])
             k += 1
@@ -265,6 +270,10 @@ def _with_mentions(text: str, found: list[tuple[int, int, str, str]], parts: dic
     return out + found[k:]
 
 
+#: Kinds of names that come from closed lists.
+LISTED = frozenset(("female", "male", "family", "female2", "male2", "family2"))
+
+
 def _written(kind: str, original: str, surrogate: str) -> str:
     """The surrogate in the format of the occurrence."""
     if kind in ("phone", "card", "national"):
@@ -272,9 +281,9 @@ def _written(kind: str, original: str, surrogate: str) -> str:
         return "".join(next(digits) if "0" <= c <= "9" else c for c in original)
     if kind in ("email", "word"):
         return _cased(original, surrogate)
-    if kind == "family2" and original.endswith("а"):
-        return surrogate + "а"
-    return surrogate
+    if kind == "family2" and original[-1] in "аА":
+        surrogate += "а"
+    return surrogate.upper() if len(original) > 2 and original.isupper() and kind in LISTED else surrogate
 
 
 def replaced(text: str | None, surrogates: Surrogates, attempts: dict[tuple[str, str], int]) -> tuple[str | None, int]:
