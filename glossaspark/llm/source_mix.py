@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import sequences
 from .common import materialize, n_words
 
 
@@ -30,6 +31,33 @@ def source_targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (1
     return out
 
 
+def targets_of(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: int = 3) -> DataFrame:
+    """:func:`source_targets` over a written table (key, order, words) of any number of sources, which
+    stay in Spark: (key, source_size, target).
+
+    Sources are numbered by ranges of ``order``. What is left and the weight of those below their limit
+    are two sums, and all sources whose share goes over the limit leave in one round of them, as there; a round takes no more
+    than one pass over the table, and the driver sees its two numbers.
+    """
+    weight = F.array(*[F.lit(float(w)) for w in weights])
+    placed = sequences.positions(sizes.withColumn("all", F.lit(0)), ["all"], ["order"], "place")
+    rows = materialize(placed.select("key", F.col("words").alias("source_size"), F.get(weight, ((F.col("place") - 1) % len(weights)).cast("int")).alias("weight")), "weights")
+    stop = F.col("source_size") * limit
+    words = rows.agg(F.sum("source_size")).first()[0] or 0
+    full = F.lit(False)
+    while True:
+        held, total, n = rows.agg(F.sum(F.when(full, stop)), F.sum(F.when(~full, F.col("weight"))), F.count_if(full)).first()
+        if not total:
+            break
+        left = float(words - (held or 0))
+        share = F.lit(left) * F.col("weight") / F.lit(total)
+        wider = full | (share > stop)
+        if rows.where(wider).count() == n:
+            return rows.select("key", "source_size", F.when(full, stop.cast("double")).otherwise(share).alias("target"))
+        full = wider
+    return rows.select("key", "source_size", stop.cast("double").alias("target"))
+
+
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, bound: int = 1 << 15) -> np.ndarray:
     """How many documents of each length to take so that their words come as near to
     ``budget`` from below as possible.
@@ -115,7 +143,7 @@ def mix_sources(
     The choice first settles hash ranges of a length by their counts, so a length that
     a third of all documents have is never sorted in one task.
 
-    The driver sees one row per source. Returns (doc_id, source, size, source_size,
+    The driver sees sums only (:func:`targets_of`). Returns (doc_id, source, size, source_size,
     target, times, taken), one row per row of ``docs``; taken = times * size. Sources
     of no words have target 0. Rows without source form one source, which comes last.
     Repeated rows are documents each; null ids are allowed; other columns are ignored.
@@ -129,12 +157,9 @@ def mix_sources(
         .withColumn("salt", F.pmod("hash", F.lit(salts)).cast("int")),
         "sized",
     )
-    spark = docs.sparkSession
-    totals = {r["key"]: r["words"] for r in sized.groupBy("key").agg(F.sum("size").alias("words")).collect()}
-    goal = source_targets({(k[1:] if k else None): v for k, v in totals.items()}, weights, limit)
-    targets = spark.createDataFrame(
-        [(k, int(v), float(goal[k[1:] if k else None])) for k, v in totals.items()], "key string, source_size long, target double"
-    )
+    order = F.when(F.col("key") == "", "1").otherwise(F.concat(F.lit("0"), F.col("key")))
+    sizes = materialize(sized.groupBy("key").agg(F.sum("size").alias("words")).withColumn("order", order), "sources")
+    targets = materialize(targets_of(sizes, weights, limit), "targets")
     lengths = sized.groupBy("key", "size", "salt").agg(F.count("*").alias("n"))
     lengths = materialize(lengths, "lengths")
     fitted = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import re
 from itertools import combinations
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from glossaspark.llm.packing import optimal_widths, packed_batches
 from glossaspark.llm.quotations import as_mails, conversations, link_quotations, parse_message, reply_order
-from glossaspark.llm.source_mix import fit_lengths, mix_sources, mixed_documents, source_targets
+from glossaspark.llm.source_mix import fit_lengths, mix_sources, mixed_documents, source_targets, targets_of
 from glossaspark.llm.surrogates import Surrogates, entities, replaced, retried, with_surrogates
 from glossaspark.llm.topk_search import quantised, top_k_inner_products
 
@@ -31,6 +32,17 @@ def test_targets_fill_and_stop():
     assert source_targets({}) == {}
 
 
+def test_targets_in_spark_are_those_of_the_rule(spark):
+    rng = random.Random(6)
+    for case in range(6):
+        names = [None, *(f"s{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 40))), "", "é", "\U0001f600", "\uffff"]
+        sizes = {n: 0 if case == 0 else int(10 ** (rng.random() * rng.choice((1, 3, 9)))) for n in dict.fromkeys(names)}
+        rows = spark.createDataFrame([("" if n is None else "=" + n, "1" if n is None else "0=" + n, v) for n, v in sizes.items()], "key string, order string, words long")
+        found = {r["key"]: (r["source_size"], r["target"]) for r in targets_of(rows, (1, 2, 3), 3).collect()}
+        assert found == {("" if n is None else "=" + n): (sizes[n], t) for n, t in source_targets(sizes).items()}
+    assert targets_of(spark.createDataFrame([], "key string, order string, words long")).count() == 0
+
+
 def test_fit_reaches_the_best_sum():
     rng = np.random.default_rng(4)
     for _ in range(60):
@@ -408,3 +420,16 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, now, DATA)
     assert packed.agg(F.sum("n_tokens")).first()[0] == now.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0]
     assert corpus_pipeline.run(spark, DATA).count() == packed.count()
+
+
+def test_mentions_in_capitals_and_many_names():
+    surrogates = Surrogates(KEY)
+    text, n = replaced("My name is Kwame Mensah. MENSAH wrote, Mensah_1 and Mensahs stay. Mrs Anna Petrov came; PETROV left.", surrogates, {})
+    assert n == 6 and "MENSAH" not in text and "PETROV" not in text and "Mensah_1" in text and "Mensahs" in text
+    family = text.split("My name is ")[1].split(".")[0].split()[-1]
+    assert f". {family.upper()} wrote" in text
+    letters = "abcdefghijklmnopqrst"
+    many = [f"Q{a}{b}{c}{d}" for a in letters for b in letters for c in letters for d in "ab"][:16_000]
+    long = " ".join(f"Mr {x} left, {x} said so." for x in many)
+    started = time.time()
+    assert len(entities(long)) == 2 * len(many) and time.time() - started < 20
