@@ -6,15 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identity
-from ..functions.unicode import nfc
+from ..functions.unicode import same_nfc
 
 
 def assessed(pairs: DataFrame, source: str = "source_text", target: str = "target_text") -> DataFrame:
     """``outcome`` and ``codes``: low confidence where the text is unchanged after
-    Unicode normalisation. Texts of ASCII only need no normalisation and stay in the JVM."""
-    plain = F.col(source).rlike(r"^[\x00-\x7f]*\z") & F.col(target).rlike(r"^[\x00-\x7f]*\z")
-    same = F.when(plain, F.col(source) == F.col(target)).otherwise(nfc(F.col(source)) == nfc(F.col(target)))
-    same = F.coalesce(same, F.lit(False))
+    Unicode normalisation. Texts that are equal as they are, and texts that normalisation
+    can't change, stay in the JVM."""
+    same = F.coalesce(same_nfc(F.col(source), F.col(target)), F.lit(False))
     return pairs.withColumn("outcome", F.when(same, "low_confidence").otherwise("clear")).withColumn(
         "codes", F.when(same, F.array(F.lit("source_text_unchanged"))).otherwise(F.array().cast("array<string>"))
     )

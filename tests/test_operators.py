@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glossaspark.domains import TASK_MOVES
 from glossaspark.functions import identity, paths, text
-from glossaspark.operators import sequences, state, store
+from glossaspark.operators import quality, sequences, state, store
 from glossaspark.operators.versioned import VersionedStore
 from glossaspark.plans import localize
 from glossaspark.queries.processes import echo
@@ -56,6 +56,25 @@ def test_canonical_json_as_in_python(spark):
         assert r["x"] == json.dumps({"a": r["t"], "b": None}, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
+def test_only_open_pairs_of_texts_reach_python(spark):
+    """Texts that normalisation can't change are compared in the JVM."""
+    import unicodedata
+
+    from glossaspark.functions.unicode import STABLE
+
+    nfc = lambda t: unicodedata.normalize("NFC", t)
+    ends = [[int(x, 16) for x in re.findall(r"x\{([0-9a-f]+)\}", part)] for part in re.findall(r"[^-]+-[^}]+\}", STABLE)]
+    for c in (chr(i) for low, high in ends for i in range(low, high + 1)):
+        assert nfc(c) == c and all(nfc(x + c) == nfc(x) + c for x in ("a", "e\u0301", "\u1100", "\uac00", "\u0bc6"))
+    texts = ["caf\u00e9", "cafe\u0301", "cafe", "\u201cu\u201d", "\u212b", "\u00c5", "A\u030a", "", None, "\uac01", "\u1100\u1161\u11a8", "\u65e5", "\U0001d15e", "\n"]
+    found = quality.assessed(spark.createDataFrame([(a, b) for a in texts for b in texts], "source_text string, target_text string"))
+    for r in found.collect():
+        a, b = r["source_text"], r["target_text"]
+        assert (r["outcome"] == "low_confidence") == (a is not None and b is not None and nfc(a) == nfc(b)), (a, b)
+    calls = re.findall(r"nfc\(.{12}", found._jdf.queryExecution().optimizedPlan().toString())
+    assert calls and all(c.startswith(("nfc(CASE WHEN", "nfc(_", "nfc(if")) for c in calls), calls
+
+
 def test_indent_and_strings(spark):
     df = spark.createDataFrame([(" \tx", 4), ("\t\tx", 8), ("   \t x", 5), ("x", 0), ("", 0)], "t string, n int")
     assert df.where(text.indent(F.col("t")) != F.col("n")).count() == 0
