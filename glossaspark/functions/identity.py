@@ -12,10 +12,11 @@ UPPER_ESCAPES = ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F")
 def canonical_json(value: Column) -> Column:
     """JSON of a struct whose fields are in alphabetical order: no blanks, non-ASCII
     kept, nulls written, escapes in lower case."""
-    out = F.to_json(value, {"ignoreNullFields": "false"})
+    out = escaped = F.to_json(value, {"ignoreNullFields": "false"})
     for code in UPPER_ESCAPES:
-        out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\u00{code.lower()}")
-    return out
+        escaped = F.regexp_replace(escaped, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\u00{code.lower()}")
+    # nearly no text holds such an escape, and a pattern costs more than the JSON itself
+    return F.when(out.contains("\\u00"), escaped).otherwise(out)
 
 
 def digest(prefix: str, text: Column) -> Column:

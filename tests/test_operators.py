@@ -56,6 +56,13 @@ def test_canonical_json_as_in_python(spark):
         assert r["x"] == json.dumps({"a": r["t"], "b": None}, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
+def test_escapes_are_looked_for_before_they_are_replaced(spark):
+    """The nine patterns run on texts with a control character only."""
+    df = spark.range(1).select(identity.canonical_json(F.struct(F.col("id").cast("string").alias("a"))).alias("x"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert re.match(r"Project \[CASE WHEN Contains\(", plan) and plan.count("regexp_replace") == len(identity.UPPER_ESCAPES)
+
+
 def test_only_open_pairs_of_texts_reach_python(spark):
     """Texts that normalisation can't change are compared in the JVM."""
     import unicodedata
