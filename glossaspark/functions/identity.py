@@ -24,6 +24,19 @@ def digest(prefix: str, text: Column) -> Column:
     return F.concat(F.lit(prefix + "_"), F.left(F.sha2(text, 256), F.lit(24)))
 
 
+def packed(text: Column) -> Column:
+    """A text as bytes for shuffles: one of lower-case hex digits in half its length. The
+    first byte names the form, so different texts have different bytes."""
+    pairs = text.rlike(r"^(?:[0-9a-f]{2})+\z")
+    return F.when(pairs, F.concat(F.lit(b"\x01"), F.unhex(text))).otherwise(F.concat(F.lit(b"\x00"), F.encode(text, "UTF-8")))
+
+
+def unpacked(value: Column) -> Column:
+    """The text of :func:`packed`."""
+    rest = F.substring(value, 2, 1 << 30)
+    return F.when(F.substring(value, 1, 1) == F.lit(b"\x01"), F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8"))
+
+
 def segment_id(source: Column, scene: Column, kind: Column, speaker: Column, text: Column, occurrence: Column) -> Column:
     """Identity of a segment: not its line, but its place among equal ones."""
     parts = (source, scene, kind, F.coalesce(speaker, F.lit("")), text, occurrence)

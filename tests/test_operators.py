@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glossaspark.domains import TASK_MOVES
 from glossaspark.functions import identity, paths, text
-from glossaspark.operators import quality, sequences, state, store
+from glossaspark.operators import quality, sequences, state, store, tasks
 from glossaspark.operators.versioned import VersionedStore
 from glossaspark.plans import localize
 from glossaspark.queries.processes import echo
@@ -63,6 +63,21 @@ def test_escapes_are_looked_for_before_they_are_replaced(spark):
     assert re.match(r"Project \[CASE WHEN Contains\(", plan) and plan.count("regexp_replace") == len(identity.UPPER_ESCAPES)
 
 
+def test_digests_are_shuffled_as_bytes(spark):
+    """Half the length for hex digits; the bytes tell all texts apart and give them back."""
+    sha = "0f" * 32
+    texts = [sha, sha.upper(), "0", "0f", "\x0f", "", None, "\u0001\u000f", "g" * 64, sha + "\n", "caf\u00e9"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", identity.packed(F.col("t")).alias("b")).withColumn("back", identity.unpacked(F.col("b"))).collect()
+    assert [r["back"] for r in rows] == texts and len({r["b"] for r in rows}) == len(texts) and len(rows[0]["b"]) == 33
+    segments = spark.createDataFrame([(1, "b", "s", "renpy", 1, sha, "fr"), (1, "b", "t", "renpy", 1, "0", "fr")], "task_id int, batch_id string, segment_id string, engine string, source_schema_version int, source_sha256 string, target_language string")
+    segments = segments.withColumn("protected_tokens", F.array().cast("array<struct<index:int,kind:string,value:string>>"))
+    given = segments.withColumn("source_sha256", F.when(F.col("segment_id") == "s", F.col("source_sha256"))).drop("engine").withColumn("schema_version", F.lit(1)).withColumn("target_text", F.lit("x"))
+    plan = tasks.validated(segments.drop("engine").withColumn("schema_version", F.lit(1)).withColumn("target_text", F.lit("x")), segments)
+    assert {(r["segment_id"], r["source_sha256"], r["error_code"]) for r in plan.collect()} == {("s", sha, None), ("t", "0", None)}
+    assert {(r["segment_id"], r["source_sha256"], r["error_code"]) for r in tasks.validated(given, segments).collect()} == {("s", sha, None), ("t", None, "source_sha256")}
+    assert {f.dataType.simpleString() for f in plan.schema.fields if f.name == "source_sha256"} == {"string"}
+
+
 def test_only_open_pairs_of_texts_reach_python(spark):
     """Texts that normalisation can't change are compared in the JVM."""
     import unicodedata
