@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, drop_scratch, materialize, mix, salted_join
+from ..storage import scratch_path
+from .common import WordHashes, drop_scratch, materialize, mix, partitions, release, salted_join
 from .components import connected_components
 from .near_dedup import shingle_set
 from .set_groups import SetGroups
@@ -23,6 +24,8 @@ SHINGLES = 1 << 20
 PARCEL = 1 << 17
 #: Columns of the incidence matrix that are multiplied at once.
 COLUMNS = 4096
+#: Bins of anchors for each partition, to find bins that hold a frequent one.
+BINS = 64
 #: Allowance for rounding where distances are compared.
 SLACK = 1e-9
 
@@ -163,6 +166,42 @@ def _compared(percent: int):
     return run
 
 
+def _stars(nodes: DataFrame) -> DataFrame:
+    """(pivot, doc_id) for each anchor of several members, from the written ``nodes`` (doc_id,
+    anchors): its smallest member, and each of the others.
+
+    Nearly all anchors have one member, so what is shuffled is their whole number: they
+    are shuffled once, and the smallest comes first in a sorted run. Bins of anchors with more than a
+    quarter of a partition's share of the rows may hold a frequent anchor. They are fewer than four
+    times the partitions; their rows are aggregated and dealt over several tasks instead.
+    """
+    count = partitions(nodes.sparkSession)
+    held = nodes.select("doc_id", F.explode("anchors").alias("anchor")).withColumn("bin", F.pmod("anchor", F.lit(BINS * count)))
+    loads = materialize(held.groupBy("bin").agg(F.count("*").alias("n")), "loads")
+    share = max(1, int(loads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // (4 * count))
+    full = F.broadcast(loads.where(F.col("n") > share).select("bin"))
+    run = Window.partitionBy("anchor").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    first = held.join(full, "bin", "left_anti").select("doc_id", F.first("doc_id").over(run).alias("pivot"))
+    out = first.where("doc_id <> pivot").select("pivot", "doc_id")
+    if full.isEmpty():
+        return out
+    dense = materialize(held.join(full, "bin", "left_semi").select("doc_id", "anchor"), "dense")
+    cells = materialize(dense.groupBy("anchor").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("z"), F.count("*").alias("n")).where("pivot < z").drop("z"), "cells")
+    return out.unionByName(salted_join(dense, cells, "anchor", "doc_id").where("doc_id <> pivot").select("pivot", "doc_id"))
+
+
+def _by_document(sets: DataFrame) -> DataFrame:
+    """The sets as a table bucketed by doc_id: of its joins only the other side, ids and numbers,
+    is shuffled. The rows come from a shuffle by doc_id, so a task writes the buckets of its partitions only."""
+    spark = sets.sparkSession
+    path = scratch_path(spark, "sets")
+    name = "sets_" + path.rsplit("-", 1)[1]
+    sets.write.bucketBy(partitions(spark), "doc_id").option("path", path).option("compression", "zstd").saveAsTable(name)
+    out = spark.table(name)
+    out.table_name, out.scratch = name, path
+    return out
+
+
 def _distance(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
     return 1 - both / (F.size(a) + F.size(b) - both)
@@ -216,10 +255,10 @@ def jaccard_join(
     signed = materialize(slim.mapInArrow(_anchored(shingle, percent), "doc_id long, n_shingles long, set_key binary, anchors array<long>"), "anchored")
     groups = SetGroups.of(signed)
 
-    held = groups.nodes.select("doc_id", F.explode("anchors").alias("anchor"))
-    cells = materialize(held.groupBy("anchor").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("z"), F.count("*").alias("n")).where("pivot < z").drop("z"), "cells")
-    stars = salted_join(held, cells, "anchor", "doc_id").where("doc_id <> pivot").select("pivot", "doc_id").distinct()
-    stars = materialize(stars, "stars")
+    nodes = materialize(groups.nodes.select("doc_id", "anchors"), "nodes")
+    release(docs.sparkSession)
+    stars = materialize(_stars(nodes).distinct(), "stars")
+    drop_scratch(nodes)
     wanted = stars.select("doc_id").union(stars.select("pivot")).distinct()
     # the list of ids grows with the documents: it is never broadcast
     hashed = slim.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, set_key binary, shingles array<long>")
@@ -227,7 +266,8 @@ def jaccard_join(
         # of the rows of an id those of its nodes
         nodes = groups.reps.withColumnRenamed("rep", "doc_id")
         hashed = hashed.join(nodes, ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"])
-    sets = materialize(hashed.select("doc_id", "shingles", F.size("shingles").alias("width")), "sets")
+    sets = _by_document(hashed.select("doc_id", "shingles", F.size("shingles").alias("width")))
+    release(docs.sparkSession)
 
     # level 1: the distances of all members of a region to its pivot
     centres = materialize(stars.groupBy("pivot").agg(F.count("*").alias("n")).join(sets.select(F.col("doc_id").alias("pivot"), F.col("shingles").alias("of_pivot")), "pivot"), "pivots")
@@ -238,7 +278,7 @@ def jaccard_join(
     found = materialize(connected_components(links.unionByName(groups.bridges)), "components")
     centre = centres.select("pivot", F.col("pivot").alias("doc_id"), F.lit(0.0).alias("far"))
     regions = _undecided(far.unionByName(centre).withColumnRenamed("pivot", "region"), found, percent)
-    drop_scratch(cells, stars, far, centres)
+    drop_scratch(stars, far, centres)
 
     leaves = []
     for level in range(rounds):
@@ -258,6 +298,7 @@ def jaccard_join(
         apart = apart.unionByName(more)
     more = materialize(_links_inside(_undecided(apart.select("region", "doc_id", "far"), found, percent), sets, percent).distinct(), "links")
     final = found if more.isEmpty() else _grown(found, more)
+    docs.sparkSession.sql(f"DROP TABLE {sets.table_name}")
     drop_scratch(sets, *leaves)
     return groups.components(final)
 

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from oracle import DATA
+from pyspark.sql import functions as F
 from test_near_dedup import brute, corpus, found
 
 from glossaspark.llm import metric_join
@@ -51,6 +52,40 @@ def test_group_of_near_copies(spark, monkeypatch):
     assert 5 < len({v[1] for v in out.values()}) < 200
 
 
+@pytest.mark.parametrize("frequent", [0, 400])
+def test_anchors_are_shuffled_once(spark, frequent):
+    """However large the list of shared anchors is; those of frequent ones apart."""
+    rng = random.Random(frequent)
+    held = {i: sorted(rng.sample(range(3000), 8)) + [9999] * (i < frequent) for i in range(500)}
+    nodes = metric_join.materialize(spark.createDataFrame(list(held.items()), "doc_id long, anchors array<long>"), "nodes")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stars = metric_join._stars(nodes)
+        plan = stars._jdf.queryExecution().executedPlan().toString()
+        out = {tuple(r) for r in stars.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    members = {}
+    for doc, anchors in held.items():
+        for anchor in anchors:
+            members.setdefault(anchor, []).append(doc)
+    assert out == {(m[0], doc) for m in members.values() for doc in m[1:]}
+    if not frequent:
+        assert plan.count("Exchange hashpartitioning(anchor") == 1
+
+
+def test_sets_are_not_shuffled_again(spark):
+    rows = spark.createDataFrame([(i, [i, i + 1], 2) for i in range(50)], "doc_id long, shingles array<long>, width int")
+    sets = metric_join._by_document(rows)
+    stars = metric_join.materialize(rows.select("doc_id", F.lit(1).alias("pivot")), "stars")
+    joined = stars.hint("merge").join(sets, "doc_id")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 50 and plan.count("Exchange") == 1 and "SortMergeJoin" in plan
+    spark.sql(f"DROP TABLE {sets.table_name}")
+    metric_join.drop_scratch(sets, stars)
+
+
 def test_registered_query_equals_brute_force(spark):
     from glossaspark.llm.queries import QUERIES
 
