@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
-from collections.abc import Iterator
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,14 +15,95 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import scratch_path
-from .common import drop_scratch, materialize
+from .common import drop_scratch, materialize, partitions
 
 #: Bytes of text in a bucket of the token table, about; their tokens are sorted in one task.
 BUCKET_BYTES = 1 << 20
+#: Bytes of text in a block of documents, about; a block and the facts of its words are in one task's memory.
+BLOCK_BYTES = 1 << 25
 #: Pairs of ids whose counts are broadcast: the most frequent, whatever the input.
 BROADCAST_PAIRS = 1 << 17
 
 
+#: A single space between two other characters. Python's white space includes all of the tokenizers'.
+CUT = re.compile(r"(?<=\S) (?=\S)")
+FACTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+
+
+def cuts_at_spaces(byte_level: str, pieces: str) -> bool:
+    """Whether both sides encode what lies between two places of ``CUT`` on its own, whatever
+    stands around it: A splits there before it merges, and B has no piece that reaches across."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    with open(byte_level, encoding="utf-8") as f:
+        a = json.load(f)
+    before = a.get("pre_tokenizer") or {}
+    if not (
+        a.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+        and all(t["special"] for t in a.get("added_tokens", [])) and a["model"]["type"] == "BPE" and not a["model"].get("dropout")
+    ):
+        return False
+    b = sentencepiece_model_pb2.ModelProto()
+    with open(pieces, "rb") as f:
+        b.ParseFromString(f.read())
+    norm, train = b.normalizer_spec, b.trainer_spec
+    return (
+        train.model_type == train.BPE and train.byte_fallback and not train.treat_whitespace_as_suffix and not norm.precompiled_charsmap
+        and norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces
+        and not any(x.type == x.USER_DEFINED or "▁" in x.piece.lstrip("▁") for x in b.pieces)
+    )
+
+
+def _splitter(byte_level: str, pieces: str) -> Callable[[str], list[str]]:
+    """Words of a text, each without the space before it; the whole text as one where a side can't be cut."""
+    return CUT.split if cuts_at_spaces(byte_level, pieces) else lambda text: [text]
+
+
+def _words_of(byte_level: str, pieces: str):
+    def run(key: tuple, docs: pa.Table) -> pa.Table:
+        split, count = _splitter(byte_level, pieces), Counter()
+        for text in docs.column("text"):
+            if text := text.as_py():
+                count.update(split(text))
+        block = pa.array(np.full(len(count), key[0].as_py()), pa.int32())
+        return pa.table([block, pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], ["block", "word", "n"])
+
+    return run
+
+
+def _words_of_others(byte_level: str, pieces: str):
+    """Words, with their number, of the documents that hold one of the ``failed`` words."""
+
+    def run(docs: pa.Table, failed: pa.Table) -> pa.Table:
+        split, count, bad = _splitter(byte_level, pieces), Counter(), set(failed.column("word").to_pylist())
+        for text in docs.column("text") if bad else ():
+            if (text := text.as_py()) and not bad.isdisjoint(words := split(text)):
+                count.update(words)
+        return pa.table([pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], ["word", "n"])
+
+    return run
+
+
+def _summed(byte_level: str, pieces: str):
+    """The facts of the words of each document of a block, added up; zeros where a word has none."""
+
+    def run(docs: pa.Table, facts: pa.Table) -> pa.Table:
+        split, at = _splitter(byte_level, pieces), {w: i for i, w in enumerate(facts.column("word").to_pylist())}
+        numbers = np.stack([facts.column(c).to_numpy() for c in FACTS], axis=1) if len(at) else np.zeros((0, len(FACTS)), np.int64)
+        groups = facts.column("groups").to_pylist()
+        out, digests = np.zeros((docs.num_rows, len(FACTS)), np.int64), []
+        for k, text in enumerate(docs.column("text")):
+            words = list(map(at.get, split(text))) if (text := text.as_py()) else [None]
+            if None in words:
+                digests.append("")
+                continue
+            out[k] = numbers[words].sum(axis=0)
+            digests.append(hashlib.sha256(";".join([groups[i] for i in words]).encode()).hexdigest())
+        return pa.table([docs.column("doc_id"), *[pa.array(out[:, i]) for i in range(len(FACTS))], pa.array(digests, pa.string())], ["doc_id", *FACTS, "groups_sha256"])
+
+    return run
+
+
 class _Sides:
     """Both tokenizers, with the bytes of each of their tokens."""
 
@@ -61,8 +146,8 @@ def _tokens(byte_level: str, pieces: str):
         sides = _Sides(byte_level, pieces)
         lengths = [np.array([len(t) for t in table], dtype=np.int32) for table in (sides.a_bytes, sides.b_bytes)]
         for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                piece = batch.slice(start, 200)
+            for start in range(0, batch.num_rows, 1000):
+                piece = batch.slice(start, 1000)
                 ids, sizes, n_a = [], [], []
                 for a, b in sides.encode([t.as_py() or "" for t in piece.column(3)]):
                     ids.append(a + b)
@@ -94,7 +179,7 @@ def tokenized(docs: DataFrame, byte_level: str, pieces: str, *, id_col: str = "d
 
 
 def _aligned(tokens: DataFrame) -> DataFrame:
-    """Per document: n_a, n_b, n_groups, the digest of its groups, and its links (a, b)."""
+    """Per row of ``tokens``: n_a, n_b, n_groups, its groups, and its links (a, b)."""
     x = tokens.select("part", "row", "doc_id", "n_a", F.posexplode(F.arrays_zip("ids", "sizes")).alias("pos", "t")).select(
         "part", "row", "doc_id", "n_a", "pos", F.col("t.ids").alias("id"), F.col("t.sizes").alias("size"), (F.col("pos") >= F.col("n_a")).cast("int").alias("side")
     )
@@ -123,12 +208,14 @@ def _aligned(tokens: DataFrame) -> DataFrame:
 
     spelled = F.array_join(F.zip_with(listed("a", 1), listed("b", 2), lambda a, b: F.concat(a, F.lit("|"), b)), ";")
     count = lambda bit: F.size(F.filter("s", lambda x: x["new"].bitwiseAND(F.lit(bit).cast("byte")) > 0)).cast("long")
-    return docs.select("row", "doc_id", count(1).alias("n_a"), count(2).alias("n_b"), "n_groups", F.size("s").cast("long").alias("n_links"), F.sha2(spelled, 256).alias("groups_sha256"), F.col("s.a").alias("a"), F.col("s.b").alias("b"))
+    return docs.select("row", "doc_id", count(1).alias("n_a"), count(2).alias("n_b"), "n_groups", F.size("s").cast("long").alias("n_links"), spelled.alias("groups"), F.col("s.a").alias("a"), F.col("s.b").alias("b"))
 
 
 def _weights(links: DataFrame) -> DataFrame:
-    """count_sum and n_best of each row of ``links`` (row, a, b), a row per link."""
-    counted = links.groupBy("a", "b").agg(F.count("*").alias("n"))
+    """count_sum and n_best of each row of ``links`` (row, times, a, b), a row per link, which
+    stands ``times`` times in the corpus."""
+    counted = links.groupBy("a", "b").agg(F.sum("times").alias("n"))
+    links = links.drop("times")
     counts = materialize(counted, "counts")
     best = counts.groupBy("b").agg(F.max("n").alias("most"))
     counts = materialize(counts.join(best, "b").select("a", "b", "n", (F.col("n") == F.col("most")).cast("long").alias("best")), "counts")
@@ -154,6 +241,12 @@ def align_tokens(docs: DataFrame, byte_level: str, pieces: str, *, id_col: str =
     tokens' strings as plain text. The byte offsets where tokens of both sides meet cut a
     text into groups; tokens of A and B whose byte ranges overlap are linked.
 
+    Both sides start a token at each single space between other characters
+    (:func:`cuts_at_spaces` checks it of the files; otherwise a text is one word), so such a place is a
+    cut, and the groups and links of a text are those of its words. Each different word is encoded and aligned
+    once; its links count as often as it stands in texts with tokens. The facts of a word then go to the blocks
+    of documents that hold it, once each, where those of a document are added up.
+
     Method: relational. Tokens are exploded with their places; running sums of their bytes
     give their offsets; both sides of a document are sorted by offset, where a token of A and one
     of B with equal offsets are neighbours (the equi-join, as a merge). The running count of these cuts
@@ -166,17 +259,52 @@ def align_tokens(docs: DataFrame, byte_level: str, pieces: str, *, id_col: str =
     pair has the highest count of its B id in the corpus, ties included), count_sum (over links, their
     pair's count), groups_sha256 (of ``a1,a2|b1;a3|b2``). Texts that are null or empty, or that the tokens of
     a side don't spell, have zeros and ''. Repeated rows count each; an
-    empty table gives an empty result; other columns are ignored. A text is the unit of a task.
+    empty table gives an empty result; other columns are ignored. A block of texts
+    with the facts of its words is the unit of a task.
     """
     spark = docs.sparkSession
-    tokens = tokenized(docs, byte_level, pieces, id_col=id_col, text_col=text_col)
-    aligned = materialize(_aligned(tokens.where("n_a > 0")), "aligned")
-    zero = F.lit(0).cast("long")
-    empty = materialize(tokens.where("n_a = 0").select("doc_id"), "empty")
+    texts = _blocks(docs, id_col, text_col)
+    words = materialize(texts.groupBy("block").applyInArrow(_words_of(byte_level, pieces), "block int, word string, n long"), "words")
+    known = materialize(words.groupBy("word").agg(F.sum("n").alias("n")).withColumn("word_id", F.monotonically_increasing_id()), "known")
+    tokens = tokenized(known, byte_level, pieces, id_col="word_id", text_col="word")
+    aligned = materialize(_aligned(tokens.where("n_a > 0")).withColumnRenamed("doc_id", "word_id"), "aligned")
+    failed = materialize(tokens.where("n_a = 0").select(F.col("doc_id").alias("word_id")).join(known, "word_id").select("word"), "failed")
     spark.sql(f"DROP TABLE {tokens.table_name}")
     drop_scratch(tokens)
-    weights = _weights(aligned.select("row", F.inline(F.arrays_zip("a", "b"))))
-    columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    return aligned.drop("a", "b").join(weights, "row").select(*columns).unionByName(
-        empty.select("doc_id", *[zero.alias(c) for c in columns[1:-1]], F.lit("").alias("groups_sha256"))
-    )
+    times = known.select("word_id", "word", "n")
+    if not failed.isEmpty():
+        # a text that one of its words fails has no tokens: the others don't count there
+        where = words.join(failed, "word", "left_semi").select("block", "word")
+        others = texts.groupBy("block").cogroup(where.groupBy("block")).applyInArrow(_words_of_others(byte_level, pieces), "word string, n long")
+        others = materialize(others.groupBy("word").agg(F.sum("n").alias("gone")), "others")
+        times = times.join(others, "word", "left").select("word_id", "word", (F.col("n") - F.coalesce("gone", F.lit(0))).alias("n")).where("n > 0")
+    counted = materialize(aligned.join(times.select("word_id", "word", F.col("n").alias("times")), "word_id"), "counted")
+    drop_scratch(aligned, known)
+    weights = _weights(counted.select("row", "times", F.inline(F.arrays_zip("a", "b"))))
+    facts = materialize(counted.drop("a", "b", "times").join(weights, "row").select("word", *FACTS, "groups"), "facts")
+    drop_scratch(counted)
+    held = words.select("block", "word").join(facts, "word")
+    columns = ", ".join(f"{c} long" for c in FACTS)
+    out = texts.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(_summed(byte_level, pieces), f"doc_id long, {columns}, groups_sha256 string")
+    out = materialize(out, "documents")
+    spark.sql(f"DROP TABLE {texts.table_name}")
+    drop_scratch(texts, words, facts)
+    return out.select("doc_id", *FACTS, "groups_sha256")
+
+
+def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(block, doc_id, text): a table bucketed by blocks of about ``BLOCK_BYTES`` of text."""
+    spark = docs.sparkSession
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    total = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    tasks = max(1, slim.rdd.getNumPartitions())
+    each = max(1, -(-int(total) // (tasks * BLOCK_BYTES)))
+    block = F.spark_partition_id() * each + F.pmod(F.monotonically_increasing_id(), F.lit(each))
+    path = scratch_path(spark, "texts")
+    name = "texts_" + path.rsplit("-", 1)[1]
+    # as many buckets as partitions at least: else both sides of a cogroup are shuffled
+    buckets = max(partitions(spark), min(tasks * each, 50_000))
+    slim.select(block.cast("int").alias("block"), "doc_id", "text").write.bucketBy(buckets, "block").option("path", path).option("compression", "zstd").saveAsTable(name)
+    out = spark.table(name)
+    out.table_name, out.scratch = name, path
+    return out

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter
 
 import sentencepiece
@@ -87,6 +88,29 @@ def test_tokens_are_read_in_buckets_without_an_exchange(spark):
     spark.sql(f"DROP TABLE {tokens.table_name}")
 
 
+def test_words_are_encoded_once(spark, monkeypatch):
+    """However often they stand in the corpus; a text that a word fails adds to no count."""
+    words = ["tion", "Hello,", "don't", "x\n\ny", "東京タワー", "a▁b", "12", "e\u0301", "\u00a0z", "q\x1cr", "  two", "end\t"]
+    rng = random.Random(13)
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 9))) for _ in range(120)] + ["a▁b tion tion", " tion", "tion  tion", "tion "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    seen, real = [], token_alignment.tokenized
+    monkeypatch.setattr(token_alignment, "tokenized", lambda d, *a, **k: seen.append(d) or real(d, *a, **k))
+    monkeypatch.setattr(token_alignment, "BLOCK_BYTES", 500)
+    counts = []
+    monkeypatch.setattr(token_alignment, "drop_scratch", lambda *x: counts.extend(d.count() for d in seen if not counts))
+    out = {r["doc_id"]: tuple(r[c] for c in NAMES) for r in align_tokens(docs, BYTE_LEVEL, PIECES).collect()}
+    assert out == dict(enumerate(brute(texts)))
+    assert counts == [len({w for t in texts for w in token_alignment.CUT.split(t)})]
+
+
+def test_texts_that_cannot_be_cut_are_one_word(spark, monkeypatch):
+    monkeypatch.setattr(token_alignment, "cuts_at_spaces", lambda *_: False)
+    assert token_alignment._splitter(BYTE_LEVEL, PIECES)("a b") == ["a b"]
+    monkeypatch.undo()
+    assert token_alignment._splitter(BYTE_LEVEL, PIECES)("a b  c\nd e") == ["a", "b  c\nd", "e"]
+
+
 def test_edge_rows(spark, edge_docs, no_docs):
     rows = align_tokens(edge_docs, BYTE_LEVEL, PIECES).collect()
     assert len(rows) == edge_docs.count()
