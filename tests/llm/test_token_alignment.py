@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import Counter
+from itertools import product
 
 import sentencepiece
 from oracle import DATA
@@ -119,3 +120,26 @@ def test_edge_rows(spark, edge_docs, no_docs):
     assert sum(r["doc_id"] == 2 for r in rows) == 2 and by[1]["groups_sha256"] == by[2]["groups_sha256"] == by[None]["groups_sha256"]
     assert by[7]["n_links"] >= by[7]["n_a"] > 60_000
     assert align_tokens(no_docs, BYTE_LEVEL, PIECES).count() == 0
+
+
+def test_words_and_facts_are_shuffled_compactly(spark):
+    """A word goes to its part once a block, and the facts of a part's words come back to a block compressed."""
+    words = ["".join(x) for x in product(["th", "on", "er", "in", "ed", "re", "ti", "an", "es", "ou", "ha", "ble"], repeat=4)]
+    rng = random.Random(17)
+    texts = [" ".join(x[i : i + 500]) for x in (rng.sample(words, len(words)) for _ in range(4)) for i in range(0, len(words), 500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(4)
+    gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+
+    def written() -> dict:
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in map(stages.apply, range(stages.size()))}
+
+    before = written()
+    # joins as over tables too large to be broadcast
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert align_tokens(docs, BYTE_LEVEL, PIECES).where("n_links > 0").count() == len(texts)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = sum(n for k, n in written().items() if k not in before)
+    assert 0 < moved < 5 * sum(map(len, texts))
